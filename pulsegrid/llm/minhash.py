@@ -42,7 +42,8 @@ def _bin_values(hashes: np.ndarray, bins: int) -> np.ndarray:
         hit = full[pick]
         values[empty[hit]] = values[pick[hit]]
         empty, attempt = empty[~hit], attempt + 1
-    return values
+    # each bin scrambles its value in its own way: two texts of few shingles don't agree in all low bits by one chance
+    return mix(values + np.arange(bins, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def fingerprint(words: np.ndarray, *, bins: int = BINS, bits: int = BITS, k: int = SHINGLE) -> np.ndarray | None:
