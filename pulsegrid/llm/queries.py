@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, jaccard_join, minhash, token_count, warc
+from pulsegrid.llm import bpe, jaccard_join, minhash, token_count, toxicity, warc
 from pulsegrid.session import ship
 
 
@@ -20,6 +20,10 @@ def op1_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_groups": op1_jaccard_groups,
+        "op2_toxicity": op2_toxicity,
         "op3_fingerprints": op3_fingerprints,
         "op8_token_counts": op8_token_counts,
         "op9_warc_captures": op9_warc_captures,
