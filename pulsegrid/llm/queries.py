@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, jaccard_join, minhash, token_count, toxicity, warc
+from pulsegrid.llm import bpe, html_extract, jaccard_join, minhash, token_count, toxicity, warc
 from pulsegrid.session import ship
 
 
@@ -28,6 +28,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_groups": op1_jaccard_groups,
         "op2_toxicity": op2_toxicity,
         "op3_fingerprints": op3_fingerprints,
+        "op4_main_text": op4_main_text,
         "op8_token_counts": op8_token_counts,
         "op9_warc_captures": op9_warc_captures,
         "op10_bpe_round_trip": op10_bpe_round_trip,
