@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, html_extract, jaccard_join, minhash, token_count, toxicity, warc
+from pulsegrid.llm import bpe, html_extract, jaccard_join, minhash, span_dedup, token_count, toxicity, warc
 from pulsegrid.session import ship
 
 
@@ -32,6 +32,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("_removed").cast("long").alias("n_removed"), F.expr("aggregate(_removed, 0L, (s, r) -> s + r.end - r.start)").alias("removed_bytes"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_fingerprints": op3_fingerprints,
         "op4_main_text": op4_main_text,
+        "op5_span_dedup": op5_span_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_warc_captures": op9_warc_captures,
         "op10_bpe_round_trip": op10_bpe_round_trip,

@@ -52,32 +52,40 @@ def _fragments(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends + 1 - starts, (total[ends + 1] - total[starts]) * _INV[starts]
 
 
-def _long_words(data: np.ndarray) -> np.ndarray:
-    """Word hashes of one text of any length; a word cut by a block's end is put together again."""
-    out: list[np.ndarray] = []
-    open_hash, open_len = 0, 0
+def _long_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one text of any length, as from _fragments; a word cut by a block's end is put together again."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: tuple[int, int, int] | None = None  # place, length and hash of a word that may go on
+
+    def close() -> None:
+        nonlocal held
+        if held:
+            out.append((np.array([held[0]]), np.array([held[1]]), np.array([held[2]], np.uint64)))
+            held = None
+
     for at in range(0, len(data), BLOCK):
         part = data[at : at + BLOCK]
         starts, lengths, hashes = _fragments(part, np.zeros(0, np.int64))
-        if open_len and (not len(starts) or starts[0] > 0):
-            out.append(mix(np.array([open_hash], np.uint64) + np.uint64(open_len)))
-            open_len = 0
-        if len(starts) and open_len:
-            hashes, lengths = hashes.copy(), lengths.copy()
-            hashes[0] = np.uint64((open_hash + int(hashes[0]) * pow(_R, open_len, 1 << 64)) % (1 << 64))
-            lengths[0] += open_len
-            open_len = 0
+        starts = starts + at
+        if held and len(starts) and starts[0] == at:
+            place, length, value = held
+            hashes[0] = np.uint64((value + int(hashes[0]) * pow(_R, length, 1 << 64)) % (1 << 64))
+            starts[0], lengths[0] = place, lengths[0] + length
+            held = None
+        close()
         if len(starts) and not _SPACE[part[-1]]:
-            open_hash, open_len = int(hashes[-1]), int(lengths[-1])
-            hashes, lengths = hashes[:-1], lengths[:-1]
-        out.append(mix(hashes + lengths.astype(np.uint64)))
-    if open_len:
-        out.append(mix(np.array([open_hash], np.uint64) + np.uint64(open_len)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            held = int(starts[-1]), int(lengths[-1]), int(hashes[-1])
+            starts, lengths, hashes = starts[:-1], lengths[:-1], hashes[:-1]
+        out.append((starts, lengths, hashes))
+    close()
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text, null as empty, its words' hashes in order. Words: runs of bytes other than 0x20 and 0x09-0x0D."""
+def words_in(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text (null as empty) its bytes and, in order, its words' first bytes, lengths and hashes.
+
+    Words: runs of bytes other than 0x20 and 0x09-0x0D, with A-Z folded.
+    """
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())
     _, offsets, values = texts.buffers()
@@ -86,11 +94,12 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
     at = 0
     while at < len(texts):
         if offsets[at + 1] - offsets[at] > BLOCK:
-            yield _long_words(data[offsets[at] : offsets[at + 1]])
+            own = data[offsets[at] : offsets[at + 1]]
+            starts, lengths, hashes = _long_words(own)
+            yield own, starts, lengths, mix(hashes + lengths.astype(np.uint64))
             at += 1
             continue
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-        to = min(to, len(texts))
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1), len(texts))
         base = offsets[at]
         breaks = offsets[at:to] - base
         part = data[base : offsets[to]]
@@ -98,10 +107,17 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
         hashes = mix(hashes + lengths.astype(np.uint64))
         bounds = np.searchsorted(starts, np.append(breaks, len(part)))
         for k in range(to - at):
-            yield hashes[bounds[k] : bounds[k + 1]]
+            i, j = bounds[k], bounds[k + 1]
+            yield part[breaks[k] : offsets[at + k + 1] - base], starts[i:j] - breaks[k], lengths[i:j], hashes[i:j]
         at = to
 
 
+def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text, null as empty, its words' hashes in order."""
+    for _, _, _, hashes in words_in(texts):
+        yield hashes
+
+
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Hashes of all k-word shingles in order; a shorter text is one shingle of all its words; no words, none."""
     n = len(words)
