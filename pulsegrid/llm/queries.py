@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, html_extract, jaccard_join, minhash, packing, span_dedup, token_count, toxicity, warc
+from pulsegrid.llm import bpe, html_extract, jaccard_join, minhash, packing, span_dedup, token_count, toxicity, warc, webp
 from pulsegrid.session import ship
 
 
@@ -37,6 +37,10 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("_removed").cast("long").alias("n_removed"), F.expr("aggregate(_removed, 0L, (s, r) -> s + r.end - r.start)").alias("removed_bytes"))
 
 
+def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op4_main_text": op4_main_text,
         "op5_span_dedup": op5_span_dedup,
+        "op6_webp_media": op6_webp_media,
         "op7_packing": op7_packing,
         "op8_token_counts": op8_token_counts,
         "op9_warc_captures": op9_warc_captures,
