@@ -9,7 +9,7 @@ corrects for that: (agreeing share - 2^-bits) / (1 - 2^-bits), at least 0.
 
 Defined cases: a null text is the empty text, whose fingerprint has all bins empty and is
 written as zeros, with likeness 1 to another empty text and 0 to any other; rows are
-ordered by doc_id (null first), ties by the text; repeated rows follow each other; the last row's
+ordered by doc_id (null first), ties by a fixed order of the texts; repeated rows follow each other; the last row's
 next row is the first; other columns are not read.
 """
 
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ from pulsegrid.llm.shingles import mix, shingle_hashes, word_hashes
 BINS, BITS, SHINGLE = 1024, 2, 5
 
 
+@lru_cache(maxsize=64)
+def _picks(bins: int, first: int, some: int) -> np.ndarray:
+    """The bins that attempts first, first + 1, ... pick for each empty bin; the same for every document."""
+    attempts = np.array([(a + 1) * 0x85EBCA77C2B2AE63 % (1 << 64) for a in range(first, first + some)], np.uint64)
+    spots = mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B1) + attempts[:, None])
+    return (spots >> np.uint64(64 - int(bins).bit_length() + 1)).astype(np.int64)
+
+
 def _bin_values(hashes: np.ndarray, bins: int) -> np.ndarray:
     """The lowest hash of each bin, empty bins filled by densification; ``hashes`` must not be empty."""
     shift = np.uint64(64 - int(bins).bit_length() + 1)
@@ -36,12 +46,12 @@ def _bin_values(hashes: np.ndarray, bins: int) -> np.ndarray:
     np.minimum.at(values, spots, mix(hashes))
     full = np.zeros(bins, bool)
     full[spots] = True
-    empty, attempt = np.flatnonzero(~full), 0
+    empty, attempt, some = np.flatnonzero(~full), 0, 4
     while len(empty):
-        pick = (mix(empty.astype(np.uint64) * np.uint64(0x9E3779B1) + np.uint64((attempt + 1) * 0x85EBCA77C2B2AE63 % (1 << 64))) >> shift).astype(np.int64)
-        hit = full[pick]
-        values[empty[hit]] = values[pick[hit]]
-        empty, attempt = empty[~hit], attempt + 1
+        hits = full[picks := _picks(bins, attempt, some).take(empty, 1)]
+        found = hits.any(0)
+        values[empty[found]] = values[picks[hits.argmax(0), np.arange(len(empty))][found]]
+        empty, attempt, some = empty[~found], attempt + some, min(2 * some, 256)
     # each bin scrambles its value in its own way: two texts of few shingles don't agree in all low bits by one chance
     return mix(values + np.arange(bins, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -74,8 +84,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compresses the last column: whole texts are what the shuffle carries."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([z.compress(v.as_buffer()) for v in part.column(3)], pa.binary())], part.schema.names)
+
+
 def in_order_with_next(docs: DataFrame, partitions: int) -> DataFrame:
-    """Rows (slot, tail, doc_id, text) dealt by ranges of doc_id, each slot closed by the next slot's first row.
+    """Rows (slot, tail, doc_id, compressed text) dealt by ranges of doc_id, each slot closed by the next slot's first row.
 
     Range bounds are approximate quantiles; the first id of each non-empty range is looked up exactly, and rows
     with that id also go to the range before, marked ``tail``. Only bounds and first ids reach the driver,
@@ -92,10 +111,11 @@ def in_order_with_next(docs: DataFrame, partitions: int) -> DataFrame:
     heads = [(None if null else least, slots[k - 1]) for k, (_, least, null) in enumerate(firsts)]  # the first slot's head closes the last slot
     table = F.array(*[F.struct(F.lit(h).cast("long").alias("head"), F.lit(s).cast("int").alias("slot")) for h, s in heads]) if heads else None
     if table is None:
-        return placed.withColumn("tail", F.lit(False)).select("slot", "tail", "doc_id", "text")
+        return placed.withColumn("tail", F.lit(False)).select("slot", "tail", "doc_id", F.col("text").cast("binary").alias("text"))
     also = F.transform(F.filter(table, lambda x: x["head"].eqNullSafe(F.col("doc_id"))), lambda x: F.struct(x["slot"].alias("slot"), F.lit(True).alias("tail")))
     own = F.array(F.struct(F.col("slot").alias("slot"), F.lit(False).alias("tail")))
     spread = placed.select("doc_id", "text", F.explode(F.concat(own, also)).alias("at")).select("at.slot", "at.tail", "doc_id", "text")
+    spread = spread.mapInArrow(_compressed, "slot int, tail boolean, doc_id long, text binary")
     return spread.repartitionById(max(partitions, 1), F.col("slot")).sortWithinPartitions("slot", "tail", "doc_id", "text")
 
 
@@ -108,13 +128,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        z = zstandard.ZstdDecompressor()
         held = None  # (slot, doc_id, text, fingerprint) that waits for its next row
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                marks = [fingerprint(w, k=k, **opts) for w in word_hashes(part.column(3))]
+                texts = pa.array([z.decompress(v.as_buffer()) for v in part.column(3)], pa.binary()).cast(pa.string())
+                marks = [fingerprint(w, k=k, **opts) for w in word_hashes(texts)]
                 waiting, changed = [], []
-                for slot, tail, doc, text, mark in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), marks, strict=True):
+                for slot, tail, doc, text, mark in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts.to_pylist(), marks, strict=True):
                     if held is not None and held[0] == slot:
                         waiting.append((held, mark))
                         changed.append(edited(held[2], text))
