@@ -1,4 +1,6 @@
 """All registered queries of the time-series engine and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from pulsegrid.plans import series
+
+QUERIES = {**series.Q}
+ORACLES = {**series.SQL}
