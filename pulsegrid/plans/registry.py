@@ -1,6 +1,6 @@
 """All registered queries of the time-series engine and their SQL."""
 
-from pulsegrid.plans import series
+from pulsegrid.plans import reports, series, signals
 
-QUERIES = {**series.Q}
-ORACLES = {**series.SQL}
+QUERIES = {**series.Q, **reports.Q, **signals.Q}
+ORACLES = {**series.SQL, **reports.SQL, **signals.SQL}
