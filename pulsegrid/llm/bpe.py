@@ -23,6 +23,7 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a worker remembers; the memory is emptied when full, which changes no result.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Control characters that str.split() takes as white space and Unicode's White_Space does not.
 ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 
@@ -239,13 +240,17 @@ class Encoder(dict):
         self.table = {b: c for b, c in self.stand_in.items()}
         self.known: dict[str, bytes] = {}
 
+    def _marks(self, word: str) -> str:
+        """A word's bytes as stand-in characters; ASCII letters stand for themselves."""
+        return word if word.isascii() and word.isalpha() else "".join([self.stand_in[b] for b in word.encode()])
+
+    def _ids(self, marks: str) -> list[int]:
+        return self.merges.word(marks) if len(marks) <= 256 else list(self.merges.stream(marks))
+
     def _pretoken(self, word: str) -> bytes:
         packed = self.known.get(word)
         if packed is None:
-            stand_in = self.stand_in
-            marks = "".join([stand_in[b] for b in word.encode()])
-            ids = self.merges.word(marks) if len(marks) <= 256 else list(self.merges.stream(marks))
-            packed = np.array(ids, "<u4").tobytes()
+            packed = pack("<%dI" % len(ids := self._ids(self._marks(word))), *ids)
             if len(word) <= 64:
                 if len(self.known) > CACHE_WORDS:
                     self.known.clear()
@@ -258,7 +263,12 @@ class Encoder(dict):
         return b"".join(map(self._pretoken, self.pattern.findall(text)))
 
     def __missing__(self, word: str) -> bytes:
-        packed = self._normal(word)
+        # letters below U+0130 keep their number in NFC and lower case: such a word is one pretoken, a last stop or comma another
+        stem = word[:-1] if word[-1] in ".," else word
+        if stem.isalpha() and max(stem) < "\u0130":
+            packed = self._pretoken(stem.lower()) if stem is word else self._pretoken(stem.lower()) + self._pretoken(word[-1])
+        else:
+            packed = self._normal(word)
         if len(word) <= 64:
             if len(self) > CACHE_WORDS:
                 self.clear()

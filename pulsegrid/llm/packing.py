@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.bpe import CACHE_WORDS, Encoder
+from pulsegrid.llm.bpe import Encoder
 
 WINDOW, END_ID, GRID, SHARD_ROWS = 4096, 2, 32, 1024
 K1, B = 1.2, 0.75
@@ -68,17 +68,8 @@ class LibraryEncoder(Encoder):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
 
-    def _pretoken(self, word: str) -> bytes:
-        packed = self.known.get(word)
-        if packed is None:
-            stand_in = self.stand_in
-            marks = "".join([stand_in[b] for b in word.encode()])
-            packed = np.array([t.id for t in self.model.tokenize(marks)], "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = packed
-        return packed
+    def _ids(self, marks: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(marks)]
 
 
 @lru_cache(maxsize=1)
@@ -107,9 +98,10 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                         crc = zlib.crc32(view[i : i + step], crc)
                         own.append(crc)
                     running.append(np.array(own, "<u4").tobytes())
-                    term, count = np.unique(np.frombuffer(packed, "<u4"), return_counts=True)
-                    terms.append(term.astype("<u2").tobytes())
-                    counts.append(np.minimum(count, 65535).astype("<u2").tobytes())
+                    ids = np.sort(np.frombuffer(packed, "<u4").astype(np.uint16), kind="stable")  # a radix sort
+                    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                    terms.append(ids[heads].tobytes())
+                    counts.append(np.minimum(np.diff(np.append(heads, len(ids))), 65535).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (windows, running, terms, counts))], ["doc_id", "doc_tokens", "windows", "running", "terms", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
