@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import scratch_path
+from pulsegrid.llm.storage import materialise, scratch_path
 
 CRLF = "\r\n"
 #: A hot payload's rows are dealt over so many salts when its response is looked up.
@@ -147,4 +147,5 @@ def round_trip(pages: DataFrame, *, path: str | None = None, with_payload: bool
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path)
-    return assemble(read_archives(spark, path, with_payload=with_payload))
+    # the joins read the records several times: parse the archives once
+    return assemble(materialise(read_archives(spark, path, with_payload=with_payload), "records"))
