@@ -2,7 +2,7 @@
 
 A document's set holds its distinct word shingles. Equal sets are one set, named by a
 64-bit hash, so copies never multiply. All shingles have one global order: by how far a
-fixed-size count sketch over all documents sees them above the average, then by hash.
+fixed-size count sketch over all documents sees them from the average, then by hash.
 Two sets whose Jaccard similarity reaches the threshold must share shingles near the
 front of this order, so only such prefixes are indexed:
 
@@ -14,10 +14,11 @@ front of this order, so only such prefixes are indexed:
 The boundary is the size at which the estimated cost of both parts together is lowest,
 from the numbers of sets of each size and the lists' expected length.
 
-Candidates first link to two leaders of their list (the lists' smallest and largest set
-names, so random members); the links that hold give first components. What remains are
+In a few rounds each set meets some leaders (random members of its lists' largest components,
+those that it shares most lists with); the links that hold give first components. What remains are
 pairs on a common list that lie in different components: all of these are checked. So
-each pair that could join two components is checked by its exact shingle counts, and a
+each pair that could join two components is checked, first by parity bitmaps that bound how
+far two sets differ, then by exact shingle counts, and a
 group of thousands of near copies needs no pair for each two of them.
 
 Defined cases: null or blank texts have an empty set, n_shingles 0, and are their own
@@ -27,6 +28,7 @@ repeated rows are equal sets; other columns of the input are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
@@ -36,12 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.bits import bit_table, spot, unpacked
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.shingles import mix, shingle_hashes, word_hashes
-from pulsegrid.llm.storage import materialise
-
-#: The sketch's counters (a fixed 1 MB of levels goes to the executors) in so many blocks.
-SKETCH, BLOCKS = 1 << 20, 16
+from pulsegrid.llm.storage import drop_files, materialise
+
+#: The sketch's counters (a fixed 4 MB of levels goes to the executors) in so many blocks.
+SKETCH, BLOCKS = 1 << 22, 64
+#: Bits of a set's parity bitmap.
+PARITY = 2048
+#: Rounds in which sets meet random leaders of their lists, before what remains is checked pair by pair.
+LEADER_ROUNDS, LEADERS = 2, 6
 #: Sizes up to which light sets are considered; above, subsets always cost more than lists.
 MAX_LIGHT = 64
 
@@ -61,14 +68,23 @@ class Threshold:
         """So many first shingles hold ``common`` shared ones with any partner."""
         return min(size, size - self.least(size) + common)
 
-    def index(self, size: int) -> int:
-        """The same for one shared shingle and partners that aren't smaller."""
-        return size - -(-2 * self.num * size // (self.num + self.den)) + 1
-
     def holds(self, a, b, common):
         """For columns: |A|, |B| and |A and B|."""
         return F.lit(self.den) * common >= F.lit(self.num) * (a + b - common)
 
+    def may_differ(self, a, b, places):
+        """Whether sets of these sizes that differ in at least so many shingles can still be similar."""
+        return F.lit(self.num + self.den) * places <= F.lit(self.den - self.num) * (a + b)
+
+    def least_met(self, a, b):
+        """Common shingles that two similar sets of these sizes have in their single-shingle prefixes.
+
+        Of the two prefixes one ends first in the global order; what is common up to there lies in both, and past it
+        that set has only ``least(size) - 1`` shingles left.
+        """
+        needed = F.ceil(F.lit(self.num) * (a + b) / (self.num + self.den))
+        return needed - F.ceil(F.lit(self.num) * F.greatest(a, b) / self.den) + 1
+
     def sizes_fit(self, a, b):
         return (F.lit(self.den) * F.least(a, b)) >= (F.lit(self.num) * F.greatest(a, b))
 
@@ -85,6 +101,12 @@ def set_name(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """Per bucket of the shingles' hashes, whether a set holds an odd number: two sets' bits differ in no more places than the sets do."""
+    odd = np.bincount((mix(tokens) >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Levels of the sketch's buckets, sets by size (up to MAX_LIGHT), expected list length of a shingle."""
 
@@ -97,19 +119,19 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
                 room += len(tokens)
                 sizes[min(len(tokens), MAX_LIGHT + 1)] += 1
                 if room > 1 << 19:
-                    seen += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+                    seen += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
                     held, room = [], 0
             if held:
-                seen += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+                seen += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
         parts = [*np.split(seen, BLOCKS), sizes]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS + 1), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS + 1), pa.int32()), pa.array([zlib.compress(p.astype("<u4").tobytes(), 1) for p in parts], pa.binary())], ["block", "counts"])
 
     def add(parts: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH // BLOCKS, np.int64)
         for value in parts.column("counts"):
-            own = np.frombuffer(value.as_buffer(), "<i8" if len(value.as_buffer()) == 8 * len(total) else "<u4")
-            total += own
-        return pa.table({"block": parts.column("block").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+            own = zlib.decompress(value.as_buffer())
+            total += np.frombuffer(own, "<i8" if len(own) == 8 * len(total) else "<u4")
+        return pa.table({"block": parts.column("block").slice(0, 1), "counts": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
 
     def add_part(parts: pa.Table) -> pa.Table:
         return add(parts)
@@ -117,18 +139,19 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     partial = docs.select("text").mapInArrow(count, "block int, counts binary").withColumn("part", F.spark_partition_id() % 16)
     partial = partial.groupBy("block", "part").applyInArrow(add_part, "block int, counts binary")
     rows = partial.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    found = {r.block: np.frombuffer(bytes(r.counts), "<i8") for r in rows}
+    found = {r.block: np.frombuffer(zlib.decompress(bytes(r.counts)), "<i8") for r in rows}
     if not found:
         return np.zeros(SKETCH, np.uint8), np.zeros(MAX_LIGHT + 2, np.int64), 1.0
     seen, sizes = np.concatenate([found[b] for b in range(BLOCKS)]), found[BLOCKS][: MAX_LIGHT + 2]
     mean = seen.mean()
     noise = np.sqrt(max(mean, 1.0))
-    above = (seen - mean) / (4 * noise)
-    levels = np.zeros(SKETCH, np.uint8)
-    hot = above >= 1
-    levels[hot] = (1 + 2 * np.log2(above[hot])).astype(np.uint8)
-    # a shingle's list: what its bucket holds beside the average, at least itself
-    length = 1 + float((seen * np.maximum(seen - mean - noise, 0)).sum() / max(seen.sum(), 1))
+    above = (seen - mean) / noise
+    # eight steps a deviation up to twelve, then eight a doubling: shared shingles come after nearly all that stand alone
+    steps = np.where(above < 12, 64 + 8 * above, 160 + 8 * np.log2(np.maximum(above, 12) / 12))
+    levels = np.clip(steps, 0, 255).astype(np.uint8)
+    # a prefix shingle's list: what its bucket holds beside the average (of buckets that prefixes reach), at least itself
+    low = seen[above < 4]
+    length = 1 + float((low * np.maximum(low - mean - noise, 0)).sum() / max(low.sum(), 1))
     return levels, sizes, length
 
 
@@ -136,30 +159,25 @@ def choose_boundary(sizes: np.ndarray, length: float, threshold: Threshold) -> i
     """The size up to which sets are light, by the lowest cost: rows written plus rows met on the lists."""
     best, cost = 0, None
     for x in range(MAX_LIGHT + 1):
-        light = sum(int(sizes[a]) * comb(threshold.prefix(a, 2), 2) * 2 for a in range(2, x + 1))
-        heavy = sum(int(sizes[a]) * threshold.prefix(a, 1) * (1 + length) for a in range(max(1, threshold.least(x + 1)), MAX_LIGHT + 1))
+        light = sum(int(sizes[a]) * comb(threshold.prefix(a, 2), 2) for a in range(2, x + 1))  # subsets have hardly any mates
+        heavy = sum(int(sizes[a]) * threshold.prefix(a, 1) * length for a in range(max(1, threshold.least(x + 1)), MAX_LIGHT + 1))
         if cost is None or light + heavy < cost:
             best, cost = x, light + heavy
     return best
 
 
-def keys_of(tokens: np.ndarray, levels: np.ndarray, boundary: int, t: Threshold) -> tuple[np.ndarray, int]:
-    """A set's index keys, 40 bits each and never negative, and how many of the first may be met by larger sets."""
+def keys_of(tokens: np.ndarray, levels: np.ndarray, boundary: int, t: Threshold) -> np.ndarray:
+    """A set's index keys, 40 bits each and never negative."""
     n = len(tokens)
     if n < 2:  # a partner of a one-shingle set is that set
-        return np.zeros(0, np.int64), 0
-    order = np.argsort(levels[(tokens >> np.uint64(44)).astype(np.int64)], kind="stable")
+        return np.zeros(0, np.int64)
+    order = np.argsort(levels[(tokens >> np.uint64(42)).astype(np.int64)], kind="stable")
     ranked = tokens[order]
-    keys, first = np.zeros(0, np.uint64), 0
-    if n > boundary or n >= t.least(boundary + 1):
-        keys = mix(ranked[: t.prefix(n, 1)])
-        first = t.index(n)
+    keys = mix(ranked[: t.prefix(n, 1)]) if n >= t.least(boundary + 1) else np.zeros(0, np.uint64)
     if n <= boundary:
         i, j = np.triu_indices(t.prefix(n, 2), 1)
-        pairs = mix(ranked[i] * np.uint64(3) + mix(ranked[j]))
-        keys = np.concatenate([pairs, keys])
-        first += len(pairs)
-    return (keys >> np.uint64(24)).astype(np.int64), first
+        keys = np.concatenate([mix(ranked[i] * np.uint64(3) + mix(ranked[j])), keys])
+    return (keys >> np.uint64(24)).astype(np.int64)
 
 
 def _indexed(docs: DataFrame, levels: np.ndarray, boundary: int, k: int, t: Threshold) -> DataFrame:
@@ -170,93 +188,159 @@ def _indexed(docs: DataFrame, levels: np.ndarray, boundary: int, k: int, t: Thre
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes, names, keys, firsts = [], [], [], []
+                sizes, names, keys, parities = [], [], [], []
                 for tokens in sets_of(part.column(1), k):
                     name = set_name(tokens) if len(tokens) else None
                     sizes.append(len(tokens))
                     names.append(name)
                     if name is None or name in sent:  # an equal set's keys are out already
                         keys.append(None)
-                        firsts.append(0)
+                        parities.append(None)
                         continue
                     if len(sent) < 1_000_000:
                         sent.add(name)
-                    own, first = keys_of(tokens, table, boundary, t)
+                    own = keys_of(tokens, table, boundary, t)
                     keys.append(own)
-                    firsts.append(first)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "name", "first", "keys"])
+                    parities.append(parity_bits(tokens))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "name", "keys", "parity"])
+
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, row_key long, n_shingles long, name long, keys array<long>, parity array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, name long, first int, keys array<long>")
 
+def _full_sets(docs: DataFrame, indexed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The full sets (name, tokens) of the wanted names, from their documents' texts.
 
-def _store(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The full sets (name, tokens) of the wanted names; a fixed-size bit table keeps most other texts unread."""
-    bits = 1 << 23
-    rows = wanted.select(F.pmod("name", F.lit(bits)).alias("bit")).distinct().groupBy(F.expr("bit div 65536").alias("block")).agg(F.collect_list((F.col("bit") % 65536).cast("int")).alias("at")).collect()
-    table = np.zeros(bits, bool)
-    for r in rows:
-        table[r.block * 65536 + np.array(r["at"], np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    A bit table of fixed size, filled with those documents' ids, lets other texts pass unhashed.
+    """
+    ids = indexed.select("name", "doc_id").join(wanted, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sent = np.unpackbits(shared.value).view(bool), set()
+        table, sent = unpacked(shared.value), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            some = batch.column(1).filter(pa.array(table[batch.column(0).to_numpy()]))
+            for at in range(0, len(some), 512):
                 names, held = [], []
-                for tokens in sets_of(batch.column(0).slice(at, 1024), k):
-                    if len(tokens) and (name := set_name(tokens)) not in sent and table[name % bits]:
+                for tokens in sets_of(some.slice(at, 512), k):
+                    if len(tokens) and (name := set_name(tokens)) not in sent:
                         if len(sent) < 1_000_000:
                             sent.add(name)
                         names.append(name)
                         held.append(tokens.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["name", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "name long, tokens array<long>")
+    found = docs.select(spot("doc_id"), "text").mapInArrow(run, "name long, tokens array<long>")
     return found.join(wanted, "name", "left_semi").groupBy("name").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(pairs: DataFrame, store: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = pairs.join(store.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(store.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(t.holds(F.size("ta"), F.size("tb"), common)).select("a", "b")
+def _links(pairs: DataFrame, docs: DataFrame, indexed: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """The candidate pairs (a, na, b, nb) that reach the threshold: parity bitmaps first, then the full sets."""
+    bits = indexed.filter("parity IS NOT NULL").groupBy("name").agg(F.first("parity").alias("parity"))
+    both = pairs.join(bits.select(F.col("name").alias("b"), F.col("parity").alias("pb")), "b").join(bits.select(F.col("name").alias("a"), F.col("parity").alias("pa")), "a")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    likely = materialise(both.filter(t.may_differ(F.col("na"), F.col("nb"), differ)).select("a", "na", "b", "nb"), "likely")
+    sets = materialise(_full_sets(docs, indexed, likely.select(F.col("a").alias("name")).union(likely.select("b")).distinct(), k), "fullsets")
+    full = likely.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
+    links = materialise(full.filter(t.holds(F.col("na"), F.col("nb"), F.size(F.array_intersect("ta", "tb")))).select("a", "b"), "links")
+    drop_files(sets)
+    return links
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of known components and new links."""
+    return connected_components(links if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def row_key() -> F.Column:
+    """Tells a document's rows from rows of other ids or texts."""
+    return F.xxhash64("doc_id", "text")
 
 
 def near_groups(docs: DataFrame, *, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links), ``row_key``."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_key", row_key())
     levels, sizes, length = _sketch(base, k)
     boundary = choose_boundary(sizes, length, threshold)
     indexed = materialise(_indexed(base, levels, boundary, k, threshold), "sets")
 
-    posting = indexed.filter("keys IS NOT NULL").select("name", F.col("n_shingles").cast("int").alias("size"), "first", F.posexplode("keys").alias("at", "key"))
-    posting = posting.select("key", "name", "size", (F.col("at") < F.col("first")).alias("short"))
-    own = F.struct("name", "size")
+    posting = indexed.filter("keys IS NOT NULL").select("name", F.col("n_shingles").cast("int").alias("size"), F.explode("keys").alias("key")).select("key", "name", "size")
     by_key = Window.partitionBy("key")
-    shared = posting.withColumn("lo", F.min(own).over(by_key)).withColumn("hi", F.max(own).over(by_key)).filter("lo.name <> hi.name")
-    shared = materialise(shared, "lists")
-
-    def candidates(of: DataFrame, leader: str) -> DataFrame:
-        pairs = of.filter(F.col(f"{leader}.name") != F.col("name")).filter(threshold.sizes_fit(F.col("size"), F.col(f"{leader}.size")))
-        return pairs.select(F.least("name", f"{leader}.name").alias("a"), F.greatest("name", f"{leader}.name").alias("b"))
-
-    store = materialise(_store(base, shared.select("name").distinct(), k), "store")
-    first = materialise(_verified(candidates(shared, "lo").union(candidates(shared, "hi")).distinct(), store, threshold), "links")
-    comp = connected_components(first)
-
-    # pairs on one list that no component joins yet
-    rows = shared.select("key", "name", "size", "short").distinct().join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    apart = rows.withColumn("c0", F.min("component").over(by_key)).withColumn("c1", F.max("component").over(by_key)).filter("c0 <> c1").select("key", "name", "size", "short", "component")
-    apart = materialise(apart, "apart")
-    x, y = apart.filter("short").alias("x"), apart.alias("y")
-    met = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.component <> y.component AND (x.size < y.size OR (x.size = y.size AND x.name < y.name) OR (x.size = y.size AND NOT y.short))")
-    met = met.filter(threshold.sizes_fit(F.col("x.size"), F.col("y.size")))
-    rest = met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    second = materialise(_verified(rest, store, threshold), "links")
+    several = posting.withColumn("n0", F.min("name").over(by_key)).withColumn("n1", F.max("name").over(by_key)).filter("n0 <> n1").select("key", "name", "size").distinct()
+    # lists of the same sets are one list that counts as often: a passage's shingles don't repeat its pairs
+    alike = [F.bit_xor(F.xxhash64("name", F.lit(seed))).over(by_key) for seed in (1, 2)]
+    one_list = several.withColumn("list", F.xxhash64(*alike, F.count("*").over(by_key)))
+    shared = materialise(one_list.groupBy("list", "name", "size").agg(F.min("key").alias("key"), F.count("*").alias("times")).drop("list"), "lists")
+
+    def ordered(x: str, nx: str, y: str, ny: str) -> list[F.Column]:
+        """A pair with the smaller name first, sizes beside."""
+        swap = F.col(x) > F.col(y)
+        return [F.when(swap, F.col(y)).otherwise(F.col(x)).alias("a"), F.when(swap, F.col(ny)).otherwise(F.col(nx)).alias("na"), F.when(swap, F.col(x)).otherwise(F.col(y)).alias("b"), F.when(swap, F.col(nx)).otherwise(F.col(ny)).alias("nb")]
+
+    def not_joined(comp: DataFrame) -> DataFrame:
+        """The lists whose sets lie in several components, with those and their numbers of sets."""
+        sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("weight")), "component").withColumnRenamed("node", "name")
+        rows = shared.join(sized, "name", "left").withColumn("component", F.coalesce("component", "name")).fillna(1, ["weight"])
+        rows = rows.withColumn("c0", F.min("component").over(by_key)).withColumn("c1", F.max("component").over(by_key)).filter("c0 <> c1")
+        return materialise(rows.select("key", "name", "size", "times", "component", "weight"), "apart")
+
+    # any choice of pairs is right in these rounds: each set meets a few random members of its lists' largest components
+    apart, comp = shared.withColumn("component", F.col("name")).withColumn("weight", F.lit(1)), None
+    for seed in range(LEADER_ROUNDS):
+        own = F.struct("weight", F.xxhash64("name", F.lit(seed)).alias("h"), "name", "size", "component")
+        far = F.struct((-F.col("weight")).alias("weight"), F.xxhash64("name", F.lit(seed)).alias("h"), "name", "size", "component")
+        led = apart.withColumn("lo", F.min(far).over(by_key)).withColumn("hi", F.max(own).over(by_key))
+        met = None
+        for e in ("lo", "hi"):
+            own_met = led.filter(f"{e}.component <> component").filter(threshold.sizes_fit(F.col("size"), F.col(f"{e}.size"))).select("name", "size", F.col(f"{e}.name").alias("other"), F.col(f"{e}.size").alias("n_other"), "times")
+            met = own_met if met is None else met.union(own_met)
+        met = met.groupBy("name", "size", "other", "n_other").agg(F.sum("times").alias("met"))
+        most = F.slice(F.sort_array(F.collect_list(F.struct("met", "other", "n_other")), False), 1, LEADERS)
+        best = met.groupBy("name", "size").agg(most.alias("best")).select("name", "size", F.explode("best").alias("x")).select("name", "size", "x.other", "x.n_other")
+        pairs = best.select(*ordered("name", "size", "other", "n_other"))
+        new = _links(pairs.distinct(), base, indexed, k, threshold)
+        comp = _joined(comp, new)
+        apart = not_joined(comp)
+
+    # all that remains: pairs in different components, each once, at the first list that both are on
+    lists = apart.groupBy("name").agg(F.collect_list("key").alias("keys"), F.collect_list("times").alias("counts"))
+    rows = apart.select("key", "name", "size", "component").join(lists, "name")
+    x, y = rows.alias("x"), rows.alias("y")
+    common = F.array_intersect("x.keys", "y.keys")
+    apart_pair = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name")) & threshold.sizes_fit(F.col("x.size"), F.col("y.size"))
+    once = x.join(y, (F.col("x.key") == F.col("y.key")) & apart_pair & (F.array_min(common) == F.col("x.key")))
+    once = materialise(once.select(F.col("x.name").alias("a"), F.col("x.size").alias("na"), F.col("y.name").alias("b"), F.col("y.size").alias("nb"), F.col("x.keys").alias("keys"), F.col("x.counts").alias("counts"), common.alias("common")), "once")
+    met = F.aggregate("common", F.lit(0).cast("long"), lambda s, key: s + F.element_at("counts", F.array_position("keys", key).cast("int")))
+    # two light sets meet on subsets too: for them one meeting is enough
+    enough = (F.greatest("na", "nb") <= boundary) | (met >= threshold.least_met(F.col("na"), F.col("nb")))
+    second = _links(once.filter(enough).select("a", "na", "b", "nb"), base, indexed, k, threshold)
     if not second.isEmpty():
-        comp = connected_components(first.union(second))
+        comp = _joined(comp, second)
 
-    named = indexed.select("doc_id", "n_shingles", "name").join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    named = indexed.select("doc_id", "row_key", "n_shingles", "name").join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     lowest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return named.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    return named.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"), "row_key")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents that stand for their group, with all columns: those with the group's smallest doc_id, once each.
+
+    Rows without doc_id stay only where their whole group has none. Rows that are surely kept, by a bit table
+    of the others' keys, don't take part in the shuffle that looks the others up.
+    """
+    names = docs.columns
+    groups = materialise(near_groups(docs, **options).select("row_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")).groupBy("row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "groups")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(groups.filter("NOT kept OR n > 1"), "row_key"))
+    keyed = docs.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key")).select("*", spot("row_key"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "spot")
+
+    def chosen(listed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = unpacked(table.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(bits[batch.column(batch.num_columns - 1).to_numpy()] == listed))
+
+        return keyed.mapInArrow(run, fields)
+
+    looked_up = chosen(True).dropDuplicates(["row_key"]).join(groups.filter("kept").select("row_key"), "row_key", "left_semi")
+    columns = [F.col(f"`{n}`") for n in names]
+    return chosen(False).select(*columns).unionByName(looked_up.select(*columns))

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

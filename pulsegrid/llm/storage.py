@@ -29,6 +29,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_files(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and no later step reads."""
+    if files := df.inputFiles():
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through the file system that owns it."""
     jvm = spark.sparkContext._jvm

@@ -449,3 +449,24 @@ def test_text_is_decoded_byte_by_byte():
 def test_all_ten_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    assert jaccard_join.near_groups(none).collect() == [] and jaccard_join.one_of_each(none).collect() == []
+    assert toxicity.toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
+    assert token_count.count_tokens(none, PIECES).collect() == [] and bpe.encode_decode(none, WORDS).collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract(pages).collect() == []
+
+
+def test_a_family_that_is_alike_but_not_enough_stays_apart(spark):
+    rng = np.random.default_rng(5)
+    base, texts = [f"b{i}" for i in range(200)], []
+    for _ in range(40):  # each pair shares about two thirds
+        own = list(base)
+        for i in rng.choice(200, 9, replace=False):
+            own[i] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    out = {r.doc_id: r.component_id for r in jaccard_join.near_groups(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_components([shingle_set(t) for t in texts])
