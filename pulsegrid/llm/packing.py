@@ -1,13 +1,18 @@
 """Packing of documents into token sequences by lexical retrieval (operator 7).
 
 A document is its token ids and an end id. Whole windows of a document are sequences of
-their own; what remains of each is packed. The remainders are dealt by hash into shards of
-about ``shard_rows`` documents, and each shard holds a BM25 inverted index over its documents' token ids. The
-longest unused remainder seeds a sequence; the index returns its best-scoring unused neighbours, which
-fill the window greedily. A neighbour that doesn't fit is cut at a multiple of ``GRID`` ids and its rest stays
-in the index; the last room goes to the longest remainder that fits. Only counts, checksums and
-term frequencies travel to the shards, never the ids: checksums of cut pieces follow from running
-ones, as CRCs are linear.
+their own; what remains of each is packed. Document frequencies, number and mean length are counted
+over the whole table. The remainders are dealt by content into shards of ``shard_rows`` to twice as many
+documents: each has keys of ``PARTS`` terms, drawn with its BM25 weights as odds by hashes that all documents share
+(so two documents draw alike the more alike they are), and a shard is a run of neighbours in the order of one key;
+where many documents have one key, its later terms and then a hash divide them. Each shard holds a BM25 inverted
+index over its documents' token ids. The longest unused remainder seeds a sequence; the index returns its best-scoring
+unused neighbours, which fill the window greedily. A neighbour that doesn't fit is cut at a multiple of ``GRID`` ids and its
+rest stays in the index; the last room goes to the longest remainder that fits. There is a round for each entry of ``LEAST``:
+a sequence is made where neighbours with that share of the seed's own score fill it, and what stays unused is dealt
+again under another key; the last round packs everything. Neighbours are found by keys, so not all are: the README has
+the measured share. Only counts, checksums and term frequencies travel
+to the shards, never the ids: checksums of cut pieces follow from running ones, as CRCs are linear.
 
 Defined cases: a null text is the empty text (its only id is the end id); repeated rows are packed
 as rows of their own; a null doc_id is packed too; an empty table gives an empty result; other columns are
@@ -18,7 +23,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +34,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulsegrid.llm.bpe import Encoder
+from pulsegrid.llm.shingles import mix
+from pulsegrid.llm.storage import drop_files, materialise
 
 WINDOW, END_ID, GRID, SHARD_ROWS = 4096, 2, 32, 1024
 K1, B = 1.2, 0.75
+LEAST, PARTS = (0.7, 0.5, 0.0), 3
+_KEYS = [f"key{k}" for k in range(len(LEAST) * PARTS)]
 _POLY = 0xEDB88320
 
 
@@ -77,6 +87,12 @@ def _encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def _forget() -> None:
+    """Gives back a worker's encoder, which rounds don't need."""
+    _encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document what packing needs: ids in all, CRCs of whole windows, running CRCs of the remainder, term counts."""
     schema = "doc_id long, doc_tokens long, windows binary, running binary, terms binary, counts binary"
@@ -107,18 +123,82 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs of all documents; bounded by the vocabulary."""
+
+    n: int
+    df: np.ndarray
+    mean_length: float
+
+    def idf(self) -> np.ndarray:
+        """A term in more than half of the documents says nothing: its weight is 0."""
+        return np.maximum(0.0, np.log((self.n - self.df + 0.5) / (self.df + 0.5)))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf()[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.mean_length, 1.0)))
+
+
+def _flat(terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, document and frequency of every posting."""
+    term = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    return term, doc, np.concatenate(counts).astype(np.float32) if terms else np.zeros(0, np.float32)
+
+
+def _binary(column: pa.ChunkedArray | pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    """Counts over all digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        df, n, ids = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            n, ids = n + batch.num_rows, ids + (pa.compute.sum(batch.column(0)).as_py() or 0)
+            df += np.bincount(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2"), minlength=1 << 16)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, term]), pa.array(np.r_[n, ids, df[term]])], ["term", "count"])
+
+    got = dict(rows.select("doc_tokens", "terms").mapInArrow(run, "term long, count long").groupBy("term").agg(F.sum("count")).collect())
+    n, ids, df = got.pop(-2, 0), got.pop(-1, 0), np.zeros(1 << 16, np.int64)
+    df[list(got)] = list(got.values())
+    return Corpus(n, df, ids / max(n, 1))
+
+
+@lru_cache(maxsize=1)
+def _odds() -> np.ndarray:
+    """For each part of a key and each term an exponential variate that all documents share."""
+    h = mix(np.arange(len(_KEYS) << 16, dtype=np.uint64) + np.uint64(1))
+    return -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)).reshape(len(_KEYS), 1 << 16)
+
+
+def keys_of(corpus: Corpus, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+    """A row of term ids per part of a key: the term with the least variate for its weight (-1: no term has weight)."""
+    out = np.full((len(_KEYS), len(terms)), -1, np.int32)
+    term, doc, tf = _flat(terms, counts)
+    weight = corpus.weights(term, tf, lengths[doc])
+    term, doc, weight = term[weight > 0], doc[weight > 0], weight[weight > 0]
+    if len(term):
+        heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        sizes = np.diff(np.r_[heads, len(doc)])
+        for part, own in enumerate(_odds()):
+            x = own[term] / weight
+            at = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, heads), sizes))
+            out[part, doc[at]] = term[at]
+    return out
+
+
 class Index:
-    """BM25 over one shard."""
+    """BM25 over one shard; what is known of all documents comes from ``corpus`` (by default the shard is all there is)."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, corpus: Corpus | None = None):
         n = len(terms)
-        term = np.concatenate(terms).astype(np.int64) if n else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(n), [len(t) for t in terms])
-        tf = np.concatenate(counts).astype(np.float32) if n else np.zeros(0, np.float32)
-        df = np.bincount(term, minlength=1 << 16)
-        # a term in more than half of the documents says nothing: its weight is 0
-        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(lengths.mean(), 1.0)))
+        term, doc, tf = _flat(terms, counts)
+        corpus = corpus or Corpus(n, np.bincount(term, minlength=1 << 16), float(lengths.mean()) if n else 0.0)
+        idf, weight = corpus.idf(), corpus.weights(term, tf, lengths[doc])
         keep = weight > 0
         order = np.argsort(term[keep], kind="stable")
         self.n, self.terms, self.idf = n, terms, idf
@@ -138,18 +218,18 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[np.ndarray], terms: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
-    """Pieces (row, start, length, crc, sequence, offset) of one shard's documents."""
+def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[np.ndarray], terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None, done: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int, int, int, int, int]]:
+    """Pieces (row, start, length, crc, sequence, offset) of one shard's documents; ``done`` (ids of each remainder that are packed) is kept up to date."""
     pieces, sequence = [], 0
     for row, own in enumerate(windows):
         for k, crc in enumerate(own.tolist()):
             pieces.append((row, k * WINDOW, WINDOW, crc, sequence, 0))
             sequence += 1
-    index = Index(terms, counts, doc_tokens.astype(np.float64))
+    index = Index(terms, counts, doc_tokens.astype(np.float64), corpus)
     base = doc_tokens // WINDOW * WINDOW
     full = doc_tokens - base
-    done = np.zeros(len(full), np.int64)  # ids of each remainder that are packed
-    left = full.copy()
+    done = np.zeros(len(full), np.int64) if done is None else done
+    left = full - done
     crcs = [r.tolist() for r in running]
 
     def take(row: int, ids: int, offset: int) -> None:
@@ -165,16 +245,18 @@ def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[
     for seed in order:
         while left[seed] > 0:
             scores = index.scores(seed) if left[seed] < WINDOW - GRID else np.zeros(index.n)
+            ranked = np.argsort(-scores, kind="stable")[: int(((scores > 0) & (scores >= least * scores[seed])).sum())]
+            ranked = ranked[(left[ranked] > 0) & (ranked != seed)]
+            if least and left[seed] + left[ranked].sum() <= WINDOW - GRID:
+                break  # left for another round
             take(seed, int(left[seed]), 0)
             used = int(pieces[-1][2])
-            ranked = np.argsort(-scores, kind="stable")
-            for row in ranked[: int((scores > 0).sum())].tolist():
+            for row in ranked.tolist():
                 if WINDOW - used < GRID:
                     break
-                if left[row] > 0:
-                    ids = int(left[row]) if left[row] <= WINDOW - used else (WINDOW - used) // GRID * GRID
-                    take(row, ids, used)
-                    used += ids
+                ids = int(left[row]) if left[row] <= WINDOW - used else (WINDOW - used) // GRID * GRID
+                take(row, ids, used)
+                used += ids
             while used < WINDOW:  # no neighbours are left: what fits best, or a part of the longest
                 fits = np.where(left <= WINDOW - used, left, 0)
                 row = int(fits.argmax())
@@ -191,18 +273,82 @@ def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[
     return pieces
 
 
+def _with_keys(rows: DataFrame, corpus) -> DataFrame:
+    names = [*rows.columns, *_KEYS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys = keys_of(corpus.value, _binary(part.column("terms"), "<u2"), _binary(part.column("counts"), "<u2"), part.column("doc_tokens").to_numpy().astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, keys)], names)
+
+    return rows.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], *[f"{k} int" for k in _KEYS]]))
+
+
+def _dealt(rows: DataFrame, turn: int, partitions: int) -> DataFrame:
+    """Rows in the order of the key of a round, by ranges; equal keys are divided by a hash."""
+    order = [*_KEYS[turn * PARTS : (turn + 1) * PARTS], "_salt"]
+    ranged = rows.withColumn("_salt", F.xxhash64("doc_id", "running")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return ranged.drop("_salt").withColumn("_part", F.spark_partition_id().cast("long"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], shard_rows: int) -> Iterator[pa.Table]:
+    """Runs of ``shard_rows`` rows; the last of a partition has up to twice as many, so none is small."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= 2 * shard_rows:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, shard_rows)
+            held = table.slice(shard_rows).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
-    shards = max(1, -(-docs.count() // shard_rows))
-    rows = digests(docs, tokenizer_path).withColumn("shard", F.pmod(F.xxhash64("doc_id", "running"), F.lit(shards)))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("running", "ascending")]))
-        tokens = table.column("doc_tokens").to_numpy()
-        binary = lambda name, kind: [np.frombuffer(v.as_buffer(), kind) for v in table.column(name)]
-        pieces = pack_shard(tokens, binary("windows", "<u4"), binary("running", "<u4"), binary("terms", "<u2"), binary("counts", "<u2"))
-        row, start, length, crc, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        shard = table.column("shard")[0].as_py()
-        return pa.table({"doc_id": table.column("doc_id").take(pa.array(row)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": tokens[row], "sequence_id": (shard << 32) + sequence, "offset": offset})
-
-    return rows.groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    digest = materialise(digests(docs, tokenizer_path), "digests")
+    counted = corpus_of(digest)
+    corpus = docs.sparkSession.sparkContext.broadcast(counted)
+    partitions = max(1, counted.n // (4 * shard_rows))
+    rows = materialise(_with_keys(digest, corpus).withColumn("done", F.lit(0).cast("long")), "keyed")
+    drop_files(digest)
+    piece = "start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+    def pieces_of(turn: int, rows: DataFrame) -> DataFrame:
+        names, last = rows.columns, turn == len(LEAST) - 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = 0
+            _forget()
+            for table in _shards(batches, shard_rows):
+                tokens, done = table.column("doc_tokens").to_numpy(), table.column("done").to_numpy().copy()
+                windows, running, terms, counts = (_binary(table.column(n), k) for n, k in (("windows", "<u4"), ("running", "<u4"), ("terms", "<u2"), ("counts", "<u2")))
+                pieces = pack_shard(tokens, [] if turn else windows, running, terms, counts, corpus.value, done, LEAST[turn])
+                base = (turn << 56) + (table.column("_part")[0].as_py() << 32) + first
+                first += max((p[4] for p in pieces), default=-1) + 1
+                own: list[list[dict]] = [[] for _ in tokens]
+                for row, start, length, crc, sequence, offset in pieces:
+                    own[row].append({"start": start, "length": length, "ids_crc32": crc, "sequence_id": base + sequence, "offset": offset})
+                out = {n: table.column(n) for n in names} | {"done": pa.array(done), "pieces": pa.array(own, pa.list_(pa.struct([(f.split()[0], pa.int64()) for f in piece.split(", ")])))}
+                kept = pa.array(np.arange(len(done)), mask=(done == tokens % WINDOW) | last)
+                for n in ("windows", "running", "terms", "counts"):  # not needed any more
+                    out[n] = out[n].take(kept)
+                yield from pa.table(out).to_batches()
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return _dealt(rows, turn, partitions).mapInArrow(run, f"{fields}, pieces array<struct<{piece.replace(' long', ':bigint')}>>")
+
+    rounds = []
+    for turn in range(len(LEAST)):
+        after = pieces_of(turn, rows)
+        if turn < len(LEAST) - 1:
+            after = materialise(after, "packed")
+            if not turn:
+                drop_files(rows)
+            rows = after.filter(F.col("done") < F.col("doc_tokens") % WINDOW).drop("pieces")
+        rounds.append(after.select("doc_id", "doc_tokens", F.explode("pieces").alias("p")))
+    out = reduce(DataFrame.unionAll, rounds)
+    return out.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset")

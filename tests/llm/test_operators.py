@@ -362,6 +362,28 @@ def test_index_scores_are_bm25():
         assert got[d] == pytest.approx(want, rel=1e-5)
 
 
+def test_like_documents_are_packed_together_in_small_shards(spark):
+    rng = np.random.default_rng(0)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(1200)]
+    topics = [" ".join(rng.choice(vocab[30 * t : 30 * t + 30], 300)) for t in range(40)]
+    texts = [f"{topics[i % 40]} {vocab[i]}" for i in range(640)]
+    out = packing.pack(docs(spark, texts), WORDS, shard_rows=32)
+    rows = out.collect()
+    check_pieces(rows, dict(enumerate(texts)))
+    members = {}
+    for r in rows:
+        members.setdefault(r.sequence_id, set()).add(r.doc_id % 40)
+    assert np.mean([len(m) for m in members.values()]) < 2  # dealt by hash about every document is of another topic
+
+
+def test_corpus_counts_are_those_of_all_documents(spark):
+    texts = ["a b c", "a b", None, "a"] * 5
+    got = packing.corpus_of(packing.digests(docs(spark, texts), WORDS).repartition(4))
+    ids = [Tokenizer.from_file(WORDS).encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert got.n == 20 and got.mean_length == sum(map(len, ids)) / 20
+    assert {t: int(got.df[t]) for t in np.flatnonzero(got.df)} == {t: sum(t in i for i in ids) for t in {t for i in ids for t in i}}
+
+
 # ---- 8 ----
 
 
