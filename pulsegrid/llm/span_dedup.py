@@ -1,12 +1,15 @@
 """Removal of repeated passages by sliding sentence spans (operator 5).
 
 A text is cut into sentences: after a full stop, exclamation or question mark, at line
-ends, and inside long sentences after words whose hash says so (so that copies of a passage
-are cut alike wherever it stands), at the latest after ``LONGEST`` words. A span is the
+ends, and inside long sentences after each word that has the least hash of ``LONGEST`` words in a row
+without such an end. So no sentence is longer, and whether there is a cut after a word depends
+on the ``LONGEST - 1`` words on both sides only, not on where a passage begins. A span is the
 shortest run of at least ``SENTENCES`` consecutive sentences with at least ``LEAST_WORDS`` words. Every
 span of every text is hashed; spans of equal hash are ordered by document and place, and
 the sentences that any but the first covers are removed. Any passage of 50 words that two
-places share word for word holds whole spans of both, and so is found.
+places share word for word, with the same line ends, holds a whole span of both, and so is found: cuts after its
+8th to 42nd word are the same in both places, one of them comes after the 15th at the latest, and a span
+from there has ended 3 * 8 words later. Some of the passage's first and last words may stay.
 
 Before the shuffle each batch keeps one row for equal spans; the others can't be the first
 and travel under keys of their own, so a very common passage meets no single task.
@@ -23,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shingles import mix, words_in
 
-SENTENCES, LEAST_WORDS, LONGEST, CUT_ONE_IN = 3, 12, 12, 16
+SENTENCES, LEAST_WORDS, LONGEST = 3, 12, 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _B = 0xC2B2AE3D27D4EB4F | 1
@@ -49,20 +53,20 @@ def sentences(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes:
     n = len(starts)
     if n == 0:
         return np.zeros(0, np.int64)
-    cut = np.zeros(n, bool)  # after word i
-    cut[-1] = True
-    cut |= _ENDS[data[starts + lengths - 1]]
+    cut = _ENDS[data[starts + lengths - 1]]  # after word i
     lines = np.flatnonzero(data == 10)
     if len(lines):
         before = np.searchsorted(starts, lines) - 1
         cut[before[before >= 0]] = True
-    cut |= hashes % np.uint64(CUT_ONE_IN) == 0
-    first = np.zeros(n, bool)
-    first[0] = True
+    if n >= LONGEST:
+        # ends have the least value, so windows that hold one have no further cut
+        value = np.where(cut, np.uint64(0), hashes)
+        least = sliding_window_view(value, LONGEST).min(1)
+        most = sliding_window_view(np.pad(least, LONGEST - 1), LONGEST).max(1)
+        cut |= value == most  # the least word of some window
+    first = np.ones(n, bool)
     first[1:] = cut[:-1]
-    heads = np.flatnonzero(first)
-    place = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
-    return np.flatnonzero(place % LONGEST == 0)
+    return np.flatnonzero(first)
 
 
 def spans(heads: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -290,6 +290,28 @@ def test_repeats_inside_a_text_and_repeated_rows(spark):
     assert span_dedup.remove_repeats(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("vocabulary", [4, 40, 100_000])
+def test_every_match_of_fifty_words_holds_a_common_span(vocabulary):
+    rng = np.random.default_rng(vocabulary)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, vocabulary, n)]
+
+    def own(ws, low, high):  # hashes of the spans between two words
+        text = pa.array([" ".join(ws)])
+        data, starts, lengths, hashes = next(shingles.words_in(text))
+        heads = span_dedup.sentences(data, starts, lengths, hashes)
+        assert np.diff(np.append(heads, len(ws))).max() <= span_dedup.LONGEST
+        ends, keys = span_dedup.spans(heads, hashes)
+        bounds = np.append(heads, len(ws))
+        return {k for k, i, e in zip(keys.tolist(), heads.tolist(), ends.tolist(), strict=False) if i >= low and bounds[e] <= high}
+
+    for trial in range(400):
+        passage = fresh(50)
+        a, b = int(rng.integers(0, 40)), int(rng.integers(0, 40))
+        one = own([*fresh(a), *passage, *fresh(int(rng.integers(0, 40)))], a, a + 50)
+        two = own([*fresh(b), *passage, *fresh(trial % 2 * 20)], b, b + 50)
+        assert one & two
+
+
 def test_span_query_matches_a_direct_pass(spark):
     rows = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
     seen, want = set(), {}
