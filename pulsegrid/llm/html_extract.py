@@ -4,9 +4,10 @@ A page is cut into blocks at block-level tags; elements that never hold article
 (scripts, styles, menus, headers, footers, sidebars, forms, and what its class, id or role
 marks as notice, advert or reader comments) are left out whole. First pass: a block's
 stop-word density, length and link density make it good, bad or ambiguous; inside the
-page's article or main element less evidence is asked for. Second pass: ambiguous short
+page's article or main element less evidence is asked for. Second pass: ambiguous
 blocks take the label of the nearest decided blocks on both sides; where these differ, a
-block inside the article is good, and one outside follows the nearer.
+block inside the article is good, and one outside follows the nearer. On a page without decided
+blocks those inside the article are good, or all where there is no article.
 
 Defined cases: a null html is the empty page; a page without good blocks has the text '';
 unclosed, misplaced and truncated tags are read as browsers do as far as blocks go;
@@ -202,14 +203,14 @@ def main_text(page: str | None) -> str:
             left = decided[before - 1] if before else None
             right = decided[before] if before < len(decided) else None
             sides = {s[1] for s in (left, right) if s}
-            if b.inside or not sides:
+            if not sides:  # nothing is decided: only the article's element tells
                 v = GOOD if b.inside or not has_article else BAD
             elif len(sides) == 1:
                 v = sides.pop()
+            elif b.inside:
+                v = GOOD
             else:
                 v = left[1] if i - left[0] <= right[0] - i and not b.heading else right[1]
-        if v == GOOD and not b.inside and has_article:  # an article is there: what stands outside of it isn't part of it
-            v = BAD
         if v == GOOD:
             kept.append(b.text)
     return "\n\n".join(kept)

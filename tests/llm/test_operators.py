@@ -252,6 +252,15 @@ def test_blocks_without_article_follow_stop_words_and_neighbours():
     assert html_extract.main_text(page) == f"{good}\n\nShort one\n\n{good}"
 
 
+def test_neighbours_decide_inside_an_article_and_text_outside_of_it_counts():
+    good = "This is the first paragraph of the story and it is long enough to be seen as such by the rules that we have here, so it is good text that stays in."
+    links = "<p><a href=1>one link and nothing else than a link</a></p>"
+    inside = f"<article><p>{good}</p><p>Kept one</p><p>{good}</p>{links}<p>Lost one</p>{links}<p>Lost two</p></article>"
+    assert html_extract.main_text(inside) == f"{good}\n\nKept one\n\n{good}"
+    teaser = f"<div class='post teaser'>{links}<p>Read on</p>{links}</div><div><p>{good}</p><p>Kept one</p><p>{good}</p></div>"
+    assert html_extract.main_text(teaser) == f"{good}\n\nKept one\n\n{good}"
+
+
 def test_main_text_query_on_all_pages(spark):
     for r in queries.op4_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = r.html[r.html.index("<article>") + 9 :]
