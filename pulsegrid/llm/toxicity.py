@@ -20,6 +20,7 @@ are the share of toxic labels (0 without labels); repeated rows give repeated ro
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -143,6 +144,21 @@ class Model:
     bias: float = 0.0
 
 
+def largest_window(hits: list[tuple[int, float]]) -> float:
+    """The largest sum of weights within ``WINDOW`` words of a hit, for (place, weight) in order; 0 without hits."""
+    best = total = 0.0
+    low = high = 0
+    for i, _ in hits:
+        while high < len(hits) and hits[high][0] <= i + WINDOW:
+            total += hits[high][1]
+            high += 1
+        while hits[low][0] < i - WINDOW:
+            total -= hits[low][1]
+            low += 1
+        best = max(best, total)
+    return best
+
+
 class Scorer(dict):
     """Figures of texts; remembers each token's hit."""
 
@@ -152,7 +168,7 @@ class Scorer(dict):
 
     def __missing__(self, token: str) -> tuple[float, int] | None:
         word = words_of(token)
-        hit = self.matcher.match(word) if 2 < len(word) <= 40 else (0.0, 0)
+        hit = self.matcher.match(word) if len(word) > 2 else (0.0, 0)
         hit = hit if hit[1] else None
         if len(token) <= 64:
             if len(self) > CACHE_WORDS:
@@ -168,9 +184,9 @@ class Scorer(dict):
         marks = [i for i, t in enumerate(tokens) if QUOTES.intersection(t)] if QUOTES.intersection(text) else []
         sums, used, exact, stems, fuzzy, quoted = 0.0, [], set(), 0, 0, 0
         for i, (w, kind) in hits:
-            before = sum(i - WINDOW <= m <= i for m in marks)
-            after = sum(i <= m <= i + WINDOW for m in marks)
-            if before and after:
+            at = bisect_left(marks, i)  # a mark on the hit's own token counts for both sides
+            own = at < len(marks) and marks[at] == i
+            if own or (0 < at < len(marks) and marks[at - 1] >= i - WINDOW and marks[at] <= i + WINDOW):
                 quoted += 1
                 continue
             used.append((i, w))
@@ -179,7 +195,7 @@ class Scorer(dict):
                 exact.add(tokens[i])
             stems += kind == 2
             fuzzy += kind == 3
-        near = max((sum(w for j, w in used if abs(i - j) <= WINDOW) for i, _ in used[:200]), default=0.0)
+        near = largest_window(used)
         top = max((w for _, w in used), default=0.0)
         return [float(np.log1p(sums)), float(np.log1p(len(exact))), float(np.log1p(stems)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), min(1.0, 10 * sums / len(tokens)), near, top]
 

@@ -175,6 +175,24 @@ def test_quoted_hits_count_apart():
     assert s.figures(None) == s.figures("") == s.figures("nothing here") == [0.0] * toxicity.FIGURES
 
 
+def test_window_sums_cover_every_hit():
+    s = toxicity.Scorer({"idiot": 5.0, "lowe*": 2.0})
+    sparse, dense = ("idiot " + "x " * 30) * 250, "idiot idiot idiot idiot "
+    assert s.figures(sparse)[6] == pytest.approx(5.0) and s.figures(sparse + dense)[6] == s.figures(dense + "x " * 30 + sparse)[6] == pytest.approx(20.0)
+    assert s.figures("lowe" + "r" * 60)[2] > 0  # long words are matched too
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        at = np.sort(rng.choice(3000, 400, replace=False)).tolist()
+        hits = [(i, float(w)) for i, w in zip(at, rng.random(400), strict=True)]
+        want = max(sum(w for j, w in hits if abs(i - j) <= toxicity.WINDOW) for i, _ in hits)
+        assert toxicity.largest_window(hits) == pytest.approx(want)
+    for text in ('"idiot', 'idiot"', '"a idiot', 'idiot a"', '"' + " a" * 11 + ' idiot b"', '"a idiot b"'):
+        tokens = text.split()
+        i, marks = tokens.index(next(t for t in tokens if "idiot" in t)), [k for k, t in enumerate(tokens) if '"' in t]
+        quoted = any(i - toxicity.WINDOW <= m <= i for m in marks) and any(i <= m <= i + toxicity.WINDOW for m in marks)
+        assert (s.figures(text)[4] > 0) == quoted
+
+
 def test_toxicity_scores_rows_without_labels_and_ignores_held_out_ones(spark):
     texts = [("you stupid idiot %d go" % i if i % 4 == 0 else "the nice day %d is here" % i) for i in range(200)] + [None, "", LONG]
     d = docs(spark, texts)
