@@ -229,8 +229,18 @@ def t5_t6_epoch_seconds(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("s"), 1).alias("seconds"))
 
 
-@query("SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, CASE WHEN abs(l_discount) < 1e-9 THEN 0 ELSE round(l_extendedprice / l_discount, 3) END AS ratio FROM lineitem WHERE l_linenumber = 1")
-def m8_safe_ratio(spark, sf_dir):
+def _safe_ratio():
     d = F.col("l_discount")
     safe = F.when(F.coalesce(F.abs(d) < 1e-9, F.lit(True)) | F.col("l_extendedprice").isNull(), 0.0).otherwise(F.try_divide("l_extendedprice", d))
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("i"), F.round(safe, 3).alias("ratio"))
+    return [F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("i"), F.round(safe, 3).alias("ratio")]
+
+
+@query("SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, CASE WHEN abs(l_discount) < 1e-9 THEN 0 ELSE round(l_extendedprice / l_discount, 3) END AS ratio FROM lineitem WHERE l_linenumber = 1")
+def m8_safe_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(*_safe_ratio())
+
+
+@query("SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, CASE WHEN abs(l_discount) < 1e-9 THEN 0 ELSE round(l_extendedprice / l_discount, 3) END AS ratio FROM lineitem")
+def m8_safe_ratio_all_lines(spark, sf_dir):
+    """Every line item."""
+    return table(spark, sf_dir, "lineitem").select(*_safe_ratio())

@@ -43,6 +43,11 @@ def test_query(spark, oracle, name):
             assert u == v or (isinstance(u, float) and isinstance(v, (int, float)) and u == pytest.approx(v, abs=2e-4, rel=1e-6)), (name, x, y)
 
 
+def test_safe_ratio_covers_every_line_item(spark, oracle):
+    want = {tuple(r) for r in oracle.execute("SELECT l_orderkey, l_linenumber FROM lineitem").fetchall()}
+    assert {(r.k, r.i) for r in registry.QUERIES["m8_safe_ratio_all_lines"](spark, SF).collect()} == want and max(i for _, i in want) > 1
+
+
 def test_pulse_recordings(spark, tmp_path):
     folder = tmp_path / "ppg" / "1020" / "after"
     folder.mkdir(parents=True)
