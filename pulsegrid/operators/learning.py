@@ -134,7 +134,8 @@ def predict(samples: DataFrame, model: Model, config: Config = DEFAULT) -> DataF
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         net = m.net(config)
-        for s in batches:
+
+        def score(s: pd.Series) -> pd.DataFrame:
             x, f = _inputs(m.kind, s, m, config)
             out = pd.DataFrame({"hr_pred": [None] * len(s), "hr_pred_conf": [None] * len(s), "hb_pred": [None] * len(s)}, dtype=float)
             if m.kind == "hb":
@@ -144,7 +145,11 @@ def predict(samples: DataFrame, model: Model, config: Config = DEFAULT) -> DataF
                 out["hr_pred"], out["hr_pred_conf"] = bpm, nets.confidence(p, net.bpm, bpm)
                 if hb is not None:
                     out["hb_pred"] = hb
-            yield out
+            return out
+
+        for s in batches:
+            # few rows at a time: a layer of width 96 holds every row's values
+            yield pd.concat([score(s.iloc[at : at + 32]) for at in range(0, max(len(s), 1), 32)], ignore_index=True)
 
     return samples.withColumn("_p", run("regions")).select(*samples.columns, "_p.*")
 

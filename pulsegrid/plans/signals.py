@@ -65,12 +65,19 @@ def m15_z_normalised(spark, sf_dir):
     return z.select("vec_id", F.size("z").cast("long").alias("n"), F.round(F.array_max("z"), 4).alias("top"))
 
 
+BLOCK = 4096
+
+
 def _colours(spark, sf_dir):
-    """Three neighbouring vectors of a label as one colour series; positive values."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") + 10).alias("x")).withColumn("at", place)
-    rows = rows.groupBy("label", F.floor(F.col("at") / 3).alias("trio")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("xs")).filter(F.size("xs") == 3)
-    return rows.select(F.concat_ws("_", "label", "trio").alias("segment"), *[F.col("xs")[i]["x"].alias(c) for i, c in enumerate("rgb")])
+    """Three neighbouring vectors of a label as one colour series; positive values.
+
+    Vectors are numbered within a label and a block of ``BLOCK`` ids; a block's last series repeats its last vector where one or two are missing.
+    """
+    block = F.floor(F.col("vec_id") / BLOCK)
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") + 10).alias("x")).withColumn("block", block)
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("label", "block").orderBy("vec_id")) - 1)
+    rows = rows.groupBy("label", "block", F.floor(F.col("at") / 3).alias("trio")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("xs"))
+    return rows.select(F.concat_ws("_", "label", "block", "trio").alias("segment"), *[F.col("xs")[F.least(F.lit(i), F.size("xs") - 1)]["x"].alias(c) for i, c in enumerate("rgb")])
 
 
 @query()
@@ -102,7 +109,7 @@ def m9_g15_g16_features(spark, sf_dir):
 @query()
 def n1_n11_hr_inference(spark, sf_dir):
     """Heart rates of an untrained network of fixed seed: the scoring path."""
-    options = {"width": 8, "seed": 7}
+    options = {"width": 96, "seed": 7}
     out = learning.predict(_samples(spark, sf_dir).select("segment", "regions"), learning.Model("hr", nets.save(nets.PulseNet(**options)), options))
     return out.select("segment", F.round("hr_pred", 3).alias("hr_pred"), F.round("hr_pred_conf", 4).alias("hr_pred_conf"))
 
@@ -116,16 +123,16 @@ def n4_hb_inference(spark, sf_dir):
 
 @query()
 def n6_multi_task_inference(spark, sf_dir):
-    options = {"width": 8, "n_features": 60, "seed": 7}
+    options = {"width": 96, "n_features": 60, "seed": 7}
     out = learning.predict(_samples(spark, sf_dir).select("segment", "regions"), learning.Model("both", nets.save(nets.PulseNet(**options)), options))
     return out.select("segment", F.round("hr_pred", 3).alias("hr_pred"), F.round("hb_pred", 3).alias("hb_pred"))
 
 
 @query()
 def n8_training_history(spark, sf_dir):
-    """Two rounds of data-parallel training of the hemoglobin network."""
+    """Data-parallel training of the hemoglobin network, with the operator's own rounds and patience."""
     rows = _samples(spark, sf_dir).select("segment", "regions", "hb")
     split = learning.split_by_hash(rows, "segment")
     part = rows.join(split, "segment")
-    _, history = learning.train(part.filter("part = 'train'").drop("part"), part.filter("part <> 'train'").drop("part"), "hb", rounds=2)
+    _, history = learning.train(part.filter("part = 'train'").drop("part"), part.filter("part <> 'train'").drop("part"), "hb")
     return spark.createDataFrame([(h["epoch"], round(h["train_loss"], 6), None if h["val_mae"] is None else round(h["val_mae"], 6), h["lr"]) for h in history], "epoch int, train_loss double, val_mae double, lr double")

@@ -48,6 +48,14 @@ def test_safe_ratio_covers_every_line_item(spark, oracle):
     assert {(r.k, r.i) for r in registry.QUERIES["m8_safe_ratio_all_lines"](spark, SF).collect()} == want and max(i for _, i in want) > 1
 
 
+def test_colour_series_hold_every_vector(spark):
+    from pulsegrid.plans import signals
+
+    want = {round(float(r.x) + 10, 9) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("embedding")[0].alias("x")).collect()}
+    got = {round(v, 9) for r in signals._colours(spark, SF).select(*[F.col(c)[0] for c in "rgb"]).collect() for v in r}
+    assert got == want
+
+
 def test_pulse_recordings(spark, tmp_path):
     folder = tmp_path / "ppg" / "1020" / "after"
     folder.mkdir(parents=True)
