@@ -1,29 +1,37 @@
 """N-gram Jaccard join: a size-aware heavy-light set join (operator 1).
 
 A document's set holds its distinct word shingles. Equal sets are one set, named by a
-64-bit hash, so copies never multiply. All shingles have one global order: by how far a
-fixed-size count sketch over all documents sees them from the average, then by hash.
-Two sets whose Jaccard similarity reaches the threshold must share shingles near the
-front of this order, so only such prefixes are indexed:
-
-* light sets (up to ``boundary`` shingles) enumerate all two-element subsets of a prefix
-  that must hold two common shingles; equal subsets make candidates;
-* heavy sets scan the inverted lists of single prefix shingles; light sets large enough to
-  pair with a heavy one are in those lists too.
-
-The boundary is the size at which the estimated cost of both parts together is lowest,
-from the numbers of sets of each size and the lists' expected length.
-
-In a few rounds each set meets some leaders (random members of its lists' largest components,
-those that it shares most lists with); the links that hold give first components. What remains are
-pairs on a common list that lie in different components: all of these are checked. So
-each pair that could join two components is checked, first by parity bitmaps that bound how
-far two sets differ, then by exact shingle counts, and a
-group of thousands of near copies needs no pair for each two of them.
+64-bit hash, so copies never multiply. The join has four steps.
+
+1. *Who can have a partner.* All shingles have one global order: by how far a fixed-size
+   count sketch over all documents sees them from the average, then by hash. Of two similar
+   sets, prefixes of this order that are ``common`` shingles longer than need be share at least
+   ``common``. So each set writes its prefix to inverted lists, and goes on only if enough of
+   it is on lists with another set. Shingles that the sketch sees far above the average count
+   as shared without a list: no list is hot.
+2. *Reduced sets.* Those sets are hashed once more, in full, and lose the shingles that no
+   other one of them has. A set that keeps too few can't have a partner.
+3. *Leaders.* On each list of a prefix (rarest shingles first) the set with the least
+   of its own leads; each set meets the leaders that it shares most lists with. The links that
+   hold give first components. Shingles of one component alone are dropped then, and each set
+   that is left meets every leader of its lists.
+4. *What remains*: pairs of a list that lie in different components. Both have met the list's
+   leader, so each is known by its differences to it; similar sets that are far from
+   a leader must differ from it in the same shingles, and the number follows from the sizes. So
+   the difference sets are joined, heavy-light: light ones (up to ``boundary``
+   prefix shingles) enumerate all two-element subsets of a prefix, heavy ones scan the inverted
+   lists of single shingles, where light ones meet them. The boundary is the size
+   of lowest cost: rows written plus rows met on the lists. Candidates are counted exactly.
+
+Each pair that could join two components is checked, by counts or by the triangle
+inequality; a group of thousands of near copies needs no pair for each two of them, nor does a
+group of sets that are alike without being similar enough.
 
 Defined cases: null or blank texts have an empty set, n_shingles 0, and are their own
 component; rows with a null doc_id are left out of components' ids but keep their row;
-repeated rows are equal sets; other columns of the input are not read.
+repeated rows are equal sets; ties between leaders go by hash; texts of any length are
+hashed block by block and their set is one row; an empty table gives no rows; other columns of the
+input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,11 +53,11 @@ from pulsegrid.llm.storage import drop_files, materialise
 
 #: The sketch's counters (a fixed 4 MB of levels goes to the executors) in so many blocks.
 SKETCH, BLOCKS = 1 << 22, 64
-#: Bits of a set's parity bitmap.
-PARITY = 2048
-#: Rounds in which sets meet random leaders of their lists, before what remains is checked pair by pair.
-LEADER_ROUNDS, LEADERS = 2, 6
-#: Sizes up to which light sets are considered; above, subsets always cost more than lists.
+#: Level of buckets that hold this much above the average (and twelve deviations): their shingles count as shared.
+HOT, HOT_ABOVE = 255, 500
+#: Leaders that a set meets in the first round; any choice is right there.
+LEADERS = 2
+#: Prefix sizes up to which difference sets are considered light; above, subsets always cost more than lists.
 MAX_LIGHT = 64
 
 
@@ -64,6 +72,10 @@ class Threshold:
         """Common shingles that a set of this size needs with any partner."""
         return -(-size * self.num // self.den)
 
+    def least_of(self, size):
+        """The same for a column."""
+        return F.ceil(F.lit(self.num) * size / self.den)
+
     def prefix(self, size: int, common: int) -> int:
         """So many first shingles hold ``common`` shared ones with any partner."""
         return min(size, size - self.least(size) + common)
@@ -72,21 +84,31 @@ class Threshold:
         """For columns: |A|, |B| and |A and B|."""
         return F.lit(self.den) * common >= F.lit(self.num) * (a + b - common)
 
-    def may_differ(self, a, b, places):
-        """Whether sets of these sizes that differ in at least so many shingles can still be similar."""
-        return F.lit(self.num + self.den) * places <= F.lit(self.den - self.num) * (a + b)
+    def sizes_fit(self, a, b):
+        return (F.lit(self.den) * F.least(a, b)) >= (F.lit(self.num) * F.greatest(a, b))
 
-    def least_met(self, a, b):
-        """Common shingles that two similar sets of these sizes have in their single-shingle prefixes.
+    @property
+    def unit(self) -> int:
+        return 2 * (self.num + self.den)
 
-        Of the two prefixes one ends first in the global order; what is common up to there lies in both, and past it
-        that set has only ``least(size) - 1`` shingles left.
+    def excess(self, size, leader, common):
+        """How far a set is from a leader, in 1 / ``unit`` shingles: two sets are similar just if they share as
+        many differences to it as both their excesses add up to (``leader``: its shingles that count).
         """
-        needed = F.ceil(F.lit(self.num) * (a + b) / (self.num + self.den))
-        return needed - F.ceil(F.lit(self.num) * F.greatest(a, b) / self.den) + 1
+        return F.lit(self.num + self.den) * (leader - F.lit(2) * common) + F.lit(2 * self.num) * size
 
-    def sizes_fit(self, a, b):
-        return (F.lit(self.den) * F.least(a, b)) >= (F.lit(self.num) * F.greatest(a, b))
+    def shared_differences(self, a, b):
+        """Common differences that two sets of such excesses need; at least one, as fewer are a link without a look."""
+        return F.greatest(F.lit(1), F.ceil((a + b) / F.lit(self.unit)).cast("int"))
+
+    def subsets(self, prefix: int) -> int:
+        """Two-element subsets of a prefix that holds two common shingles, where one of this size holds one."""
+        return comb(prefix + 1, 2)
+
+
+def common_for(size: int) -> int:
+    """Common shingles that prefixes of the first step hold."""
+    return 1 + size // 16
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -101,30 +123,22 @@ def set_name(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """Per bucket of the shingles' hashes, whether a set holds an odd number: two sets' bits differ in no more places than the sets do."""
-    odd = np.bincount((mix(tokens) >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Levels of the sketch's buckets, sets by size (up to MAX_LIGHT), expected list length of a shingle."""
+def _sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """Levels of the sketch's buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sizes = np.zeros(SKETCH, np.int64), np.zeros(SKETCH // BLOCKS, np.int64)
+        seen = np.zeros(SKETCH, np.int64)
         for batch in batches:
             held, room = [], 0
             for tokens in sets_of(batch.column(0), k):
                 held.append(tokens)
                 room += len(tokens)
-                sizes[min(len(tokens), MAX_LIGHT + 1)] += 1
                 if room > 1 << 19:
                     seen += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
                     held, room = [], 0
             if held:
                 seen += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
-        parts = [*np.split(seen, BLOCKS), sizes]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS + 1), pa.int32()), pa.array([zlib.compress(p.astype("<u4").tobytes(), 1) for p in parts], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(seen, BLOCKS)], pa.binary())], ["block", "counts"])
 
     def add(parts: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH // BLOCKS, np.int64)
@@ -141,46 +155,46 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     rows = partial.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     found = {r.block: np.frombuffer(zlib.decompress(bytes(r.counts)), "<i8") for r in rows}
     if not found:
-        return np.zeros(SKETCH, np.uint8), np.zeros(MAX_LIGHT + 2, np.int64), 1.0
-    seen, sizes = np.concatenate([found[b] for b in range(BLOCKS)]), found[BLOCKS][: MAX_LIGHT + 2]
+        return np.zeros(SKETCH, np.uint8)
+    seen = np.concatenate([found[b] for b in range(BLOCKS)])
     mean = seen.mean()
-    noise = np.sqrt(max(mean, 1.0))
-    above = (seen - mean) / noise
+    above = (seen - mean) / np.sqrt(max(mean, 1.0))
     # eight steps a deviation up to twelve, then eight a doubling: shared shingles come after nearly all that stand alone
     steps = np.where(above < 12, 64 + 8 * above, 160 + 8 * np.log2(np.maximum(above, 12) / 12))
-    levels = np.clip(steps, 0, 255).astype(np.uint8)
-    # a prefix shingle's list: what its bucket holds beside the average (of buckets that prefixes reach), at least itself
-    low = seen[above < 4]
-    length = 1 + float((low * np.maximum(low - mean - noise, 0)).sum() / max(low.sum(), 1))
-    return levels, sizes, length
+    levels = np.clip(steps, 0, HOT - 1).astype(np.uint8)
+    levels[(above >= 12) & (seen - mean >= HOT_ABOVE)] = HOT
+    return levels
 
 
 def choose_boundary(sizes: np.ndarray, length: float, threshold: Threshold) -> int:
-    """The size up to which sets are light, by the lowest cost: rows written plus rows met on the lists."""
-    best, cost = 0, None
+    """The prefix size up to which difference sets are light, by the lowest cost: rows written plus rows met on the lists.
+
+    ``sizes``: sets by prefix size, the last for all larger ones; ``length``: sets on a list of single shingles. Light
+    sets meet the heavy ones of a list only, and their subsets have hardly any mates.
+    """
+    best, cost, p = 0, None, np.arange(len(sizes))
+    on_lists = (sizes * p).astype(float)
     for x in range(MAX_LIGHT + 1):
-        light = sum(int(sizes[a]) * comb(threshold.prefix(a, 2), 2) for a in range(2, x + 1))  # subsets have hardly any mates
-        heavy = sum(int(sizes[a]) * threshold.prefix(a, 1) * length for a in range(max(1, threshold.least(x + 1)), MAX_LIGHT + 1))
-        if cost is None or light + heavy < cost:
-            best, cost = x, light + heavy
+        light = sum(int(sizes[a]) * threshold.subsets(a) for a in range(1, x + 1))
+        heavy = on_lists[x + 1 :].sum()
+        met = length * (heavy + on_lists[: x + 1].sum() * heavy / max(on_lists.sum(), 1))
+        if cost is None or light + met < cost:
+            best, cost = x, light + met
     return best
 
 
-def keys_of(tokens: np.ndarray, levels: np.ndarray, boundary: int, t: Threshold) -> np.ndarray:
-    """A set's index keys, 40 bits each and never negative."""
+def keys_of(tokens: np.ndarray, levels: np.ndarray, t: Threshold) -> tuple[np.ndarray, int]:
+    """A set's index keys, and how many of them must be on lists with other sets for it to have a partner."""
     n = len(tokens)
     if n < 2:  # a partner of a one-shingle set is that set
-        return np.zeros(0, np.int64)
-    order = np.argsort(levels[(tokens >> np.uint64(42)).astype(np.int64)], kind="stable")
-    ranked = tokens[order]
-    keys = mix(ranked[: t.prefix(n, 1)]) if n >= t.least(boundary + 1) else np.zeros(0, np.uint64)
-    if n <= boundary:
-        i, j = np.triu_indices(t.prefix(n, 2), 1)
-        keys = np.concatenate([mix(ranked[i] * np.uint64(3) + mix(ranked[j])), keys])
-    return (keys >> np.uint64(24)).astype(np.int64)
+        return np.zeros(0, np.int64), 1
+    level = levels[(tokens >> np.uint64(42)).astype(np.int64)]
+    first = np.argsort(level, kind="stable")[: t.prefix(n, common_for(n))]
+    listed = first[level[first] < HOT]
+    return tokens[listed].view(np.int64), common_for(t.least(n)) - (len(first) - len(listed))
 
 
-def _indexed(docs: DataFrame, levels: np.ndarray, boundary: int, k: int, t: Threshold) -> DataFrame:
+def _indexed(docs: DataFrame, levels: np.ndarray, k: int, t: Threshold) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,23 +202,21 @@ def _indexed(docs: DataFrame, levels: np.ndarray, boundary: int, k: int, t: Thre
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes, names, keys, parities = [], [], [], []
+                sizes, names, keys, needs = [], [], [], []
                 for tokens in sets_of(part.column(1), k):
                     name = set_name(tokens) if len(tokens) else None
                     sizes.append(len(tokens))
                     names.append(name)
-                    if name is None or name in sent:  # an equal set's keys are out already
-                        keys.append(None)
-                        parities.append(None)
-                        continue
-                    if len(sent) < 1_000_000:
-                        sent.add(name)
-                    own = keys_of(tokens, table, boundary, t)
+                    own, need = None, None
+                    if name is not None and name not in sent:  # an equal set's keys are out already
+                        if len(sent) < 1_000_000:
+                            sent.add(name)
+                        own, need = keys_of(tokens, table, t)
                     keys.append(own)
-                    parities.append(parity_bits(tokens))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "name", "keys", "parity"])
+                    needs.append(need)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(needs, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "name", "need", "keys"])
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, row_key long, n_shingles long, name long, keys array<long>, parity array<long>")
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, row_key long, n_shingles long, name long, need int, keys array<long>")
 
 
 def _full_sets(docs: DataFrame, indexed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -233,22 +245,128 @@ def _full_sets(docs: DataFrame, indexed: DataFrame, wanted: DataFrame, k: int) -
     return found.join(wanted, "name", "left_semi").groupBy("name").agg(F.first("tokens").alias("tokens"))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, indexed: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """The candidate pairs (a, na, b, nb) that reach the threshold: parity bitmaps first, then the full sets."""
-    bits = indexed.filter("parity IS NOT NULL").groupBy("name").agg(F.first("parity").alias("parity"))
-    both = pairs.join(bits.select(F.col("name").alias("b"), F.col("parity").alias("pb")), "b").join(bits.select(F.col("name").alias("a"), F.col("parity").alias("pa")), "a")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    likely = materialise(both.filter(t.may_differ(F.col("na"), F.col("nb"), differ)).select("a", "na", "b", "nb"), "likely")
-    sets = materialise(_full_sets(docs, indexed, likely.select(F.col("a").alias("name")).union(likely.select("b")).distinct(), k), "fullsets")
-    full = likely.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
-    links = materialise(full.filter(t.holds(F.col("na"), F.col("nb"), F.size(F.array_intersect("ta", "tb")))).select("a", "b"), "links")
-    drop_files(sets)
-    return links
+def _with_partner(indexed: DataFrame) -> DataFrame:
+    """Names of the sets that have enough keys on lists with other sets."""
+    sets = indexed.filter("keys IS NOT NULL")
+    by_key = Window.partitionBy("key")
+    posting = sets.select("name", "need", F.explode("keys").alias("key"))
+    several = posting.withColumn("n0", F.min("name").over(by_key)).withColumn("n1", F.max("name").over(by_key)).filter("n0 <> n1")
+    counted = several.select("name", "need", "key").distinct().groupBy("name", "need").agg(F.count("*").alias("met")).filter("met >= need")
+    return counted.select("name").union(sets.filter("need <= 0").select("name")).distinct()
+
+
+def _reduced(full: DataFrame, t: Threshold) -> DataFrame:
+    """Sets (name, n, tokens) with the shingles that several of them have, rarest first."""
+    occurring = full.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = occurring.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
+    ranked = occurring.join(counts, "token").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("ranked"))
+    return ranked.filter(F.size("ranked") >= t.least_of(F.col("n"))).select("name", "n", F.col("ranked.token").alias("tokens"))
+
+
+def _prefix_lists(sets: DataFrame, t: Threshold, *more: str) -> DataFrame:
+    """One row per set and shingle of its prefix; a set whose shingles are nearly all here is likely near the group's origin."""
+    first = F.slice("tokens", F.lit(1), (F.size("tokens") - t.least_of(F.col("n")) + 1).cast("int"))
+    return sets.select("name", "n", *more, F.struct((F.size("tokens") / F.col("n")).alias("share"), F.xxhash64("name").alias("h"), "name").alias("as_leader"), F.explode(first).alias("token"))
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sizes (na, nb) and token arrays (ta, tb)."""
+    left = sets.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, by exact counts."""
+    both = _pair_sets(pairs, sets).filter(t.sizes_fit(F.col("na"), F.col("nb")))
+    return both.filter(t.holds(F.col("na"), F.col("nb"), F.size(F.array_intersect("ta", "tb")))).select("a", "b")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components of known components and new links."""
-    return connected_components(links if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+
+
+def _placed(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Sets with their component, their own name where they are alone."""
+    return sets.join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+
+
+def _first_links(sets: DataFrame, t: Threshold) -> DataFrame:
+    """Links to the leaders that a set shares most lists with."""
+    lists = _prefix_lists(sets, t)
+    leaders = lists.groupBy("token").agg(F.max("as_leader").alias("leader"), F.count("*").alias("sets")).filter("sets > 1")
+    met = lists.join(leaders.select("token", F.col("leader.name").alias("leader")), "token").filter("leader <> name").groupBy("name", "leader").agg(F.count("*").alias("met"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("met", "leader")), False), 1, LEADERS)
+    pairs = met.groupBy("name").agg(most.alias("most")).select(F.col("name").alias("a"), F.explode("most.leader").alias("b"))
+    return _links(pairs, sets, t)
+
+
+def _across(sets: DataFrame, comp: DataFrame, t: Threshold) -> DataFrame:
+    """Sets (name, n, component, tokens) with the shingles that several components have, in their order."""
+    placed = _placed(sets, comp).select("name", "n", "component", F.posexplode("tokens").alias("at", "token"))
+    spans = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
+    kept = placed.join(spans, "token").groupBy("name", "n", "component").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
+    return kept.filter(F.size("kept") >= t.least_of(F.col("n"))).select("name", "n", "component", F.col("kept.token").alias("tokens"))
+
+
+def _led(across: DataFrame, t: Threshold) -> DataFrame:
+    """Each set with each leader of its lists: ``common`` shingles, ``excess``, and the differences between both."""
+    lists = _prefix_lists(across, t, "component")
+    leaders = lists.groupBy("token").agg(F.max("as_leader").alias("leader"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    pairs = lists.join(leaders.select("token", F.col("leader.name").alias("b")), "token").filter("name <> b").select(F.col("name").alias("a"), "b").distinct()
+    both = _pair_sets(pairs, across).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    differ = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
+    return both.select("a", "na", "b", "nb", "common", t.excess(F.col("na"), F.size("tb"), F.col("common")).alias("excess"), differ.alias("differ"))
+
+
+def _difference_sets(led: DataFrame, comp: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Links that follow from the excesses alone, and the difference sets (leader, name, n, component, excess, need, shared).
+
+    ``need``: the common differences that the set's easiest partner of another component asks for.
+    """
+    sets = _placed(led.select("b", F.col("a").alias("name"), F.col("na").alias("n"), "excess", "differ"), comp).withColumnRenamed("b", "leader")
+    nearest = F.min(F.struct("excess", "component", "name"))
+    first = sets.groupBy("leader").agg(nearest.alias("first"))
+    ranked = sets.join(first, "leader")
+    second = ranked.filter("component <> first.component").groupBy("leader").agg(nearest.alias("second"))
+    ranked = ranked.join(second, "leader")  # leaders of one component have nothing left to join
+    ranked = ranked.withColumn("mate", F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first"))).drop("first", "second")
+    ranked = materialise(ranked, "ranked")
+    sure = ranked.filter("excess + mate.excess <= 0").select(F.col("name").alias("a"), F.col("mate.name").alias("b"))
+    ranked = ranked.withColumn("need", t.shared_differences(F.col("excess"), F.col("mate.excess"))).filter(F.size("differ") >= F.col("need"))
+    tokens = ranked.select("leader", "name", "n", "component", "excess", "need", F.explode("differ").alias("token"))
+    spans = tokens.groupBy("leader", "token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("sets")).filter("c0 <> c1")
+    shared = tokens.join(spans.select("leader", "token", "sets"), ["leader", "token"]).groupBy("leader", "name", "n", "component", "excess", "need").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("shared"))
+    return sure, materialise(shared.filter(F.size("shared") >= F.col("need")), "differences")
+
+
+def _candidates(differences: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of difference sets that share enough, by the heavy-light join."""
+    sized = differences.withColumn("prefix", F.size("shared") - F.col("need") + 1)
+    rows = sized.groupBy(F.when(F.col("need") < 2, MAX_LIGHT + 1).otherwise(F.least("prefix", F.lit(MAX_LIGHT + 1))).alias("prefix")).agg(F.count("*").alias("sets"), F.avg(F.element_at("shared", 1)["sets"]).alias("length")).collect()
+    sizes, length = np.zeros(MAX_LIGHT + 2, np.int64), 1.0
+    for r in rows:
+        sizes[r.prefix] = r.sets
+    if rows:
+        length = sum(r.sets * r.length for r in rows) / sum(r.sets for r in rows)
+    light = (F.col("need") >= 2) & (F.col("prefix") <= choose_boundary(sizes, length, t))
+    base = sized.withColumn("light", light).select("leader", "name", "n", "component", "excess", "light", "prefix", F.col("shared.token").alias("shared"))
+    own = ["leader", "name", "n", "component", "excess", "light"]
+    one = base.select(*own, F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("at", "key"), F.size("shared").alias("size")).select(*own, "key", (F.col("size") - F.col("at")).alias("rest"))
+    two = base.filter("light").select(*own, F.slice("shared", F.lit(1), F.col("prefix") + 1).alias("p"), F.size("shared").alias("size"))
+    two = two.select(*own, "size", "p", F.posexplode("p").alias("at", "x")).select(*own, (F.col("size") - F.col("at")).alias("rest"), "x", F.explode(F.expr("slice(p, at + 2, size(p))")).alias("y"))
+    two = two.select(*own, F.xxhash64("x", "y").alias("key"), "rest")
+
+    def met(rows: DataFrame, of_light: bool) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        need = t.shared_differences(F.col("x.excess"), F.col("y.excess"))
+        fits = (F.col("x.name") < F.col("y.name")) & (F.col("x.component") != F.col("y.component")) & t.sizes_fit(F.col("x.n"), F.col("y.n")) & (F.least("x.rest", "y.rest") >= need)
+        if not of_light:
+            fits = fits & ~(F.col("x.light") & F.col("y.light"))
+        return x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+
+    return met(one, False).union(met(two, True)).distinct()
 
 
 def row_key() -> F.Column:
@@ -258,63 +376,24 @@ def row_key() -> F.Column:
 
 def near_groups(docs: DataFrame, *, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links), ``row_key``."""
+    t = threshold
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_key", row_key())
-    levels, sizes, length = _sketch(base, k)
-    boundary = choose_boundary(sizes, length, threshold)
-    indexed = materialise(_indexed(base, levels, boundary, k, threshold), "sets")
-
-    posting = indexed.filter("keys IS NOT NULL").select("name", F.col("n_shingles").cast("int").alias("size"), F.explode("keys").alias("key")).select("key", "name", "size")
-    by_key = Window.partitionBy("key")
-    several = posting.withColumn("n0", F.min("name").over(by_key)).withColumn("n1", F.max("name").over(by_key)).filter("n0 <> n1").select("key", "name", "size").distinct()
-    # lists of the same sets are one list that counts as often: a passage's shingles don't repeat its pairs
-    alike = [F.bit_xor(F.xxhash64("name", F.lit(seed))).over(by_key) for seed in (1, 2)]
-    one_list = several.withColumn("list", F.xxhash64(*alike, F.count("*").over(by_key)))
-    shared = materialise(one_list.groupBy("list", "name", "size").agg(F.min("key").alias("key"), F.count("*").alias("times")).drop("list"), "lists")
-
-    def ordered(x: str, nx: str, y: str, ny: str) -> list[F.Column]:
-        """A pair with the smaller name first, sizes beside."""
-        swap = F.col(x) > F.col(y)
-        return [F.when(swap, F.col(y)).otherwise(F.col(x)).alias("a"), F.when(swap, F.col(ny)).otherwise(F.col(nx)).alias("na"), F.when(swap, F.col(x)).otherwise(F.col(y)).alias("b"), F.when(swap, F.col(nx)).otherwise(F.col(ny)).alias("nb")]
-
-    def not_joined(comp: DataFrame) -> DataFrame:
-        """The lists whose sets lie in several components, with those and their numbers of sets."""
-        sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("weight")), "component").withColumnRenamed("node", "name")
-        rows = shared.join(sized, "name", "left").withColumn("component", F.coalesce("component", "name")).fillna(1, ["weight"])
-        rows = rows.withColumn("c0", F.min("component").over(by_key)).withColumn("c1", F.max("component").over(by_key)).filter("c0 <> c1")
-        return materialise(rows.select("key", "name", "size", "times", "component", "weight"), "apart")
-
-    # any choice of pairs is right in these rounds: each set meets a few random members of its lists' largest components
-    apart, comp = shared.withColumn("component", F.col("name")).withColumn("weight", F.lit(1)), None
-    for seed in range(LEADER_ROUNDS):
-        own = F.struct("weight", F.xxhash64("name", F.lit(seed)).alias("h"), "name", "size", "component")
-        far = F.struct((-F.col("weight")).alias("weight"), F.xxhash64("name", F.lit(seed)).alias("h"), "name", "size", "component")
-        led = apart.withColumn("lo", F.min(far).over(by_key)).withColumn("hi", F.max(own).over(by_key))
-        met = None
-        for e in ("lo", "hi"):
-            own_met = led.filter(f"{e}.component <> component").filter(threshold.sizes_fit(F.col("size"), F.col(f"{e}.size"))).select("name", "size", F.col(f"{e}.name").alias("other"), F.col(f"{e}.size").alias("n_other"), "times")
-            met = own_met if met is None else met.union(own_met)
-        met = met.groupBy("name", "size", "other", "n_other").agg(F.sum("times").alias("met"))
-        most = F.slice(F.sort_array(F.collect_list(F.struct("met", "other", "n_other")), False), 1, LEADERS)
-        best = met.groupBy("name", "size").agg(most.alias("best")).select("name", "size", F.explode("best").alias("x")).select("name", "size", "x.other", "x.n_other")
-        pairs = best.select(*ordered("name", "size", "other", "n_other"))
-        new = _links(pairs.distinct(), base, indexed, k, threshold)
-        comp = _joined(comp, new)
-        apart = not_joined(comp)
-
-    # all that remains: pairs in different components, each once, at the first list that both are on
-    lists = apart.groupBy("name").agg(F.collect_list("key").alias("keys"), F.collect_list("times").alias("counts"))
-    rows = apart.select("key", "name", "size", "component").join(lists, "name")
-    x, y = rows.alias("x"), rows.alias("y")
-    common = F.array_intersect("x.keys", "y.keys")
-    apart_pair = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name")) & threshold.sizes_fit(F.col("x.size"), F.col("y.size"))
-    once = x.join(y, (F.col("x.key") == F.col("y.key")) & apart_pair & (F.array_min(common) == F.col("x.key")))
-    once = materialise(once.select(F.col("x.name").alias("a"), F.col("x.size").alias("na"), F.col("y.name").alias("b"), F.col("y.size").alias("nb"), F.col("x.keys").alias("keys"), F.col("x.counts").alias("counts"), common.alias("common")), "once")
-    met = F.aggregate("common", F.lit(0).cast("long"), lambda s, key: s + F.element_at("counts", F.array_position("keys", key).cast("int")))
-    # two light sets meet on subsets too: for them one meeting is enough
-    enough = (F.greatest("na", "nb") <= boundary) | (met >= threshold.least_met(F.col("na"), F.col("nb")))
-    second = _links(once.filter(enough).select("a", "na", "b", "nb"), base, indexed, k, threshold)
-    if not second.isEmpty():
-        comp = _joined(comp, second)
+    indexed = materialise(_indexed(base, _sketch(base, k), k, t), "sets")
+    wanted = materialise(_with_partner(indexed), "wanted")
+    full = materialise(_full_sets(base, indexed, wanted, k), "fullsets")
+    sets = materialise(_reduced(full, t), "reduced")
+    drop_files(full)
+
+    comp = connected_components(_first_links(sets, t))
+    across = materialise(_across(sets, comp, t), "across")
+    led = materialise(_led(across, t), "led")
+    comp = _joined(comp, led.filter(t.holds(F.col("na"), F.col("nb"), F.col("common"))))
+    sure, differences = _difference_sets(led, comp, t)
+    last = materialise(sure.union(_links(_candidates(differences, t), across, t)), "links")
+    if not last.isEmpty():
+        comp = _joined(comp, last)
+    for table in (wanted, sets, across, led, differences):
+        drop_files(table)
 
     named = indexed.select("doc_id", "row_key", "n_shingles", "name").join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     lowest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
