@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import io
 import re
+import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -186,11 +188,88 @@ def test_window_sums_cover_every_hit():
         hits = [(i, float(w)) for i, w in zip(at, rng.random(400), strict=True)]
         want = max(sum(w for j, w in hits if abs(i - j) <= toxicity.WINDOW) for i, _ in hits)
         assert toxicity.largest_window(hits) == pytest.approx(want)
-    for text in ('"idiot', 'idiot"', '"a idiot', 'idiot a"', '"' + " a" * 11 + ' idiot b"', '"a idiot b"'):
+
+
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ('"you idiot" they said', True),
+        ('they said "idiot," then', True),
+        ("the word ‘idiot’ is old", True),
+        ("he wrote 'what an idiot' once", True),
+        ("er sagte „du idiot“ leise", True),
+        ("« un idiot » dit", True),
+        ('" an idiot "', True),
+        ('"idiot and then more', False),  # a mark that only opens
+        ('an idiot" they', False),
+        ('"one thing" you idiot "another thing"', False),  # between two quotations
+        ("don't be an idiot, it's bad", False),
+        ('"' + "a " * 11 + 'idiot b"', False),  # the marks lie outside of the window
+        ('"a idiot b"', True),
+    ],
+)
+def test_quotations_are_pairs_of_marks(text, quoted):
+    f = toxicity.Scorer({"idiot": 5.0}).figures(text)
+    assert (f[4] > 0) == quoted and (f[0] > 0) != quoted
+
+
+def test_long_texts_take_linear_time():
+    s = toxicity.Scorer({"idiot": 5.0})
+    text = '"idiot ' * 10_000 + 'idiot" ' * 10_000 + LONG
+    s.figures(text)
+    begin = time.perf_counter()
+    s.figures(text)
+    once = time.perf_counter() - begin
+    begin = time.perf_counter()
+    s.figures(text * 4)
+    assert time.perf_counter() - begin < 16 * once + 1
+
+
+def test_toxicity_figures_match_a_slow_version(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    weights = toxicity._lexicon(toxicity._sample(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), 12_000))
+    weights = dict(sorted(weights.items())[:150]) | {"idiot": 5.0, "worthless": 6.0}
+    full = {t: w for t, w in weights.items() if not t.endswith("*")}
+
+    def near(a, b, most):
+        if abs(len(a) - len(b)) > most:
+            return most + 1
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            if min(row) > most:
+                return most + 1
+        return row[-1]
+
+    known = {}
+
+    def best(token):
+        if token not in known:
+            w = max(re.findall(r"[^\W\d_]+", token.lower()), key=len, default="")
+            found = []
+            if len(w) > 2:
+                found = [(v / (1 + d), d == 0) for t, v in full.items() if (d := near(w, t, most := 0 if len(t) < 5 else 1 if len(t) < 9 else 2)) <= most]
+                found += [(v, False) for t, v in weights.items() if t.endswith("*") and len(w) >= len(t) and w.startswith(t[:-1])]
+            known[token] = max(found, default=(0.0, False)) if not any(e for _, e in found) else max(x for x in found if x[1])
+        return known[token]
+
+    s, rng = toxicity.Scorer(weights), np.random.default_rng(0)
+    spelt = [*full, *(w[:k] + "e" + w[k + 1 :] for w in full for k in range(0, len(w), 2)), *(w[:k] + w[k + 1 :] for w in full for k in range(0, len(w), 2))]
+    texts = [r.text for r in rows] + [" ".join(rng.choice([*spelt, *["the", "day,", "Night."] * len(spelt)], 80)) for _ in range(40)]
+    checked = 0
+    for text in texts:
+        if not text or len(text) > 20_000 or any(c in text for c in "\"“”„«»‟'‘’‚‹›"):
+            continue
         tokens = text.split()
-        i, marks = tokens.index(next(t for t in tokens if "idiot" in t)), [k for k, t in enumerate(tokens) if '"' in t]
-        quoted = any(i - toxicity.WINDOW <= m <= i for m in marks) and any(i <= m <= i + toxicity.WINDOW for m in marks)
-        assert (s.figures(text)[4] > 0) == quoted
+        hits = [(i, best(t)[0]) for i, t in enumerate(tokens) if best(t)[0]]
+        got = s.figures(text)
+        checked += bool(hits)
+        assert got[0] == pytest.approx(np.log1p(sum(w for _, w in hits)))
+        assert got[6] == pytest.approx(max((sum(w for j, w in hits if abs(i - j) <= toxicity.WINDOW) for i, _ in hits), default=0.0))
+        assert got[7] == pytest.approx(max((w for _, w in hits), default=0.0))
+    assert checked >= 40
 
 
 def test_toxicity_scores_rows_without_labels_and_ignores_held_out_ones(spark):
@@ -501,14 +580,64 @@ def test_encoding_matches_the_library(spark):
         assert out[i].ids == ids and out[i].n_tokens == len(ids) and out[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def merged_slowly(merges, word):
+    """Lowest rank first, leftmost first, one merge at a time."""
+    ids = [merges.vocab[c if k < len(word) - 1 else c + merges.end] for k, c in enumerate(word)]
+    made = {(i, j): k for k, (i, j, _) in merges.parts.items()}
+    while pairs := [(merges.rank[x], k) for k, x in enumerate(zip(ids, ids[1:])) if x in merges.rank]:
+        _, k = min(pairs)
+        ids[k : k + 2] = [made[ids[k], ids[k + 1]]]
+    return ids
+
+
 def test_streamed_words_are_stable_with_bounded_memory():
     enc = bpe.Encoder(WORDS)
     rng = np.random.default_rng(1)
-    for w in ("ab" * 2000, "".join(rng.choice(list("etaoinshr"), 6000))):
-        assert list(enc.merges.stream(w)) == enc.merges.word(w)
+    for w in ("ab" * 400, "".join(rng.choice(list("etaoinshr"), 1500)), "a" * 700, "the"):
+        assert list(enc.merges.stream(w)) == list(enc.merges.stream([w])) == merged_slowly(enc.merges, w)
     out = enc.merges.stream(iter("the" * 400))
     early = next(out)
-    assert early == enc.merges.word("the" * 400)[0] and enc.merges.lookahead >= enc.merges.window
+    assert early == merged_slowly(enc.merges, "the" * 400)[0] and enc.merges.lookahead >= enc.merges.window
+    for letters in ("etaoinshr", "ab", "a", "qzx"):
+        run = bpe.Transducer(enc.merges)
+        for _ in range(300):  # whatever has come, no more than the lookahead is held back
+            run.feed("".join(rng.choice(list(letters), 700)))
+            assert len(run.text) <= 3 * enc.merges.lookahead
+
+
+def test_a_text_without_spaces_is_encoded_in_constant_memory():
+    enc = bpe.Encoder(WORDS)
+    word = "".join(np.random.default_rng(0).choice(list("etaoinshr"), 997))
+    enc.encode(word * 200)  # what pairs of tokens tell is remembered
+
+    def peak(times):
+        tracemalloc.start()
+        n = sum(len(p) for p in enc.pieces(word for _ in range(times)))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, top
+
+    (few, low), (many, high) = peak(300), peak(1500)
+    assert many > 4 * few and high < 1.2 * low + 100_000
+
+
+def test_every_pretoken_takes_the_transducer(monkeypatch):
+    enc, fed = bpe.Encoder(WORDS), []
+    own = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, symbols, final=False: fed.append(symbols) or own(self, symbols, final))
+    enc.encode("One two, two don't 12")
+    assert sorted(fed) == sorted(["one", "two", ",", "don", "'t", "1", "2"])
+
+
+@pytest.mark.parametrize("block", [32, 300])
+def test_blocks_and_edges_change_no_id(monkeypatch, block):
+    tk, enc, rng = Tokenizer.from_file(WORDS), bpe.Encoder(WORDS), np.random.default_rng(block)
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    for k in range(200):
+        letters = list("abcdst' 0é́Σ\x1c.,!<|>日İ\n한하" if k % 2 else "abcdet'é́<|>rl日")
+        t = "".join(rng.choice(letters, 300)) + "<|endoftext|>" * (k % 3) + "".join(rng.choice(letters, 300))
+        got = np.frombuffer(b"".join(enc.pieces(t[i : i + 17] for i in range(0, len(t), 17))), "<u4").tolist()
+        assert got == tk.encode(t, add_special_tokens=False).ids, t
 
 
 def test_text_is_decoded_byte_by_byte():
