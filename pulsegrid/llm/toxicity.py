@@ -8,6 +8,10 @@ words die after a few. Every hit gets a context: hits between quotation marks wi
 window of words count as quoted, the others as used, and hits near each other add up to a
 window score. A logistic regression on a document's eight figures gives its score.
 
+A quotation runs from a token that begins with a mark to the next that ends with one of its kind (single or
+double; a mark after the word or its punctuation ends, one before it begins). A hit inside one whose both marks are within the
+window is quoted; an opening mark without an end, or a place between two quotations, quotes nothing.
+
 Lexicon and regression are fitted on at most ``max_rows`` labelled rows (a documented bound;
 those with the lowest hash of doc_id), without held-out rows. Neither labels nor lang,
 source or doc_id enter a score.
@@ -15,12 +19,13 @@ source or doc_id enter a score.
 Defined cases: a null text is the empty text and gets the score of a text without hits;
 labels other than 0 and 1 are ignored, of several labels for one document the highest counts;
 a null doc_id counts as the empty string for the fold; with no labels of one kind all scores
-are the share of toxic labels (0 without labels); repeated rows give repeated rows; other columns are kept.
+are the share of toxic labels (0 without labels); repeated rows give repeated rows; an empty table gives no rows; time and memory
+grow linearly with a text's length; other columns are kept by ``score``, but for ``score`` and ``predicted``, which it replaces.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,9 +38,15 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.storage import materialise
 
-FOLDS, WINDOW, CACHE_WORDS = 5, 10, 400_000
+FOLDS, WINDOW, CACHE_WORDS = 5, 10, 200_000
+#: Trie places in the automaton's known states; beyond, states are found anew, which changes no result.
+STATE_PLACES = 1_000_000
+#: Texts are scored in slices of so many rows and, but for single longer texts, bytes.
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 LETTERS = regex.compile(r"[^\W\d_]+")
-QUOTES = frozenset("\"“”„«»‟")
+#: Quotation marks before and after a token, with its other punctuation.
+OPENS, CLOSES = regex.compile(r"^[(\[{¿¡]*([\"“”„«»‟'‘’‚‹›])"), regex.compile(r"([\"“”„«»‟'‘’‚‹›])[)\]}.,;:!?…]*$")
+SINGLE = frozenset("'‘’‚‹›")
 FIGURES = 8
 
 
@@ -78,6 +89,7 @@ class Matcher:
         self.names = {frozenset(): 0}
         self.step: list[dict[str, int]] = [{}]
         self.ends: list[tuple[float, int]] = [(0.0, 0)]
+        self.places = 0
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -95,6 +107,7 @@ class Matcher:
             self.names[key] = len(self.states)
             self.states.append(key)
             self.step.append({})
+            self.places += 1 + len(nodes)
             hits = [(v[0], e) for n, e in nodes.items() if (v := self.value[n]) and e <= v[1]]
             self.ends.append(max(((w / (1 + e), e) for w, e in hits), default=(0.0, 0)))
         return self.names[key]
@@ -119,7 +132,7 @@ class Matcher:
         for n in self.stem_sizes:
             if len(word) > n and (w := self.stems.get(word[:n])) and w > best[0]:
                 best = (w, 2)
-        if len(self.states) > 100_000:
+        if self.places > STATE_PLACES:
             self._reset()
         state, step = self.start, self.step
         for c in word:
@@ -159,34 +172,54 @@ def largest_window(hits: list[tuple[int, float]]) -> float:
     return best
 
 
+def quotations(marks: list[tuple[int, str, str]]) -> dict[bool, tuple[list[int], list[int]]]:
+    """First and last tokens of the quotations of each kind (single or not), from (place, opening, closing mark) in order.
+
+    A mark that stands alone (``opening`` of two characters) ends what has begun, or begins.
+    """
+    spans: dict[bool, tuple[list[int], list[int]]] = {True: ([], []), False: ([], [])}
+    begun: dict[bool, int] = {}
+    for i, opening, closing in marks:
+        if len(opening) > 1 and (opening[0] in SINGLE) in begun:
+            opening, closing = "", opening[0]
+        if opening:
+            begun[opening[0] in SINGLE] = i
+        if closing and (kind := closing in SINGLE) in begun:
+            spans[kind][0].append(begun.pop(kind))
+            spans[kind][1].append(i)
+    return spans
+
+
 class Scorer(dict):
-    """Figures of texts; remembers each token's hit."""
+    """Figures of texts; remembers what each token is: None, or weight and kind of its hit, its opening and closing mark."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.matcher = Matcher(weights)
 
-    def __missing__(self, token: str) -> tuple[float, int] | None:
+    def __missing__(self, token: str) -> tuple[float, int, str, str] | None:
         word = words_of(token)
-        hit = self.matcher.match(word) if len(word) > 2 else (0.0, 0)
-        hit = hit if hit[1] else None
+        weight, kind = self.matcher.match(word) if len(word) > 2 else (0.0, 0)
+        opens, closes = ("", "") if token.isalnum() else (m[1] if (m := x.search(token)) else "" for x in (OPENS, CLOSES))
+        if opens and not word:
+            opens, closes = opens * 2, ""
+        found = (weight, kind, opens, closes) if kind or opens or closes else None
         if len(token) <= 64:
             if len(self) > CACHE_WORDS:
                 self.clear()
-            self[token] = hit
-        return hit
+            self[token] = found
+        return found
 
     def figures(self, text: str | None) -> list[float]:
         tokens = text.split() if text else []
-        hits = [(i, h) for i, h in enumerate(map(self.__getitem__, tokens)) if h]
+        told = [(i, x) for i, x in enumerate(map(self.__getitem__, tokens)) if x]
+        hits = [(i, x[0], x[1]) for i, x in told if x[1]]
         if not hits:
             return [0.0] * FIGURES
-        marks = [i for i, t in enumerate(tokens) if QUOTES.intersection(t)] if QUOTES.intersection(text) else []
+        spans = quotations([(i, x[2], x[3]) for i, x in told if x[2] or x[3]])
         sums, used, exact, stems, fuzzy, quoted = 0.0, [], set(), 0, 0, 0
-        for i, (w, kind) in hits:
-            at = bisect_left(marks, i)  # a mark on the hit's own token counts for both sides
-            own = at < len(marks) and marks[at] == i
-            if own or (0 < at < len(marks) and marks[at - 1] >= i - WINDOW and marks[at] <= i + WINDOW):
+        for i, w, kind in hits:
+            if any((at := bisect_right(first, i) - 1) >= 0 and i - WINDOW <= first[at] and i <= last[at] <= i + WINDOW for first, last in spans.values()):
                 quoted += 1
                 continue
             used.append((i, w))
@@ -211,55 +244,62 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
 
 
-def _lexicon(sample: DataFrame, max_terms: int) -> dict[str, float]:
-    """Terms with their log odds, from document counts in both classes."""
+def _lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms with their log odds, from document counts in both classes; the labelled rows alone bound their number."""
 
-    def count(wanted: frozenset[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
                 seen: tuple[Counter, Counter] = Counter(), Counter()
-                for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    terms = terms_of(text.as_py() or "")
-                    seen[toxic].update(terms if wanted is None else terms & wanted)
+                for text, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    seen[toxic].update(terms_of(text.as_py() or ""))
                 terms = list(seen[0] | seen[1])
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "k1", "k0"])
 
-        return run
-
-    schema = "term string, k1 long, k0 long"
-    toxic = sample.filter("toxic = 1").mapInArrow(count(None), schema).groupBy("term").agg(F.sum("k1").alias("k1")).filter("k1 >= 3").orderBy(F.desc("k1"), "term").limit(20_000)
-    wanted = frozenset(r.term for r in toxic.select("term").collect())
     n = dict(sample.groupBy("toxic").count().collect())
-    if not wanted or len(n) < 2:
+    if len(n) < 2:
         return {}
-    rows = sample.mapInArrow(count(wanted), schema).groupBy("term").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).collect()
-    scored = {r.term: float(np.log((r.k1 + 0.5) / (n[1] + 1)) - np.log((r.k0 + 0.5) / (n[0] + 1))) for r in rows}
+    counts = sample.mapInArrow(run, "term string, k1 long, k0 long").groupBy("term").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
     # what the share of toxic labels leaves to chance grows with rarity: ask for odds, and for enough documents
-    kept = sorted(((s, r.k1, r.term) for r in rows if (s := scored[r.term]) >= 3.0 and r.k1 >= 5 and r.k1 >= 9 * r.k0), key=lambda x: (-x[0], x[2]))
-    return {t: min(s, 8.0) for s, _, t in kept[:max_terms]}
+    rows = counts.filter("k1 >= 5 AND k1 >= 9 * k0").collect()
+    scored = {r.term: float(np.log((r.k1 + 0.5) / (n[1] + 1)) - np.log((r.k0 + 0.5) / (n[0] + 1))) for r in rows}
+    return {t: min(s, 8.0) for t, s in sorted(scored.items()) if s >= 3.0}
+
+
+def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes."""
+    ends = np.cumsum([v.as_buffer().size if v.is_valid else 0 for v in batch.column(text_at)])
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), at + SLICE_ROWS)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _score_rows(docs: DataFrame, model_of, columns: list[str], scored_fields: str) -> DataFrame:
     """Adds what ``model_of(texts)`` gives for the text column to every row."""
-    names = [*columns, *[f.split()[0] for f in scored_fields.split(", ")]]
-    base = docs.select(*columns)
+    added = [f.split()[0] for f in scored_fields.split(", ")]
+    columns = [c for c in columns if c not in added]
+    names = [*columns, *added]
+    base = docs.select(*[F.col(f"`{c}`") for c in columns])
     text_at = columns.index("text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [scored_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, text_at):
                 yield pa.RecordBatch.from_arrays([*part.columns, *own(part.column(text_at))], names)
 
     return base.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, max_terms: int = 2_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000) -> Model:
     """Fits lexicon and regression on a bounded sample; the driver sees counts of terms and figures of the sample only."""
     sample = materialise(_sample(docs, labels, max_rows), "labelled")
-    weights = _lexicon(sample, max_terms)
+    weights = _lexicon(sample)
     shared = sample.sparkSession.sparkContext.broadcast(weights)
 
     def scorer():
