@@ -17,7 +17,8 @@ and travel under keys of their own, so a very common passage meets no single tas
 Defined cases: null texts stay null, texts without a whole span stay as they are, and texts of
 which nothing is left become empty; case and white space between words don't count;
 rows that repeat id and text count as one place and stay alike; a null doc_id is ordered by
-its text; columns other than text and n_chars pass through.
+its text; ties of equal spans within one text go to the earlier place; texts of any length are cut by whole-text passes whose memory
+is in proportion to the text; an empty table gives no rows; columns other than text and n_chars pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shingles import mix, words_in
+from pulsegrid.llm.storage import plain_column
 
 SENTENCES, LEAST_WORDS, LONGEST = 3, 12, 8
 _ENDS = np.zeros(256, bool)
@@ -89,9 +91,9 @@ def spans(heads: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_doc`` (the order of documents) and ``_tag`` (16 bits that tell rows of one id with other texts apart)."""
+    """Adds ``doc`` (the order of documents) and ``tag`` (31 bits that tell rows of one id with other texts apart)."""
     h = F.xxhash64("text")
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(h, 1))).withColumn("_tag", F.pmod(h, F.lit(65536)).cast("int"))
+    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(h, 1))).withColumn("tag", F.pmod(h, F.lit(1 << 31)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +120,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, spot) of every span that isn't the first of its kind; ``docs`` has _doc, _tag and text."""
-    found = docs.select("_doc", "_tag", "text").mapInArrow(_rows, "key long, doc long, spot long, later boolean")
+    """(doc, spot) of every span that isn't the first of its kind; ``docs`` has doc, tag and text."""
+    found = docs.select("doc", "tag", "text").mapInArrow(_rows, "key long, doc long, spot long, later boolean")
     # the first of each batch only: a key has no more rows than there are batches
     place = F.rank().over(Window.partitionBy("key").orderBy("doc", "spot"))
     return found.withColumn("place", place).filter("later OR place > 1").select("doc", "spot")
@@ -132,6 +134,7 @@ def _without(text: str, drop: list[int]) -> tuple[str, list[tuple[int, int]]]:
     ends, _ = spans(heads, hashes)
     gone = np.zeros(len(heads) + 1, np.int64)
     at = np.unique(np.array(drop, np.int64))
+    at = at[at < len(ends)]  # whatever the tag let through
     np.add.at(gone, at, 1)
     np.add.at(gone, ends[at], -1)
     gone = np.append(np.cumsum(gone)[:-1] > 0, False)
@@ -147,20 +150,25 @@ def _without(text: str, drop: list[int]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` and ``n_chars`` after removal, and ``_removed`` (ranges of UTF-8 bytes of the old text)."""
-    names = docs.columns
-    base = _keyed(docs)
-    found = repeated_spans(base).groupBy("doc", F.shiftright("spot", 32).cast("int").alias("tag")).agg(F.collect_list((F.col("spot") % (1 << 32)).cast("int")).alias("_drop"))
-    joined = base.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left").select(*[F.col(f"`{n}`") for n in names], "_drop")
-    at = names.index("text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_drop"]
+    """The documents with ``text`` and ``n_chars`` after removal, and ``_removed`` (ranges of UTF-8 bytes of the old text).
+
+    An input column of the name ``_removed`` is replaced; all others may have any names.
+    """
+    names = [n for n in docs.columns if n.lower() != "_removed"]
+    at, by, chars = ({n.lower(): k for k, n in enumerate(names)}.get(x) for x in ("text", "doc_id", "n_chars"))
+    own = docs.select(*[plain_column(n).alias(f"c{k}") for k, n in enumerate(names)])  # no name can clash with ours
+    columns_in = own.columns
+    base = _keyed(own.withColumns({"text": F.col(f"c{at}"), "doc_id": F.col(f"c{by}")})).drop("text", "doc_id")
+    found = repeated_spans(base.withColumn("text", F.col(f"c{at}"))).groupBy("doc", F.shiftright("spot", 32).alias("tag")).agg(F.collect_list((F.col("spot") % (1 << 32)).cast("int")).alias("spots"))
+    joined = base.join(found, ["doc", "tag"], "left").select(*columns_in, "spots")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "spots"]
     removed = "array<struct<start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 texts, gone = [], []
                 for text, drop in zip(part.column(at).to_pylist(), part.column(len(names)), strict=True):
                     new, ranges = (text, []) if text is None or not drop.is_valid else _without(text, drop.as_py())
@@ -169,9 +177,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns = list(part.columns)
                 columns[at] = pa.array(texts, pa.string())
                 columns[-1] = pa.array(gone, ranges_type)
-                yield pa.RecordBatch.from_arrays(columns, [*names, "_removed"])
+                yield pa.RecordBatch.from_arrays(columns, [*columns_in, "removed"])
 
-    out = joined.mapInArrow(run, ", ".join([*fields, f"_removed {removed}"]))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out
+    out = joined.mapInArrow(run, ", ".join([*fields, f"removed {removed}"]))
+    if chars is not None:
+        out = out.withColumn(f"c{chars}", F.when(F.size("removed") > 0, F.char_length(f"c{at}").cast("long")).otherwise(F.col(f"c{chars}")))
+    return out.toDF(*names, "_removed")
