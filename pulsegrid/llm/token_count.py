@@ -2,16 +2,16 @@
 
 A text of up to ``chunk`` characters is encoded at once. A longer one is encoded in
 overlapping chunks with offsets. Two neighbouring encodings are spliced at a *stable*
-boundary inside their overlap: a place where a space follows a character that is none.
-No piece of the vocabulary holds a space mark after another character (checked when the
-model is loaded), so no merge can cross such a place whatever stands around it. The
+boundary inside their overlap: a place between two characters that no piece of the vocabulary
+holds side by side (read from the model: a space after another character is one in the usual models, and so are many pairs inside of words), so
+no merge can cross such a place whatever stands around it. The
 splice also needs the two encodings to agree on all tokens from that boundary to the
-next stable one; while they don't, or no boundary lies in the overlap, the overlap is
-doubled. If it reaches the end of the text, the rest is encoded in one piece.
+next stable one; while they don't, the overlap is doubled. If no stable place lies in a chunk, it is taken together
+with all up to the next stable places, in one step, so a text is encoded twice at most however few of them it has.
 
 Defined cases: a null text counts as the empty one (no bytes, no tokens); special strings
-in a text are ordinary text, the library's default; repeated rows give repeated rows;
-other columns of the input are not read.
+in a text are ordinary text, the library's default; repeated rows give repeated rows; rows without doc_id keep their row; an empty
+table gives no rows; a text without any stable place (one letter repeated) is encoded whole; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ class Counter:
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.vocab_size()))
-        #: Whether places before a space are stable: no piece goes on with a space mark after another character.
-        self.stable = all(not p.lstrip("▁").count("▁") for p in pieces)
+        pieces = [self.model.id_to_piece(i).replace("▁", " ") for i in range(self.model.vocab_size())]
+        #: Two characters that some piece holds side by side; places between all others are stable.
+        self.joined = frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1))
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of one text, in memory that ``chunk`` bounds as long as boundaries turn up."""
-        if len(text) <= chunk or not self.stable:
+        if len(text) <= chunk:
             return len(self.model.encode(text, num_threads=1))
         total, start, floor = 0, 0, 0  # tokens before ``floor`` are counted; the chunk at hand starts at ``start``
         here = self._offsets(text, 0, chunk)
@@ -51,30 +51,40 @@ class Counter:
                 stop = min(len(text), end + chunk)
                 after = self._offsets(text, begin, stop)
                 cut = self._splice(text, here, after, begin, end)
-                if cut is not None:
-                    break
-                if begin <= floor:  # the whole chunk holds no stable place: take it together with what follows
-                    here, end = self._offsets(text, start, stop), stop
-                    after = None
+                if cut is not None or begin <= floor:
                     break
                 back *= 2
-            if after is None:
-                if end >= len(text):
-                    break
+            if cut is None:  # the whole chunk holds no two stable places: take it together with what comes up to the next ones
+                end = min(len(text), self._next_places(text, stop) + overlap)
+                here = self._offsets(text, start, end)
                 continue
             total += sum(floor <= b < cut for b in here)
             here, start, floor, end = after, begin, cut, stop
         return total + sum(b >= floor for b in here)
 
+    def _stable(self, text: str, p: int) -> bool:
+        """Whether no piece can cross the place before ``text[p]``; spaces in a row are left out, for the normaliser's sake."""
+        pair = text[p - 1 : p + 1]
+        return pair not in self.joined and pair.isascii() and pair[0] != " " and pair.isprintable()
+
+    def _next_places(self, text: str, at: int) -> int:
+        """Past the second stable place from ``at`` on."""
+        seen = 0
+        for p in range(max(at, 1), len(text)):
+            if self._stable(text, p):
+                seen += 1
+                if seen == 2:
+                    return p + 1
+        return len(text)
+
     def _offsets(self, text: str, start: int, end: int) -> list[int]:
         """Where in ``text`` each token of text[start:end] begins."""
         found = self.model.encode(text[start:end], return_type="proto", num_threads=1)
         return list(accumulate((len(p.surface) for p in found.pieces), initial=start))[:-1]
 
-    @staticmethod
-    def _splice(text: str, left: list[int], right: list[int], begin: int, end: int) -> int | None:
+    def _splice(self, text: str, left: list[int], right: list[int], begin: int, end: int) -> int | None:
         """A stable place in [begin, end) after which both encodings have the same tokens up to the next stable place."""
-        places = [p for p in range(max(begin + 1, 1), end) if text[p] == " " and text[p - 1] not in " ▁"]
+        places = [p for p in range(max(begin + 1, 1), end) if self._stable(text, p)]
         ends, starts = set(left), set(right)
         for a, b in zip(places, places[1:], strict=False):
             if a in ends and a in starts and [x for x in left if a <= x < b] == [x for x in right if a <= x < b]:
