@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from pulsegrid.llm import bpe, components, html_extract, jaccard_join, minhash, packing, queries, shingles, span_dedup, token_count, toxicity, warc
+from pulsegrid.llm import bpe, components, html_extract, jaccard_join, minhash, packing, queries, shingles, span_dedup, token_count, toxicity, warc, webp
 from tests.conftest import SF
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -523,9 +523,18 @@ def test_token_counts_match_the_library(spark):
         assert (out[i].n_tokens, out[i].n_bytes, out[i].over_limit) == (n, len((t or "").encode()), n > 4096)
 
 
+def test_texts_without_spaces_are_counted_in_linear_time():
+    c, rng = token_count.Counter(PIECES), np.random.default_rng(0)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 400_000))
+    begin = time.perf_counter()
+    for t in (text, "ab" * 200_000):
+        assert c.count(t) == len(c.model.encode(t))
+    assert time.perf_counter() - begin < 15
+
+
 def test_chunked_counts_widen_where_nothing_is_stable():
     sp, c = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_count.Counter(PIECES)
-    assert c.stable
+    assert "a " not in c.joined and "th" in c.joined
     rng = np.random.default_rng(0)
     cases = ["x" * 3000 + " " + "y " * 10 + "z" * 2000 + "   " * 500 + "abc def", " " * 5000, "日本" * 900, "a▁b " * 400, "<s> </s> " * 300]
     cases += ["".join(rng.choice(list("abc  \n▁é日x"), int(rng.integers(1, 900)))) for _ in range(60)]
@@ -651,6 +660,98 @@ def test_all_ten_and_the_pipeline_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
+CLASHING = ["doc", "tag", "_drop", "_removed", "row_key", "spot", "score", "predicted", "name", "keys", "c0", "a.b c", "lang", "source", "n_chars"]
+
+
+def clashing(spark):
+    texts = [None, "", "one", "the same long text of a document that is there twice, word by word. " * 4, "the same long text of a document that is there twice, word by word. " * 4, "a b c d e f g h"]
+    rows = [(i, t, *([None if i == 2 else k] * len(CLASHING))) for i, (k, t) in enumerate(zip([1, 2, 3, 4, 4, 5], texts, strict=True))]
+    rows.append((None, "no id", *([9] * len(CLASHING))))
+    return spark.createDataFrame(rows, "doc_id long, Text string, " + ", ".join(f"`{n.replace('`', '``')}` long" for n in CLASHING))
+
+
+def test_names_of_extra_columns_may_clash(spark):
+    d = clashing(spark)
+    kept = jaccard_join.one_of_each(d)
+    assert kept.columns == d.columns and sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 5), (True, None)]
+    out = span_dedup.remove_repeats(d)
+    assert out.columns == [c for c in d.columns if c != "_removed"] + ["_removed"]
+    found = {r.doc_id: r for r in out.collect()}
+    assert found[3].Text.startswith("the same") and found[4].Text == "" and found[0].Text is None and found[4].tag == 4
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for part in (toxicity.toxicity(d, labels), minhash.fingerprints(d), packing.pack(d, WORDS), bpe.encode_decode(d, WORDS), token_count.count_tokens(d, PIECES), jaccard_join.near_groups(d), webp.round_trip(d)):
+        assert {r.doc_id for r in part.collect()} == {None, 0, 1, 2, 3, 4, 5}
+    scored = toxicity.score(d.withColumnRenamed("Text", "text"), toxicity.Model({}))
+    assert sorted(scored.columns) == sorted([*(c for c in d.columns if c != "Text"), "text"]) and scored.count() == 7
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    passage = "these are the words of a passage that comes back, again and again. It has two sentences. And a third one here. "
+    d = docs(spark, [passage + "end a", "x. " + passage + "end b", passage], [1, 1, 1])
+    out = [r.text for r in span_dedup.remove_repeats(d).collect()]
+    assert sum(passage.strip()[:30] in t for t in out) == 1
+
+
+def family(rng, n, size, changed):
+    base = [f"b{rng.integers(1 << 40)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.choice(size, changed, replace=False):
+            w[k] = f"x{rng.integers(1 << 40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_families_about_the_threshold_lose_no_link(spark):
+    texts = [t for changed in (3, 4, 6) for t in family(np.random.default_rng(changed), 150, 120, changed)] + family(np.random.default_rng(50), 60, 40, 1)
+    want = brute_components([shingle_set(t) for t in texts])
+    assert [r.component_id for r in sorted(jaccard_join.near_groups(docs(spark, texts)).collect())] == want
+
+
+def test_a_large_family_without_links_makes_few_candidates(spark, monkeypatch):
+    seen, own = [], jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda *a: seen.append((out := own(*a)).count()) or out)
+    texts = family(np.random.default_rng(0), 2000, 120, 8)
+    out = jaccard_join.near_groups(docs(spark, texts)).collect()
+    assert len({r.component_id for r in out}) > 1900 and sum(seen) < 20_000  # of 2,000,000 pairs
+
+
+def test_the_pipeline_takes_any_table(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"word{k}" for k in range(60)) + ". Second sentence here. Third sentence there. "
+    texts = [None, "", "one", "you stupid idiot go", "you stupid idiot go away", *[passage + f"tail {k} " * 20 for k in range(3)], passage * 3, passage * 3, passage * 3, LONG]
+    full = docs(spark, texts, [*range(len(texts) - 2), 8, None]).drop("extra").withColumns({"row_key": F.lit(1), "tag": F.lit("t")})
+    labels = spark.createDataFrame([(i, int(i in (3, 4)), 0) for i in range(8)], "doc_id long, toxic int, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (full, full.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            if name != "packing":
+                assert now.columns == corpus_pipeline.COLUMNS
+            now = spark.createDataFrame(now.collect(), now.schema)
+        assert (now.count() == 0) == (table.count() == 0)
+
+
+def test_the_pipeline_is_its_stages(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    rows, source = out.collect(), {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, SF).collect(), now.schema)
+    texts = {r.doc_id: r.text for r in now.collect()}
+    check_pieces(rows, texts)
+    toxic = {r.doc_id for r in queries.op2_toxicity(spark, SF).filter("predicted = 1").collect()}
+    assert not toxic & set(texts) and set(texts) <= set(source)
+    ids = sorted(set(source) - toxic)
+    groups = brute_components([shingle_set(source[i].text) for i in ids])
+    assert set(texts) == {ids[g] for g in groups}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert jaccard_join.near_groups(none).collect() == [] and jaccard_join.one_of_each(none).collect() == []
