@@ -25,7 +25,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from struct import pack
 
 import numpy as np
@@ -229,7 +229,7 @@ class Encoder(dict):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = Merges(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+        self._rules = model["vocab"], merges, model.get("end_of_word_suffix") or ""
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -241,6 +241,10 @@ class Encoder(dict):
         self.table = {b: c for b, c in self.stand_in.items()}
         self.longest = max(map(len, self.added), default=0)
 
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(*self._rules)
+
     def _marks(self, word: str) -> str:
         """A word's bytes as stand-in characters; ASCII letters stand for themselves."""
         return word if word.isascii() and word.isalpha() else "".join([self.stand_in[b] for b in word.encode()])

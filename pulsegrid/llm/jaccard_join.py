@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.bits import bit_table, spot, unpacked
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.shingles import mix, shingle_hashes, word_hashes
-from pulsegrid.llm.storage import drop_files, materialise
+from pulsegrid.llm.storage import drop_files, materialise, plain_column
 
 #: The sketch's counters (a fixed 4 MB of levels goes to the executors) in so many blocks.
 SKETCH, BLOCKS = 1 << 22, 64
@@ -209,7 +209,7 @@ def _indexed(docs: DataFrame, levels: np.ndarray, k: int, t: Threshold) -> DataF
                     names.append(name)
                     own, need = None, None
                     if name is not None and name not in sent:  # an equal set's keys are out already
-                        if len(sent) < 1_000_000:
+                        if len(sent) < 200_000:
                             sent.add(name)
                         own, need = keys_of(tokens, table, t)
                     keys.append(own)
@@ -219,12 +219,12 @@ def _indexed(docs: DataFrame, levels: np.ndarray, k: int, t: Threshold) -> DataF
     return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, row_key long, n_shingles long, name long, need int, keys array<long>")
 
 
-def _full_sets(docs: DataFrame, indexed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _full_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The full sets (name, tokens) of the wanted names, from their documents' texts.
 
     A bit table of fixed size, filled with those documents' ids, lets other texts pass unhashed.
     """
-    ids = indexed.select("name", "doc_id").join(wanted, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    ids = named.select("name", "doc_id").join(wanted, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _full_sets(docs: DataFrame, indexed: DataFrame, wanted: DataFrame, k: int) -
                 names, held = [], []
                 for tokens in sets_of(some.slice(at, 512), k):
                     if len(tokens) and (name := set_name(tokens)) not in sent:
-                        if len(sent) < 1_000_000:
+                        if len(sent) < 200_000:
                             sent.add(name)
                         names.append(name)
                         held.append(tokens.view(np.int64))
@@ -249,15 +249,16 @@ def _with_partner(indexed: DataFrame) -> DataFrame:
     """Names of the sets that have enough keys on lists with other sets."""
     sets = indexed.filter("keys IS NOT NULL")
     by_key = Window.partitionBy("key")
-    posting = sets.select("name", "need", F.explode("keys").alias("key"))
+    posting = sets.select("name", F.explode("keys").alias("key"))
     several = posting.withColumn("n0", F.min("name").over(by_key)).withColumn("n1", F.max("name").over(by_key)).filter("n0 <> n1")
-    counted = several.select("name", "need", "key").distinct().groupBy("name", "need").agg(F.count("*").alias("met")).filter("met >= need")
-    return counted.select("name").union(sets.filter("need <= 0").select("name")).distinct()
+    counted = several.select("name", "key").distinct().groupBy("name").agg(F.count("*").alias("met"))
+    needs = sets.select("name", "need").distinct()
+    return needs.join(counted, "name", "left").filter("need <= coalesce(met, 0)").select("name")
 
 
 def _reduced(full: DataFrame, t: Threshold) -> DataFrame:
     """Sets (name, n, tokens) with the shingles that several of them have, rarest first."""
-    occurring = full.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    occurring = full.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")  # one shuffle for the counts and the join
     counts = occurring.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
     ranked = occurring.join(counts, "token").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("ranked"))
     return ranked.filter(F.size("ranked") >= t.least_of(F.col("n"))).select("name", "n", F.col("ranked.token").alias("tokens"))
@@ -304,7 +305,7 @@ def _first_links(sets: DataFrame, t: Threshold) -> DataFrame:
 
 def _across(sets: DataFrame, comp: DataFrame, t: Threshold) -> DataFrame:
     """Sets (name, n, component, tokens) with the shingles that several components have, in their order."""
-    placed = _placed(sets, comp).select("name", "n", "component", F.posexplode("tokens").alias("at", "token"))
+    placed = _placed(sets, comp).select("name", "n", "component", F.posexplode("tokens").alias("at", "token")).repartition("token")
     spans = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
     kept = placed.join(spans, "token").groupBy("name", "n", "component").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
     return kept.filter(F.size("kept") >= t.least_of(F.col("n"))).select("name", "n", "component", F.col("kept.token").alias("tokens"))
@@ -380,7 +381,9 @@ def near_groups(docs: DataFrame, *, k: int = 5, threshold: Threshold = Threshold
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_key", row_key())
     indexed = materialise(_indexed(base, _sketch(base, k), k, t), "sets")
     wanted = materialise(_with_partner(indexed), "wanted")
-    full = materialise(_full_sets(base, indexed, wanted, k), "fullsets")
+    named = materialise(indexed.select("doc_id", "row_key", "n_shingles", "name"), "names")
+    drop_files(indexed)
+    full = materialise(_full_sets(base, named, wanted, k), "fullsets")
     sets = materialise(_reduced(full, t), "reduced")
     drop_files(full)
 
@@ -395,22 +398,26 @@ def near_groups(docs: DataFrame, *, k: int = 5, threshold: Threshold = Threshold
     for table in (wanted, sets, across, led, differences):
         drop_files(table)
 
-    named = indexed.select("doc_id", "row_key", "n_shingles", "name").join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    lowest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return named.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"), "row_key")
+    placed = named.join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    lowest = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    return placed.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"), "row_key")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that stand for their group, with all columns: those with the group's smallest doc_id, once each.
 
-    Rows without doc_id stay only where their whole group has none. Rows that are surely kept, by a bit table
+    Rows without doc_id stay only where their whole group has none; of rows with equal doc_id and text one stays; other columns may have
+    any names. Rows that are surely kept, by a bit table
     of the others' keys, don't take part in the shuffle that looks the others up.
     """
     names = docs.columns
-    groups = materialise(near_groups(docs, **options).select("row_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")).groupBy("row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "groups")
+    place = {n.lower(): k for k, n in enumerate(names)}
+    own = docs.select(*[plain_column(n).alias(f"c{k}") for k, n in enumerate(names)])  # no name can clash with ours
+    identity, text = F.col(f"c{place['doc_id']}").cast("long").alias("doc_id"), F.col(f"c{place['text']}").alias("text")
+    groups = materialise(near_groups(own.select(identity, text), **options).select("row_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")).groupBy("row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "groups")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(groups.filter("NOT kept OR n > 1"), "row_key"))
-    keyed = docs.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key")).select("*", spot("row_key"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "spot")
+    keyed = own.select("*", F.xxhash64(identity, text).alias("row_key")).select("*", spot("row_key"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "spot")
 
     def chosen(listed: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,5 +428,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         return keyed.mapInArrow(run, fields)
 
     looked_up = chosen(True).dropDuplicates(["row_key"]).join(groups.filter("kept").select("row_key"), "row_key", "left_semi")
-    columns = [F.col(f"`{n}`") for n in names]
-    return chosen(False).select(*columns).unionByName(looked_up.select(*columns))
+    return chosen(False).select(*own.columns).unionByName(looked_up.select(*own.columns)).toDF(*names)

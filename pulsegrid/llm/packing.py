@@ -7,7 +7,7 @@ documents: each has keys of ``PARTS`` terms, drawn with its BM25 weights as odds
 (so two documents draw alike the more alike they are), and a shard is a run of neighbours in the order of one key;
 where many documents have one key, its later terms and then a hash divide them. Each shard holds a BM25 inverted
 index over its documents' token ids. The longest unused remainder seeds a sequence; the index returns its best-scoring
-unused neighbours, which fill the window greedily. A neighbour that doesn't fit is cut at a multiple of ``GRID`` ids and its
+unused neighbours for its ``QUERY_TERMS`` heaviest terms, which fill the window greedily. A neighbour that doesn't fit is cut at a multiple of ``GRID`` ids and its
 rest stays in the index; the last room goes to the longest remainder that fits. There is a round for each entry of ``LEAST``:
 a sequence is made where neighbours with that share of the seed's own score fill it, and what stays unused is dealt
 again under another key; the last round packs everything. Neighbours are found by keys, so not all are: the README has
@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ from tokenizers import Tokenizer
 
 from pulsegrid.llm.bpe import Encoder
 from pulsegrid.llm.shingles import mix
-from pulsegrid.llm.storage import drop_files, materialise
+from pulsegrid.llm.storage import drop_files, materialise, slices
 
 WINDOW, END_ID, GRID, SHARD_ROWS = 4096, 2, 32, 1024
+#: A seed asks for its so many heaviest terms.
+QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 LEAST, PARTS = (0.7, 0.5, 0.0), 3
 _KEYS = [f"key{k}" for k in range(len(LEAST) * PARTS)]
@@ -77,10 +80,50 @@ class LibraryEncoder(Encoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
+        if len(self.names) > 1 << 16:
+            raise ValueError("the index keeps terms of 16 bits: a vocabulary of at most 65,536 ids")
 
     def _ids(self, marks: str) -> list[int]:
         return [t.id for t in self.model.tokenize(marks)]
 
+    def _letters(self, word: str) -> bytes:
+        """A word of ASCII letters is one pretoken and its own stand-in."""
+        return self._keep(word, pack_ids("<%dI" % len(ids := self._ids(word)), *ids))
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words; one that ends with a stop or comma after letters isn't remembered itself."""
+        get, ends = self.get, {c: self._pretoken(c) for c in ".,"}
+        for word in words:
+            packed = get(word)
+            if packed is None:
+                if word.isascii():
+                    if word.isalpha():
+                        packed = self._letters(word)
+                    elif word[-1] in ends and (stem := word[:-1]).isalpha():
+                        packed = (get(stem) or self._letters(stem)) + ends[word[-1]]
+                if packed is None:
+                    packed = self[word]
+            yield packed
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, each different word of them looked up once.
+
+        Cut at ASCII white space only; what other space a word holds is left to the pattern.
+        """
+        plain = [None if "<|" in t else self._normal(t) for t in texts]
+        lists = pa.compute.ascii_split_whitespace(pa.array(["" if t is None else t for t in plain], pa.string()))
+        bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        packed = [p for p in self._words([w or " " for w in words.dictionary.to_pylist()])]
+        of_word = np.array([len(p) >> 2 for p in packed], np.int32)
+        first = np.cumsum(of_word, dtype=np.int32) - of_word
+        at = words.indices.to_numpy()
+        sizes = of_word[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        place = np.repeat((first[at] - ends + sizes).astype(np.int32), sizes)
+        ids = np.frombuffer(b"".join(packed), "<u4")[place + np.arange(len(place), dtype=np.int32)]
+        cuts = np.r_[0, ends][bounds].tolist()
+        return [np.frombuffer(self.encode(t), "<u4") if p is None else ids[i:j] for t, p, i, j in zip(texts, plain, cuts[:-1], cuts[1:], strict=True)]
+
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> LibraryEncoder:
@@ -101,11 +144,10 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         enc, end = _encoder(tokenizer_path), np.uint32(END_ID).tobytes()
         step, wide = 4 * GRID, 4 * WINDOW
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1, 4096, 8 << 20):
                 n, windows, running, terms, counts = [], [], [], [], []
-                for value in part.column(1):
-                    packed = enc.encode(value.as_py()) + end
+                for own_ids in enc.encode_all([t or "" for t in part.column(1).to_pylist()]):
+                    packed = own_ids.tobytes() + end
                     n.append(len(packed) // 4)
                     whole = len(packed) // wide * wide
                     windows.append(np.array([zlib.crc32(packed[i : i + wide]) for i in range(0, whole, wide)], "<u4").tobytes())
@@ -198,24 +240,25 @@ class Index:
         n = len(terms)
         term, doc, tf = _flat(terms, counts)
         corpus = corpus or Corpus(n, np.bincount(term, minlength=1 << 16), float(lengths.mean()) if n else 0.0)
-        idf, weight = corpus.idf(), corpus.weights(term, tf, lengths[doc])
+        weight = corpus.weights(term, tf, lengths[doc])
         keep = weight > 0
-        order = np.argsort(term[keep], kind="stable")
-        self.n, self.terms, self.idf = n, terms, idf
-        self.doc, self.weight = doc[keep][order], weight[keep][order]
-        self.bounds = np.searchsorted(term[keep][order], np.arange((1 << 16) + 1))
+        term, doc, weight = term[keep], doc[keep], weight[keep]
+        self.n, self.term, self.own = n, term, weight
+        self.heads = np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(term.astype(np.uint16), kind="stable")  # a radix sort
+        self.doc, self.weight = doc[order], weight[order]
+        self.bounds = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Each document's score for the seed's terms."""
-        query = self.terms[seed].astype(np.int64)
-        query = query[self.idf[query] > 0]
-        low = self.bounds[query]
-        sizes = self.bounds[query + 1] - low
-        ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1]:
+        """Each document's score for the seed's heaviest terms."""
+        mine = slice(self.heads[seed], self.heads[seed + 1])
+        query = self.term[mine]
+        if len(query) > QUERY_TERMS:
+            query = query[np.argpartition(self.own[mine], -QUERY_TERMS)[-QUERY_TERMS:]]
+        if not len(query):
             return np.zeros(self.n)
-        at = np.arange(ends[-1]) + np.repeat(low - ends + sizes, sizes)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        runs = [slice(a, b) for a, b in zip(self.bounds[query].tolist(), self.bounds[query + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), minlength=self.n)
 
 
 def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[np.ndarray], terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None, done: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int, int, int, int, int]]:
@@ -245,10 +288,11 @@ def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[
     for seed in order:
         while left[seed] > 0:
             scores = index.scores(seed) if left[seed] < WINDOW - GRID else np.zeros(index.n)
-            ranked = np.argsort(-scores, kind="stable")[: int(((scores > 0) & (scores >= least * scores[seed])).sum())]
-            ranked = ranked[(left[ranked] > 0) & (ranked != seed)]
+            ranked = np.flatnonzero((scores > 0) & (scores >= least * scores[seed]) & (left > 0))
+            ranked = ranked[ranked != seed]
             if least and left[seed] + left[ranked].sum() <= WINDOW - GRID:
                 break  # left for another round
+            ranked = ranked[np.argsort(-scores[ranked], kind="stable")]
             take(seed, int(left[seed]), 0)
             used = int(pieces[-1][2])
             for row in ranked.tolist():
@@ -329,10 +373,12 @@ def pack(docs: DataFrame, tokenizer_path: str, *, shard_rows: int = SHARD_ROWS)
                 pieces = pack_shard(tokens, [] if turn else windows, running, terms, counts, corpus.value, done, LEAST[turn])
                 base = (turn << 56) + (table.column("_part")[0].as_py() << 32) + first
                 first += max((p[4] for p in pieces), default=-1) + 1
-                own: list[list[dict]] = [[] for _ in tokens]
-                for row, start, length, crc, sequence, offset in pieces:
-                    own[row].append({"start": start, "length": length, "ids_crc32": crc, "sequence_id": base + sequence, "offset": offset})
-                out = {n: table.column(n) for n in names} | {"done": pa.array(done), "pieces": pa.array(own, pa.list_(pa.struct([(f.split()[0], pa.int64()) for f in piece.split(", ")])))}
+                p = np.array(pieces, np.int64).reshape(-1, 6)
+                p = p[np.argsort(p[:, 0], kind="stable")]
+                p[:, 4] += base
+                fields = pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(1, 6)], [f.split()[0] for f in piece.split(", ")])
+                own = pa.ListArray.from_arrays(pa.array(np.searchsorted(p[:, 0], np.arange(len(tokens) + 1)), pa.int32()), fields)
+                out = {n: table.column(n) for n in names} | {"done": pa.array(done), "pieces": own}
                 kept = pa.array(np.arange(len(done)), mask=(done == tokens % WINDOW) | last)
                 for n in ("windows", "running", "terms", "counts"):  # not needed any more
                     out[n] = out[n].take(kept)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,17 @@ def plain_column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def slices(batch: pa.RecordBatch, text_at: int, rows: int = 1024, room: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows and, but for single longer texts, bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right"))
+        to = min(max(at + 1, to), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

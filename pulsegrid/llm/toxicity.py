@@ -35,14 +35,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pulsegrid.llm.storage import materialise
+from pulsegrid.llm.storage import materialise, plain_column, slices
 
 FOLDS, WINDOW, CACHE_WORDS = 5, 10, 200_000
 #: Trie places in the automaton's known states; beyond, states are found anew, which changes no result.
 STATE_PLACES = 1_000_000
-#: Texts are scored in slices of so many rows and, but for single longer texts, bytes.
-SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 LETTERS = regex.compile(r"[^\W\d_]+")
 #: Quotation marks before and after a token, with its other punctuation.
 OPENS, CLOSES = regex.compile(r"^[(\[{¿¡]*([\"“”„«»‟'‘’‚‹›])"), regex.compile(r"([\"“”„«»‟'‘’‚‹›])[)\]}.,;:!?…]*$")
@@ -249,8 +248,7 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 0):
                 seen: tuple[Counter, Counter] = Counter(), Counter()
                 for text, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     seen[toxic].update(terms_of(text.as_py() or ""))
@@ -267,25 +265,14 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     return {t: min(s, 8.0) for t, s in sorted(scored.items()) if s >= 3.0}
 
 
-def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of bounded rows and bytes."""
-    ends = np.cumsum([v.as_buffer().size if v.is_valid else 0 for v in batch.column(text_at)])
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        to = min(max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), at + SLICE_ROWS)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _score_rows(docs: DataFrame, model_of, columns: list[str], scored_fields: str) -> DataFrame:
     """Adds what ``model_of(texts)`` gives for the text column to every row."""
     added = [f.split()[0] for f in scored_fields.split(", ")]
     columns = [c for c in columns if c not in added]
     names = [*columns, *added]
-    base = docs.select(*[F.col(f"`{c}`") for c in columns])
+    base = docs.select(*map(plain_column, columns))
     text_at = columns.index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [scored_fields])
+    schema = StructType([*base.schema.fields, *StructType.fromDDL(scored_fields).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of()
