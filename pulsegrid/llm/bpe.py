@@ -224,6 +224,8 @@ class Encoder(dict):
     pattern, and byte-level BPE with an end-of-word mark.
     """
 
+    memory = CACHE_WORDS
+
     def __init__(self, path: str):
         super().__init__()
         spec = json.load(open(path, encoding="utf-8"))
@@ -261,7 +263,7 @@ class Encoder(dict):
 
     def _keep(self, word: str, packed: bytes) -> bytes:
         if len(word) <= 64:
-            if len(self) > CACHE_WORDS:
+            if len(self) > self.memory:
                 self.clear()
             self[word] = packed
         return packed
