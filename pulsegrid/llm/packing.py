@@ -77,8 +77,6 @@ def crc_of_rest(whole: int, head: int, rest_bytes: int) -> int:
 class LibraryEncoder(Encoder):
     """The encoder's word memory over the tokenizers library: unseen words are tokenised by its BPE model."""
 
-    memory = 250_000
-
     def __init__(self, path: str):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
@@ -146,7 +144,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         enc, end = _encoder(tokenizer_path), np.uint32(END_ID).tobytes()
         step, wide = 4 * GRID, 4 * WINDOW
         for batch in batches:
-            for part in slices(batch, 1, 4096, 6 << 20):
+            for part in slices(batch, 1, 4096, 4 << 20):
                 n, windows, running, terms, counts = [], [], [], [], []
                 for own_ids in enc.encode_all([t or "" for t in part.column(1).to_pylist()]):
                     packed = own_ids.tobytes() + end
