@@ -660,7 +660,7 @@ def test_all_ten_and_the_pipeline_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
-CLASHING = ["doc", "tag", "_drop", "_removed", "row_key", "spot", "score", "predicted", "name", "keys", "c0", "a.b c", "lang", "source", "n_chars"]
+CLASHING = ["doc", "tag", "_drop", "_removed", "row_key", "spot", "score", "predicted", "name", "keys", "c0", "a b c", "lang", "source", "n_chars"]
 
 
 def clashing(spark):
