@@ -25,6 +25,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import chain
+from struct import Struct
 from struct import pack as pack_ids
 
 import numpy as np
@@ -36,7 +38,7 @@ from tokenizers import Tokenizer
 
 from pulsegrid.llm.bpe import Encoder
 from pulsegrid.llm.shingles import mix
-from pulsegrid.llm.storage import drop_files, materialise, slices
+from pulsegrid.llm.storage import drop_files, materialise, release, slices
 
 WINDOW, END_ID, GRID, SHARD_ROWS = 4096, 2, 32, 1024
 #: A seed asks for its so many heaviest terms.
@@ -45,6 +47,9 @@ K1, B = 1.2, 0.75
 LEAST, PARTS = (0.7, 0.5, 0.0), 3
 _KEYS = [f"key{k}" for k in range(len(LEAST) * PARTS)]
 _POLY = 0xEDB88320
+#: Bytes of text whose words are looked up at once, and of those whose ids are held at once; words a worker remembers between.
+SLICE, ROOM, WORDS = 8 << 20, 2 << 20, 800_000
+_WRITERS = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 def _times(a: int, b: int) -> int:
@@ -86,43 +91,57 @@ class LibraryEncoder(Encoder):
     def _ids(self, marks: str) -> list[int]:
         return [t.id for t in self.model.tokenize(marks)]
 
-    def _letters(self, word: str) -> bytes:
-        """A word of ASCII letters is one pretoken and its own stand-in."""
-        return self._keep(word, pack_ids("<%dI" % len(ids := self._ids(word)), *ids))
-
-    def _words(self, words: list[str]) -> Iterator[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words; one that ends with a stop or comma after letters isn't remembered itself."""
-        get, ends = self.get, {c: self._pretoken(c) for c in ".,"}
+        get, tokens, ends = self.get, self.model.tokenize, {c: self._pretoken(c) for c in ".,"}
+        if len(self) > WORDS:
+            self.clear()
+        out = []
         for word in words:
             packed = get(word)
             if packed is None:
-                if word.isascii():
-                    if word.isalpha():
-                        packed = self._letters(word)
-                    elif word[-1] in ends and (stem := word[:-1]).isalpha():
-                        packed = (get(stem) or self._letters(stem)) + ends[word[-1]]
-                if packed is None:
+                last = ends.get(word[-1])
+                stem = word if last is None else word[:-1]
+                if stem.isascii() and stem.isalpha():  # one pretoken, and its own stand-in
+                    packed = None if last is None else get(stem)
+                    if packed is None:
+                        ids = [t.id for t in tokens(stem)]
+                        packed = _WRITERS[n](*ids) if (n := len(ids)) < 64 else pack_ids(f"<{n}I", *ids)
+                        if len(stem) <= 64:
+                            self[stem] = packed
+                    if last is not None:
+                        packed += last
+                else:
                     packed = self[word]
-            yield packed
+            out.append(packed)
+        return out
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts, each different word of them looked up once.
+    def encode_all(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Ids of texts, each different word of them looked up once; they come in groups of about ``ROOM`` bytes of text.
 
         Cut at ASCII white space only; what other space a word holds is left to the pattern.
         """
+        texts = [t or "" for t in texts.to_pylist()]
         plain = [None if "<|" in t else self._normal(t) for t in texts]
         lists = pa.compute.ascii_split_whitespace(pa.array(["" if t is None else t for t in plain], pa.string()))
         bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
-        packed = [p for p in self._words([w or " " for w in words.dictionary.to_pylist()])]
+        del lists
+        packed = self._words([w or " " for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()])
         of_word = np.array([len(p) >> 2 for p in packed], np.int32)
         first = np.cumsum(of_word, dtype=np.int32) - of_word
-        at = words.indices.to_numpy()
-        sizes = of_word[at]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        place = np.repeat((first[at] - ends + sizes).astype(np.int32), sizes)
-        ids = np.frombuffer(b"".join(packed), "<u4")[place + np.arange(len(place), dtype=np.int32)]
-        cuts = np.r_[0, ends][bounds].tolist()
-        return [np.frombuffer(self.encode(t), "<u4") if p is None else ids[i:j] for t, p, i, j in zip(texts, plain, cuts[:-1], cuts[1:], strict=True)]
+        ids, indices = np.frombuffer(b"".join(packed), "<u4"), words.indices.to_numpy()
+        del packed
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(ROOM, ends[-1], ROOM)) + 1 if len(ends) else [], len(texts)].astype(int)).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            at = indices[bounds[i] : bounds[j]]
+            sizes = of_word[at]
+            ends = np.cumsum(sizes, dtype=np.int64)
+            place = np.repeat((first[at] - ends + sizes).astype(np.int32), sizes)
+            place += np.arange(len(place), dtype=np.int32)
+            own = ids[place]
+            of_text = np.r_[0, ends][bounds[i : j + 1] - bounds[i]].tolist()
+            yield [np.frombuffer(self.encode(t), "<u4") if p is None else own[x:y] for t, p, x, y in zip(texts[i:j], plain[i:j], of_text[:-1], of_text[1:], strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -133,7 +152,7 @@ def _encoder(path: str) -> LibraryEncoder:
 def _forget() -> None:
     """Gives back a worker's encoder, which rounds don't need."""
     _encoder.cache_clear()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -141,12 +160,13 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     schema = "doc_id long, doc_tokens long, windows binary, running binary, terms binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier stages of the job left in this worker
         enc, end = _encoder(tokenizer_path), np.uint32(END_ID).tobytes()
         step, wide = 4 * GRID, 4 * WINDOW
         for batch in batches:
-            for part in slices(batch, 1, 4096, 4 << 20):
+            for part in slices(batch, 1, 8192, SLICE):
                 n, windows, running, terms, counts = [], [], [], [], []
-                for own_ids in enc.encode_all([t or "" for t in part.column(1).to_pylist()]):
+                for own_ids in chain.from_iterable(enc.encode_all(part.column(1))):
                     packed = own_ids.tobytes() + end
                     n.append(len(packed) // 4)
                     whole = len(packed) // wide * wide
