@@ -48,7 +48,7 @@ LEAST, PARTS = (0.7, 0.5, 0.0), 3
 _KEYS = [f"key{k}" for k in range(len(LEAST) * PARTS)]
 _POLY = 0xEDB88320
 #: Bytes of text whose words are looked up at once, and of those whose ids are held at once; words a worker remembers between.
-SLICE, ROOM, WORDS = 8 << 20, 2 << 20, 800_000
+SLICE, ROOM, WORDS = 8 << 20, 2 << 20, 500_000
 _WRITERS = [Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -87,6 +87,7 @@ class LibraryEncoder(Encoder):
         self.model = Tokenizer.from_file(path).model
         if len(self.names) > 1 << 16:
             raise ValueError("the index keeps terms of 16 bits: a vocabulary of at most 65,536 ids")
+        del self._rules, self.tokens  # the library's model does the merges
 
     def _ids(self, marks: str) -> list[int]:
         return [t.id for t in self.model.tokenize(marks)]
@@ -96,24 +97,21 @@ class LibraryEncoder(Encoder):
         get, tokens, ends = self.get, self.model.tokenize, {c: self._pretoken(c) for c in ".,"}
         if len(self) > WORDS:
             self.clear()
-        out = []
-        for word in words:
-            packed = get(word)
-            if packed is None:
-                last = ends.get(word[-1])
-                stem = word if last is None else word[:-1]
-                if stem.isascii() and stem.isalpha():  # one pretoken, and its own stand-in
-                    packed = None if last is None else get(stem)
-                    if packed is None:
-                        ids = [t.id for t in tokens(stem)]
-                        packed = _WRITERS[n](*ids) if (n := len(ids)) < 64 else pack_ids(f"<{n}I", *ids)
-                        if len(stem) <= 64:
-                            self[stem] = packed
-                    if last is not None:
-                        packed += last
-                else:
-                    packed = self[word]
-            out.append(packed)
+        out = list(map(get, words))
+        for at in [i for i, packed in enumerate(out) if packed is None]:
+            word = words[at]
+            last = ends.get(word[-1])
+            stem = word if last is None else word[:-1]
+            if not (stem.isascii() and stem.isalpha()):
+                out[at] = self[word]
+                continue
+            packed = None if last is None else get(stem)
+            if packed is None:  # letters: one pretoken, and its own stand-in
+                ids = [t.id for t in tokens(stem)]
+                packed = _WRITERS[n](*ids) if (n := len(ids)) < 64 else pack_ids(f"<{n}I", *ids)
+                if len(stem) <= 64:
+                    self[stem] = packed
+            out[at] = packed if last is None else packed + last
         return out
 
     def encode_all(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
@@ -127,7 +125,7 @@ class LibraryEncoder(Encoder):
         bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
         del lists
         packed = self._words([w or " " for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()])
-        of_word = np.array([len(p) >> 2 for p in packed], np.int32)
+        of_word = np.fromiter(map(len, packed), np.int32, len(packed)) >> 2
         first = np.cumsum(of_word, dtype=np.int32) - of_word
         ids, indices = np.frombuffer(b"".join(packed), "<u4"), words.indices.to_numpy()
         del packed
