@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,15 +29,6 @@ def slices(batch: pa.RecordBatch, text_at: int, rows: int = 1024, room: int = 4
         at = to
 
 
-def release() -> None:
-    """Returns freed memory of this Python worker, which Spark uses for task after task, to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
