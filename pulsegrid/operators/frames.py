@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,24 +41,30 @@ def skip_report(*sides: tuple[str, DataFrame]) -> DataFrame:
 def region_signals(frames: DataFrame, config: Config = DEFAULT, fps: float | None = None) -> DataFrame:
     """Region colours of aligned frames (clip, frame_idx, t, h, w, bgr, cls, pts).
 
-    Landmarks are smoothed with a reset where a frame has none; skin masks without resets. A clip's frames stream
-    through in order with one frame's arrays in memory; what leaves the task is four numbers per region.
+    Landmarks are smoothed with a reset where a frame has none; skin masks without resets. Clips are hashed to partitions
+    and their frames pass in order, an Arrow batch at a time: only the smoothers' state is carried on, so a clip of any
+    length needs no more memory than a batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` frames: set it by their size).
     """
     rate = fps or config.fps
+    names = [c.split()[0] for c in REGION_SIGNAL.split(", ")]
+
+    def of_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clip, points, skin = None, OneEuro(rate, config), OneEuro(rate, config)
+        for rows in batches:
+            out = []
+            for row in rows.itertuples():
+                if row.clip != clip:
+                    clip, points, skin = row.clip, OneEuro(rate, config), OneEuro(rate, config)
+                shape = (row.h, row.w)
+                mask = skin.step(skin_mask(np.frombuffer(row.cls, np.uint8).reshape(shape)) / 255.0) >= config.mask_threshold
+                raw = None if row.pts is None else np.array([[p["x"], p["y"]] for p in row.pts], float)
+                if raw is None or not np.isfinite(raw).all():
+                    points.reset()
+                    found = [(None, None, None, 0)] * len(config.regions)
+                else:
+                    masks = region_masks(shape, points.step(raw), np.where(mask, 255, 0).astype(np.uint8), config)
+                    found = region_means(np.frombuffer(row.bgr, np.uint8).reshape(*shape, 3), masks, config)
+                out += [(row.clip, row.frame_idx, row.t, name, *values) for name, values in zip(config.regions, found, strict=True)]
+            yield pd.DataFrame(out, columns=names)
 
-    def of_clip(rows: pd.DataFrame) -> pd.DataFrame:
-        points, skin, out = OneEuro(rate, config), OneEuro(rate, config), []
-        for row in rows.sort_values("frame_idx").itertuples():
-            shape = (row.h, row.w)
-            mask = skin.step(skin_mask(np.frombuffer(row.cls, np.uint8).reshape(shape)) / 255.0) >= config.mask_threshold
-            raw = None if row.pts is None else np.array([[p["x"], p["y"]] for p in row.pts], float)
-            if raw is None or not np.isfinite(raw).all():
-                points.reset()
-                found = [(None, None, None, 0)] * len(config.regions)
-            else:
-                masks = region_masks(shape, points.step(raw), np.where(mask, 255, 0).astype(np.uint8), config)
-                found = region_means(np.frombuffer(row.bgr, np.uint8).reshape(*shape, 3), masks, config)
-            out += [(row.clip, row.frame_idx, row.t, name, *values) for name, values in zip(config.regions, found, strict=True)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in REGION_SIGNAL.split(", ")])
-
-    return frames.groupBy("clip").applyInPandas(of_clip, REGION_SIGNAL)
+    return frames.repartition("clip").sortWithinPartitions("clip", "frame_idx").mapInPandas(of_frames, REGION_SIGNAL)

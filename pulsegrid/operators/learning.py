@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT, Config
@@ -117,6 +117,21 @@ class Model:
         return json.dumps({"kind": self.kind, "options": self.options, "feature_mean": self.mean, "feature_std": self.std})
 
 
+def write_model(spark: SparkSession, model: Model, path: str) -> None:
+    """A model as a table of one row (description as JSON, weights), wherever Spark can write; an older one there is replaced."""
+    row = (model.describe(), bytearray(model.weights))
+    spark.createDataFrame([row], "description string, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    """What ``write_model`` wrote, to score or to go on training with."""
+    row = spark.read.parquet(path).first()
+    if row is None:
+        raise ValueError(f"no model in {path}")
+    told = json.loads(row.description)
+    return Model(told["kind"], bytes(row.weights), told["options"], told["feature_mean"], told["feature_std"])
+
+
 def _inputs(kind: str, regions: pd.Series, model: Model, config: Config) -> tuple[np.ndarray | None, np.ndarray | None]:
     colours, counts = sample_arrays(regions, config)
     x = None if kind == "hb" else nets.network_input(colours, counts)
@@ -154,9 +169,9 @@ def predict(samples: DataFrame, model: Model, config: Config = DEFAULT) -> DataF
     return samples.withColumn("_p", run("regions")).select(*samples.columns, "_p.*")
 
 
-def _epoch(net: nets.Stack, kind: str, x, f, hr, hb, rate: float, batch: int, rng, hb_weight: float, cap_k: float | None) -> float:
-    """One pass over a partition's rows."""
-    adam, total, n = nets.Adam(net, rate), 0.0, len(f if kind == "hb" else x)
+def _epoch(net: nets.Stack, adam: nets.Adam, kind: str, x, f, hr, hb, batch: int, rng, hb_weight: float, cap_k: float | None) -> float:
+    """One pass over some rows of a partition."""
+    total, n = 0.0, len(f if kind == "hb" else x)
     order = rng.permutation(n)
     for at in range(0, n, batch):
         own = order[at : at + batch]
@@ -176,19 +191,22 @@ def _epoch(net: nets.Stack, kind: str, x, f, hr, hb, rate: float, batch: int, rn
 
 def train(
     train_rows: DataFrame, val_rows: DataFrame, kind: str, *, options: dict | None = None, rounds: int = 80, patience: int = 15, rate: float = 1e-3, batch: int = 128,
-    hb_weight: float = 0.1, cap_k: float | None = None, seed: int = 42, config: Config = DEFAULT,
+    hb_weight: float = 0.1, cap_k: float | None = None, seed: int = 42, start: Model | None = None, keep: str | None = None, config: Config = DEFAULT,
 ) -> tuple[Model, list[dict]]:
     """Trains on samples (regions, and hr and/or hb) by rounds of local epochs and averaged weights.
 
     The rate halves after five rounds without a better validation value; ``patience`` rounds without one end it. Returns the
-    best model and the history. Partitions with fewer than two rows take no part.
+    best model and the history. Partitions with fewer than two rows take no part. ``start`` is a model to go on with (its
+    normalisation is kept); ``keep`` a folder where the last and the best model so far are written after each round.
     """
-    model = Model(kind, b"", dict(options or {}))
     need = {"hr": ["hr"], "hb": ["hb"], "both": ["hr", "hb"]}[kind]
-    if kind != "hr":
+    if start is not None and start.kind != kind:
+        raise ValueError(f"a model of kind {start.kind} can't go on as {kind}")
+    model = start or Model(kind, b"", dict(options or {}))
+    if kind != "hr" and not model.mean:
         norm = train_rows.select(F.posexplode(features_column(config=config)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
         model.mean, model.std = [r.m for r in norm], [1.0 if r.s < 1e-8 else r.s for r in norm]
-    model.weights = nets.save(model.net(config))
+    model = Model(kind, nets.save(model.net(config)), model.options, model.mean, model.std)
     history, best, best_model, stale = [], None, model, 0
     spark = train_rows.sparkSession
     for epoch in range(1, rounds + 1):
@@ -197,11 +215,12 @@ def train(
         def local(batches: Iterator[pd.DataFrame], epoch=epoch, shared=shared, now=now) -> Iterator[pd.DataFrame]:
             m = shared.value
             net = m.net(config)
+            adam, rng = nets.Adam(net, now), np.random.default_rng(seed + epoch)  # moments build up over a partition's whole pass
             loss, n = 0.0, 0
             for rows in batches:
                 if len(rows) > 1:
                     x, f = _inputs(kind, rows.regions, m, config)
-                    own = _epoch(net, kind, x, f, *(rows[c].to_numpy(float) if c in rows else None for c in ("hr", "hb")), now, batch, np.random.default_rng(seed + epoch), hb_weight, cap_k)
+                    own = _epoch(net, adam, kind, x, f, *(rows[c].to_numpy(float) if c in rows else None for c in ("hr", "hb")), batch, rng, hb_weight, cap_k)
                     loss, n = loss + own * len(rows), n + len(rows)
             if n:
                 yield pd.DataFrame({"weights": [nets.save(net)], "loss": [loss / n], "n": [n]})
@@ -223,8 +242,12 @@ def train(
         r2 = 1 - m.res / (m.var * m.n) if m.n and m.var and m.var * m.n > 1e-12 else None
         score = m.mae if kind == "hr" or r2 is None else -r2
         history.append({"epoch": epoch, "train_loss": sum(r.loss * r.n for r in back) / total, "val_mae": m.mae, "val_r2": r2, "lr": rate})
+        if keep:
+            write_model(spark, model, f"{keep}/last")
         if best is None or score < best:
             best, best_model, stale = score, model, 0
+            if keep:
+                write_model(spark, model, f"{keep}/best")
         else:
             stale += 1
             rate *= 0.5 if stale % 5 == 0 else 1

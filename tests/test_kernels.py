@@ -128,6 +128,45 @@ def test_saving_and_loading_keeps_predictions():
     assert np.allclose(nets.load(nets.HbNet(seed=5), nets.save(net)).predict(x), net.predict(x))
 
 
+def test_frames_of_clips_in_many_batches(spark):
+    """Small batches, several clips in a partition, shuffled rows: the same signals as clip by clip in one batch."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for clip in "abc":
+        face = [{"x": float(x), "y": float(y)} for x, y in rng.uniform(5, 55, (478, 2))]
+        for k in range(7):
+            bgr, cls = rng.integers(0, 256, (60, 60, 3)).astype(np.uint8), rng.integers(0, 2, (60, 60)).astype(np.uint8)
+            rows.append((clip, k, k / 30, 60, 60, bytearray(bgr.tobytes()), bytearray(cls.tobytes()), None if k == 3 else face))
+    order = rng.permutation(len(rows))
+    schema = "clip string, frame_idx int, t double, h int, w int, bgr binary, cls binary, pts array<struct<x:double,y:double>>"
+    plain = [frames.region_signals(spark.createDataFrame([r for r in rows if r[0] == c], schema).coalesce(1)).collect() for c in "abc"]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = frames.region_signals(spark.createDataFrame([rows[i] for i in order], schema)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(repr, got)) == sorted(repr(r) for p in plain for r in p) and len(got) == 63
+    assert frames.region_signals(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_model_is_written_read_and_trained_on(spark, tmp_path):
+    model = learning.Model("hb", nets.save(nets.HbNet(seed=3)), {"seed": 3}, [0.5] * 60, [2.0] * 60)
+    learning.write_model(spark, model, str(tmp_path / "m"))
+    assert learning.read_model(spark, str(tmp_path / "m")) == model
+    region = lambda x: [{"name": n, "valid": True, "r": [x] * 600, "g": [x + 1] * 600, "b": [x + 2] * 600, "px": [90.0] * 600} for n in DEFAULT.regions]
+    schema = "regions array<struct<name:string,valid:boolean,r:array<float>,g:array<float>,b:array<float>,px:array<float>>>, hb double"
+    rows = spark.createDataFrame([(region(100.0 + k), 10.0 + k) for k in range(6)], schema).coalesce(1).cache()
+    best, history = learning.train(rows, rows, "hb", rounds=2, start=model, keep=str(tmp_path / "kept"))
+    assert len(history) == 2 and best.mean == model.mean and best.weights != model.weights
+    last = learning.read_model(spark, str(tmp_path / "kept" / "last"))
+    assert learning.read_model(spark, str(tmp_path / "kept" / "best")).weights == best.weights
+    again, _ = learning.train(rows, rows, "hb", rounds=1, start=last)
+    assert again.options == {"seed": 3}
+    with pytest.raises(ValueError):
+        learning.train(rows, rows, "hr", start=model)
+
+
 def test_split_sizes():
     assert [learning.split_sizes(n) for n in (3, 4, 10)] == [(1, 1, 1), (2, 1, 1), (8, 1, 1)]
     with pytest.raises(ValueError):
