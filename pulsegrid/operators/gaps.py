@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT, Config
+from pulsegrid.operators.intervals import overlapping
 
 
 def time_steps(samples: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
@@ -44,14 +45,13 @@ def broken_intervals(samples: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return groups.withColumn("start_t", start).withColumn("end_t", F.coalesce("closing", "last_t")).filter("start_t IS NOT NULL").select(*keys, "start_t", "end_t")
 
 
-def overlaps(windows: DataFrame, intervals: DataFrame) -> DataFrame:
+def overlaps(windows: DataFrame, intervals: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Each window's strictly positive overlaps with its clip's intervals, clipped to the window.
 
-    ``windows`` has clip, w_start, w_end; the equality on clip makes it a hash or merge join with a range filter.
+    ``windows`` has clip, w_start, w_end. Windows meet the intervals of the time cells that they reach, not all of their clip's.
     """
-    joined = windows.join(intervals, "clip")
-    joined = joined.withColumn("o_start", F.greatest("w_start", "start_t")).withColumn("o_end", F.least("w_end", "end_t"))
-    return joined.filter("o_end > o_start").drop("start_t", "end_t")
+    joined = overlapping(windows, intervals, ["clip"], left_range=("w_start", "w_end"), right_range=("start_t", "end_t"), width=config.step_s)
+    return joined.withColumn("o_start", F.greatest("w_start", "start_t")).withColumn("o_end", F.least("w_end", "end_t")).drop("start_t", "end_t")
 
 
 def gate(windows: DataFrame, intervals: DataFrame, regions: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -59,7 +59,7 @@ def gate(windows: DataFrame, intervals: DataFrame, regions: DataFrame, config: C
 
     ``regions`` has clip, region.
     """
-    broken = overlaps(windows, intervals).groupBy("clip", "region", "w_start").agg(F.max(F.col("o_end") - F.col("o_start")).alias("longest"), F.sum(F.col("o_end") - F.col("o_start")).alias("total"))
+    broken = overlaps(windows, intervals, config).groupBy("clip", "region", "w_start").agg(F.max(F.col("o_end") - F.col("o_start")).alias("longest"), F.sum(F.col("o_end") - F.col("o_start")).alias("total"))
     every = windows.join(regions, "clip").join(broken, ["clip", "region", "w_start"], "left").fillna(0.0, ["longest", "total"])
     return every.withColumn("region_valid", (F.col("longest") <= config.max_gap_s) & (F.col("total") <= config.max_total_gap_s))
 

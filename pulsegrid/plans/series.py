@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import combine, gaps, resampling, windows
+from pulsegrid.operators import combine, gaps, intervals, resampling, windows
 from pulsegrid.plans.adapters import EVENTS, SQL_INTERVALS, SQL_REGIONS, SQL_TIMELINE, SQL_WINDOWS, UNIT, fixed_windows, regions, timeline
 
 Q, SQL = {}, {}
@@ -52,7 +52,31 @@ def w5_accepted_fixed(spark, sf_dir):
     return gaps.accepted(_gated(spark, sf_dir), EVENTS).select("clip", "w_start", "w_end", "valid_regions", "accepted")
 
 
-@query()
+# the sweep as recursion: a clip's lists of broken intervals by region, and one window after the other (w_: window, g_: longest gap, t_: total)
+_CUT = "list_transform(list_filter({iv}, lambda x: least(x.e, st + 432000.0) > greatest(x.s, st)), lambda x: {{'s': greatest(x.s, st), 'e': least(x.e, st + 432000.0)}})"
+_FAILS = "(coalesce(list_max(list_transform({cut}, lambda x: x.e - x.s)), 0) > 86400 OR coalesce(list_sum(list_transform({cut}, lambda x: x.e - x.s)), 0) > 172800)"
+_LATE = """list_min(list_transform(list_filter(range(1, len({cut}) + 1), lambda k: coalesce(list_max(list_transform({cut}[k + 1:], lambda x: x.e - x.s)), 0) <= 86400
+  AND coalesce(list_sum(list_transform({cut}[k + 1:], lambda x: x.e - x.s)), 0) <= 172800), lambda k: {cut}[k].e))"""
+
+
+def _for_regions(text: str, **of: str) -> str:
+    return ", ".join(f"{text.format(cut=f'c{i}', iv=f'i{i}', **of)} AS {name}{i}" for i, name in ((i, of.get("name", "")) for i in (1, 2, 3)))
+
+
+_SWEEP = f"""
+spn AS (SELECT clip, max(t) AS last_t FROM ev GROUP BY clip HAVING max(t) > 0),
+lists AS (SELECT spn.clip, last_t, {", ".join(f"coalesce(list({{'s': start_t, 'e': end_t}} ORDER BY start_t) FILTER (region = '{r}'), []) AS i{i}" for i, r in ((1, "forehead"), (2, "lcheek"), (3, "rcheek")))} FROM spn LEFT JOIN iv USING (clip) GROUP BY spn.clip, last_t),
+steps AS (
+  SELECT clip, 0.0::DOUBLE AS st, 0 AS n, NULL::DOUBLE AS began, 0 AS valid_regions, [true, true, true] AS mask FROM lists
+  UNION ALL
+  SELECT clip, CASE WHEN passed >= 2 THEN st + 324000.0 ELSE least(coalesce(r1, 1e300), coalesce(r2, 1e300), coalesce(r3, 1e300)) END, n + (passed >= 2)::INT, CASE WHEN passed >= 2 THEN st END, passed, [NOT f1, NOT f2, NOT f3]
+  FROM (SELECT *, (NOT f1)::INT + (NOT f2)::INT + (NOT f3)::INT AS passed, {", ".join(f"CASE WHEN f{i} THEN {_LATE.format(cut=f'c{i}')} END AS r{i}" for i in (1, 2, 3))}
+    FROM (SELECT *, {_for_regions(_FAILS, name="f")}
+      FROM (SELECT steps.clip, st, n, {_for_regions(_CUT, name="c")} FROM steps JOIN lists USING (clip) WHERE st + 432000.0 <= last_t + 1e-9)))),
+acc AS (SELECT clip || '_' || n AS segment, clip, n, began, valid_regions, mask FROM steps WHERE began IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {SQL_REGIONS}, {SQL_INTERVALS}, {_SWEEP} SELECT segment, clip, CAST(n AS BIGINT) AS index, began AS t_start, began + 432000.0 AS t_end, CAST(valid_regions AS BIGINT) AS valid_regions FROM acc")
 def w3_accepted_windows(spark, sf_dir):
     """The greedy search: windows restart at the end of what broke them."""
     found = windows.find_windows(regions(spark, sf_dir).select("clip", "region", "t", "valid"), EVENTS)
@@ -137,7 +161,7 @@ def p3_pixel_gate(spark, sf_dir):
 
 @query(f"WITH {SQL_TIMELINE}, {SQL_WINDOWS} SELECT win.clip, w_start, count(*) AS n, round(avg(value), 7) AS mean_value FROM win JOIN ev ON ev.clip = win.clip AND t BETWEEN w_start AND w_end GROUP BY ALL")
 def j6_samples_in_windows(spark, sf_dir):
-    inside = fixed_windows(spark, sf_dir).join(timeline(spark, sf_dir).select("clip", "t", "value"), "clip").filter("t BETWEEN w_start AND w_end")
+    inside = intervals.points_inside(fixed_windows(spark, sf_dir), timeline(spark, sf_dir).select("clip", "t", "value"), ["clip"], start="w_start", end="w_end", at="t", width=EVENTS.step_s)
     return inside.groupBy("clip", "w_start").agg(F.count("*").alias("n"), F.round(F.avg("value"), 7).alias("mean_value"))
 
 
@@ -149,11 +173,36 @@ def j5_slices(spark, sf_dir):
     rows = timeline(spark, sf_dir)
     rate = rows.groupBy("clip").agg(F.count("*").alias("n"), F.max("t").alias("m")).filter("m > 0").select("clip", ((F.col("n") - 1) / F.col("m")).alias("fs"))
     cut = fixed_windows(spark, sf_dir).join(rate, "clip").withColumn("lo", F.rint(F.col("w_start") * F.col("fs"))).withColumn("hi", F.rint(F.col("w_end") * F.col("fs")))
-    inside = cut.join(rows.select("clip", "frame_idx", "value"), "clip").filter("frame_idx >= lo AND frame_idx < hi")
+    inside = intervals.points_inside(cut, rows.select("clip", "frame_idx", "value"), ["clip"], start="lo", end="hi", at="frame_idx", width=64.0, closed=False)
     return inside.groupBy("clip", "w_start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query()
+def _edge(h0: str, h1: str, m0: str, m1: str) -> str:
+    """The end slope of the shape-preserving cubic."""
+    edge = f"((2 * {h0} + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1})"
+    return f"CASE WHEN sign({edge}) <> sign({m0}) THEN 0 WHEN sign({m0}) <> sign({m1}) AND abs({edge}) > 3 * abs({m0}) THEN 3 * {m0} ELSE {edge} END"
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_REGIONS}, {SQL_INTERVALS}, {_SWEEP},
+win AS (SELECT segment, clip, began, region, mask[place] AS valid FROM acc, (VALUES ('forehead', 1), ('lcheek', 2), ('rcheek', 3)) AS k(region, place)),
+ins AS (SELECT segment, win.region AS name, win.valid, began, t, g, CAST(pixel_count AS DOUBLE) AS px FROM win JOIN rg ON rg.clip = win.clip AND rg.region = win.region AND t BETWEEN began AND began + 432000.0),
+grid AS (SELECT segment, name, valid, began + k * 720.0::DOUBLE AS pt FROM (SELECT DISTINCT segment, name, valid, began FROM ins), (SELECT unnest(range(600)) AS k)),
+pn AS (SELECT segment, name, t, px, lead(t) OVER o AS t1, lead(px) OVER o AS px1 FROM ins WINDOW o AS (PARTITION BY segment, name ORDER BY t)),
+fst AS (SELECT segment, name, arg_min(px, t) AS px0 FROM ins GROUP BY ALL),
+counts AS (SELECT segment, name, count(*) AS n, sum(CASE WHEN valid THEN CAST(coalesce(CASE WHEN t1 IS NULL THEN px ELSE px + (px1 - px) * (pt - t) / (t1 - t) END, px0) AS FLOAT) ELSE 0 END) AS sum_px
+  FROM (SELECT grid.segment, grid.name, valid, pt, t, t1, px, px1 FROM grid ASOF LEFT JOIN pn ON grid.segment = pn.segment AND grid.name = pn.name AND pt >= t) JOIN fst USING (segment, name) GROUP BY segment, name),
+nd0 AS (SELECT segment, name, began, t, g, row_number() OVER o AS i, count(*) OVER (PARTITION BY segment, name) AS n, lead(t) OVER o - t AS h, (lead(g) OVER o - g) / (lead(t) OVER o - t) AS m FROM ins WHERE valid AND g IS NOT NULL WINDOW o AS (PARTITION BY segment, name ORDER BY t)),
+nd1 AS (SELECT *, lag(h) OVER o AS hp, lag(m) OVER o AS mp, lag(h, 2) OVER o AS hp2, lag(m, 2) OVER o AS mp2, lead(h) OVER o AS hn, lead(m) OVER o AS mn FROM nd0 WINDOW o AS (PARTITION BY segment, name ORDER BY t)),
+nd AS (SELECT *, CASE WHEN n = 2 THEN coalesce(m, mp) WHEN i = 1 THEN {_edge("h", "hn", "m", "mn")} WHEN i = n THEN {_edge("hp", "hp2", "mp", "mp2")}
+  WHEN mp * m > 0 THEN (3 * h + 3 * hp) / ((2 * h + hp) / mp + (h + 2 * hp) / m) ELSE 0 END AS d FROM nd1),
+sg AS (SELECT segment, name, t, g, h, d, lead(g) OVER o AS g1, lead(d) OVER o AS d1 FROM nd WINDOW o AS (PARTITION BY segment, name ORDER BY t)),
+reach AS (SELECT segment, name, min(t) AS lo, max(t) AS hi FROM nd GROUP BY segment, name HAVING count(*) >= 2 AND min(t) - any_value(began) <= 1.5 * median(h) AND any_value(began) + 599 * 720.0 - max(t) <= 1.5 * median(h)),
+pts AS (SELECT segment, name, least(greatest(pt, lo), hi) AS pt FROM grid JOIN reach USING (segment, name)),
+colours AS (SELECT segment, name, sum(CAST((1 + 2 * s) * (1 - s) * (1 - s) * g + s * (1 - s) * (1 - s) * h * d + s * s * (3 - 2 * s) * g1 + s * s * (s - 1) * h * d1 AS FLOAT)) AS sum_g
+  FROM (SELECT pts.segment, pts.name, (pt - t) / h AS s, g, h, d, g1, d1 FROM pts ASOF JOIN (SELECT * FROM sg WHERE h IS NOT NULL) x ON pts.segment = x.segment AND pts.name = x.name AND pt >= t) GROUP BY segment, name)
+SELECT segment, name, valid, CAST(counts.n AS INT) AS n, round(CAST(sum_g AS DOUBLE), 2) AS sum_g, round(CAST(sum_px AS DOUBLE), 2) AS sum_px FROM (SELECT DISTINCT segment, name, valid FROM ins) JOIN counts USING (segment, name) LEFT JOIN colours USING (segment, name)"""
+)
 def i2_i3_packed_samples(spark, sf_dir):
     """PCHIP-resampled windows of the greedy search, summed up per region."""
     from dataclasses import replace
