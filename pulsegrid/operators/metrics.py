@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT, Config
+from pulsegrid.operators import selection
 
 EPS = 1e-12
 
@@ -51,9 +52,9 @@ def regression(df: DataFrame, by: list[str], pred: str = "pred", truth: str = "t
 def confident_half(df: DataFrame, by: list[str], pred: str, truth: str, confidence: str, config: Config = DEFAULT) -> DataFrame:
     """Per group: the median confidence of valid rows, and n, MAE and share within 6 of the rows that reach it."""
     rows = df.filter(both(pred, truth) & F.col(confidence).isNotNull())
-    medians = rows.groupBy(*by).agg(F.median(confidence).alias("median_conf"), F.count("*").alias("n"))
+    medians = selection.median(rows, by, confidence).select(*by, F.col("median").alias("median_conf"), "n")
     error = F.abs(F.col(pred) - F.col(truth))
-    high = rows.join(medians, by).filter(F.col(confidence) >= F.col("median_conf"))
+    high = selection.beside(rows, medians, by).filter(F.col(confidence) >= F.col("median_conf"))
     return high.groupBy(*by, "median_conf", "n").agg(F.count("*").alias("n_high"), F.avg(error).alias("mae_high"), (F.avg((error <= config.within_bpm).cast("double")) * 100).alias("w6_high"))
 
 
@@ -83,10 +84,9 @@ def best_epoch(history: DataFrame, metric: str, *, lowest: bool) -> DataFrame:
 
 def robust_cap(df: DataFrame, by: list[str], value: str, k: float = 3.0) -> DataFrame:
     """Values capped at lower median + k * (lower median deviation + 1e-6), per group."""
-    middle = df.groupBy(*by).agg(F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("_med"))
-    rows = df.join(middle, by)
-    spread = rows.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))).groupBy(*by).agg(F.expr("percentile_disc(0.5) within group (order by _dev)").alias("_mad"))
-    return rows.join(spread, by).withColumn("cap", F.col("_med") + k * (F.col("_mad") + 1e-6)).withColumn("capped", F.least(F.col(value), F.col("cap"))).drop("_med", "_mad")
+    rows = selection.beside(df, selection.middle(df, by, value).select(*by, F.col("lower").alias("_med")), by).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    spread = selection.middle(rows, by, "_dev").select(*by, F.col("lower").alias("_mad"))
+    return selection.beside(rows, spread, by).withColumn("cap", F.col("_med") + k * (F.col("_mad") + 1e-6)).withColumn("capped", F.least(F.col(value), F.col("cap"))).drop("_med", "_mad")
 
 
 def clip_summary(windows: DataFrame) -> DataFrame:

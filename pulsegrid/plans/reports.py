@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import labels, learning, metrics
+from pulsegrid.operators import labels, learning, metrics, selection
 from pulsegrid.plans.adapters import SQL_PREDICTIONS, SQL_TIMELINE, predictions, table, timeline
 from pulsegrid.sources import readers
 
@@ -102,6 +102,25 @@ def g19_robust_cap(spark, sf_dir):
     return rounded(out.groupBy("grp").agg(F.first("cap").alias("cap"), F.avg("capped").alias("mean_capped"), F.count_if(F.col("v") > F.col("cap")).alias("n_capped")))
 
 
+@query(
+    "SELECT 'l_extendedprice' AS value, count(*) AS n, round(quantile_disc(l_extendedprice, 0.5), 4) AS lower, round(median(l_extendedprice), 4) AS median FROM lineitem "
+    "UNION ALL SELECT 'l_quantity', count(*), round(quantile_disc(l_quantity, 0.5), 4), round(median(l_quantity), 4) FROM lineitem"
+)
+def g6_medians_of_all_rows(spark, sf_dir):
+    """The middle of a whole table as one group, found without gathering it: each pass narrows the range that holds it."""
+    each = []
+    for c in ("l_extendedprice", "l_quantity"):
+        found = selection.middle(table(spark, sf_dir, "lineitem"), [], c, held=5_000)
+        each.append(found.select(F.lit(c).alias("value"), "n", F.round("lower", 4).alias("lower"), F.round((F.col("lower") + F.col("upper")) / 2, 4).alias("median")))
+    return each[0].union(each[1])
+
+
+@query(f"WITH {SQL_PREDICTIONS}, m AS (SELECT subject, median(abs(pred - truth)) AS median, count(*) AS n FROM pr GROUP BY subject) SELECT subject, round(median, 5) AS median_error, n FROM m")
+def g9_median_error_per_subject(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("error", F.abs(F.col("pred") - F.col("truth")))
+    return rounded(selection.median(rows, ["subject"], "error").select("subject", F.col("median").alias("median_error"), "n"))
+
+
 # ---- labels and keys ----
 
 _MANIFEST = """mf AS (SELECT CAST(o_orderkey AS VARCHAR) AS segment, CAST(o_custkey AS VARCHAR) AS clip, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_totalprice / 2000 AS VARCHAR) END AS ppg_hr,
