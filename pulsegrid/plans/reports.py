@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import labels, learning, metrics, selection
+from pulsegrid.operators import labels, learning, lookup, metrics, ranking, selection
 from pulsegrid.plans.adapters import SQL_PREDICTIONS, SQL_TIMELINE, predictions, table, timeline
 from pulsegrid.sources import readers
 
@@ -235,6 +235,35 @@ def n10_split_in_order(spark, sf_dir):
     return learning.split_subjects(table(spark, sf_dir, "events").select(F.col("user_id").alias("subject")), "subject")
 
 
+@query(
+    "WITH s AS (SELECT user_id AS subject, row_number() OVER (ORDER BY md5('42:' || CAST(user_id AS VARCHAR)), user_id) - 1 AS place, greatest(1, CAST(round_even(count(*) OVER () * 0.1, 0) AS BIGINT)) AS k FROM (SELECT DISTINCT user_id FROM events)) "
+    "SELECT subject, CASE WHEN place < k THEN 'test' WHEN place < 2 * k THEN 'val' ELSE 'train' END AS part FROM s"
+)
+def n10_split_by_rank(spark, sf_dir):
+    """Exact part sizes by rank in a keyed permutation; the driver sees a count for each range."""
+    return ranking.split_by_rank(table(spark, sf_dir, "events").select(F.col("user_id").alias("subject")), "subject")
+
+
+@query("SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS place FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS subject FROM orders)")
+def o3_ranked_subjects(spark, sf_dir):
+    """Distinct subjects in order, each with its place, from ranges and their counts."""
+    return ranking.ranked(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("subject")).distinct(), ["subject"], "place")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, o_custkey AS patient_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def j8_subjects_of_samples(spark, sf_dir):
+    """Every row's subject; an absent one would end the query with its key."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"))
+    subjects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("patient_id"))
+    return lookup.looked_up(rows, subjects, ["l_orderkey"], ["patient_id"])[0].select("l_orderkey", "line", "patient_id")
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def j10_left_lookup(spark, sf_dir):
+    """A lookup that leaves absent keys NULL and tells of them afterwards."""
+    return lookup.looked_up(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"], ["quality"], strict=False)[0]
+
+
 @query("WITH s AS (SELECT user_id, CASE WHEN h < 0.1 THEN 'test' WHEN h < 0.2 THEN 'val' ELSE 'train' END AS part FROM (SELECT user_id, CAST(('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296 AS h FROM (SELECT DISTINCT user_id FROM events))) SELECT part, count(*) AS rows, count(DISTINCT user_id) AS subjects FROM events JOIN s USING (user_id) GROUP BY part")
 def g14_j11_split_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"))

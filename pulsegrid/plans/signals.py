@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import nets
-from pulsegrid.operators import learning, waveforms
+from pulsegrid.operators import augment, cache, learning, scoring, waveforms
 from pulsegrid.plans.adapters import table
+from pulsegrid.scratch import shared_dir
 
 Q, SQL = {}, {}
 
@@ -128,6 +131,61 @@ def n6_multi_task_inference(spark, sf_dir):
     return out.select("segment", F.round("hr_pred", 3).alias("hr_pred"), F.round("hb_pred", 3).alias("hb_pred"))
 
 
+def _channels(spark, sf_dir):
+    """Vectors as signals of eight channels with eight values each, two regions of four channels."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.slice(x, c * 8 + 1, F.lit(8))).alias("signal"))
+
+
+def _drawn(use: str) -> str:
+    return f"('0x' || substr(md5('42:' || label || ':' || vec_id || ':{use}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(
+    f"""WITH d AS (SELECT vec_id, embedding, CAST(floor(({_drawn("shift")}) * 31) AS INT) - 15 AS shift, CASE WHEN {_drawn("loss")} < 0.3 THEN CAST(floor(({_drawn("region")}) * 2) AS INT) END AS lost_region FROM embeddings),
+v AS (SELECT vec_id, shift, lost_region, c, i, CAST(embedding[c * 8 + (((i - shift) % 8) + 8) % 8 + 1] AS DOUBLE) AS x FROM d, (SELECT unnest(range(8)) AS c), (SELECT unnest(range(8)) AS i))
+SELECT vec_id, shift, lost_region, CAST(c AS INT) AS channel, CAST(i AS INT) AS i, round(CASE WHEN c // 4 = lost_region THEN 0 ELSE x END, 6) AS value FROM v"""
+)
+def f5_shift_and_loss(spark, sf_dir):
+    """Signals shifted in time, some without a region; the label stands for the epoch."""
+    out = augment.augmented(_channels(spark, sf_dir), "vec_id", "signal", epoch="label", amplitude=0.0, noise=0.0)
+    rows = out.select("vec_id", "shift", "lost_region", F.posexplode("signal").alias("channel", "x")).select("vec_id", "shift", "lost_region", "channel", F.posexplode("x").alias("i", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+@query()
+def f5_augmented(spark, sf_dir):
+    """All transforms, noise and amplitudes as well, summed up by channel."""
+    out = augment.augmented(_channels(spark, sf_dir), "vec_id", "signal", epoch=1)
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    return out.select("vec_id", "shift", "lost_region", F.posexplode("signal").alias("channel", "x")).select("vec_id", "shift", "lost_region", "channel", F.round(total, 6).alias("total"))
+
+
+@query()
+def n13_results(spark, sf_dir):
+    """Samples and manifest to the 15 columns of the result rows, with an untrained hemoglobin network of fixed seed."""
+    rows = _samples(spark, sf_dir)
+    manifest = rows.select("segment", F.substring_index("segment", "_", 1).alias("clip"), F.lit(0.0).alias("t_start"), F.lit(20.0).alias("t_end"), F.when(F.col("x") > 10, F.col("hr").cast("string")).otherwise("").alias("ppg_hr"), F.lit("72").alias("pulse"), F.col("hb").alias("hemoglobin"))
+    model = learning.Model("hb", nets.save(nets.HbNet(seed=7)), {"seed": 7})
+    out = scoring.results(rows.select("segment", "regions"), manifest, hb_model=model)
+    return out.select(*[F.round(c, 3).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+_SEGMENTS = "SELECT CAST(sum((n + 2) // 3) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY label, vec_id // 4096)"
+
+
+@query(f"SELECT 'first' AS run, ({_SEGMENTS}) AS computed, ({_SEGMENTS}) AS rows UNION ALL SELECT 'second', 0, ({_SEGMENTS}) UNION ALL SELECT 'other settings', ({_SEGMENTS}), ({_SEGMENTS})")
+def k11_cached_features(spark, sf_dir):
+    """Features through a cache in the shared folder: all rows are computed once, none again, all for other settings."""
+    rows, path = _samples(spark, sf_dir).select("segment", "regions"), f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    made = lambda df: df.withColumn("features", learning.features_column())
+    each = []
+    for run, settings in (("first", {"fps": 30}), ("second", {"fps": 30}), ("other settings", {"fps": 25})):
+        out, computed = cache.cached(rows, ["segment", "regions"], made, "features", path, settings)
+        each.append(computed.agg(F.count("*").alias("computed")).select(F.lit(run).alias("run"), "computed", F.lit(out.filter("size(features) = 60").count()).cast("long").alias("rows")))
+    return each[0].union(each[1]).union(each[2])
+
+
 @query()
 def n8_training_history(spark, sf_dir):
     """Data-parallel training of the hemoglobin network, with the operator's own rounds and patience."""
