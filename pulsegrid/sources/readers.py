@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.labels import base_name, last_per_key
@@ -55,7 +56,11 @@ def pulse_lines(texts: DataFrame) -> DataFrame:
     Blank lines are skipped; a bad value is an error, a bad or missing time only makes ts NULL (with an error).
     """
     rows = texts.select("subject", "state", F.posexplode(F.split("content", "\r?\n")).alias("line_number", "line"))
-    rows = rows.withColumn("line", F.trim("line")).filter("line <> ''").withColumn("line_number", (F.col("line_number") + 1).cast("long"))
+    return _parsed(rows.withColumn("line_number", (F.col("line_number") + 1).cast("long")))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    rows = lines.withColumn("line", F.trim("line")).filter("line <> ''")
     parts = F.split("line", r"\s+")
     rows = rows.withColumn("value", F.expr(r"try_cast(get(split(line, '\\s+'), 0) as double)"))
     rows = rows.withColumn("ts", F.try_to_timestamp(F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))))
@@ -63,11 +68,37 @@ def pulse_lines(texts: DataFrame) -> DataFrame:
     return rows.withColumn("error", error)
 
 
-def pulse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _within(values: list[str] | None) -> str:
+    """A folder pattern of some names, or of all."""
+    if values is None:
+        return "*"
+    plain = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", v) for v in values]
+    return plain[0] if len(plain) == 1 else "{" + ",".join(plain) + "}"
+
+
+def recording_lines(spark: SparkSession, path: str, *, subjects: list[str] | None = None, states: list[str] | None = None, pattern: str = "*.PW") -> DataFrame:
+    """Lines of recordings <path>/<subject>/<state>/<file>: subject, state, file, line_number (from 1 in a file), line.
+
+    Files are read in ranges of bytes that end at line ends (``spark.sql.files.maxPartitionBytes``), so that a recording of any length is
+    many tasks'; only folders of the wanted subjects and states are listed. A line's number is its place in its range and the
+    lines of the file's ranges before: those are counted by a first pass, a row for each range.
+    """
+    for wanted in (subjects, states):
+        if wanted is not None and not wanted:
+            return spark.createDataFrame([], "subject string, state string, file string, line_number long, line string")
+    raw = spark.read.option("lineSep", "\n").text(f"{path.rstrip('/')}/{_within(subjects)}/{_within(states)}/{pattern}")
+    at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")}
+    rows = raw.select(*[c.alias(n) for n, c in at.items()], F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
+    ranges = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.join(ranges.select("file", "block", (before - F.col("first") + 1).alias("shift")), ["file", "block"])
+    part = lambda i: F.url_decode(F.replace(F.element_at(F.split("file", "/"), i), F.lit("+"), F.lit("%2B")))
+    return out.select(part(-3).alias("subject"), part(-2).alias("state"), "file", (F.col("at") + F.col("shift")).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def pulse(spark: SparkSession, path: str, *, subjects: list[str] | None = None, states: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Recordings *.PW below <subject>/<state>: samples (subject, state, seq, value, ts) and bad rows (line_number, line, error)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.PW").option("recursiveFileLookup", "true").load(path)
-    texts = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("subject"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("state"), F.decode("content", "ISO-8859-1").alias("content"))
-    lines = pulse_lines(texts)
+    lines = _parsed(recording_lines(spark, path, subjects=subjects, states=states))
     good = lines.filter("value IS NOT NULL").select("subject", "state", F.col("line_number").alias("seq"), "value", "ts")
     return good, lines.filter("error IS NOT NULL").select("subject", "state", "line_number", "line", "error")
 
@@ -106,3 +137,8 @@ def frame_times(lines: DataFrame, value: str = "value") -> DataFrame:
     rows = lines.withColumn("t", F.expr(f"try_cast(trim(`{value}`) as double)")).filter("t IS NOT NULL AND NOT isnan(t)")
     enough = rows.groupBy("clip").agg(F.count("*").alias("n"), (F.max_by("t", "line_number") - F.min_by("t", "line_number")).alias("duration")).filter("n > 1")
     return rows.join(enough, "clip").select("clip", "line_number", "t", "n", "duration")
+
+
+def frame_counts(frames: DataFrame) -> DataFrame:
+    """Frames of each clip; clips without a frame (a row whose frame_idx is NULL) have 0."""
+    return frames.groupBy("clip").agg(F.count("frame_idx").alias("frames"))
