@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import labels, learning, lookup, metrics, ranking, selection
 from pulsegrid.plans.adapters import SQL_PREDICTIONS, SQL_TIMELINE, predictions, table, timeline
+from pulsegrid.scratch import shared_dir
 from pulsegrid.sources import readers
 
 Q, SQL = {}, {}
@@ -201,6 +204,16 @@ def s9_pulse_lines(spark, sf_dir):
     return rows.groupBy("subject").agg(F.count("value").alias("good"), F.count("ts").alias("timed"), F.count("error").alias("bad"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS subject, count(*) FILTER (event_type <> 'error') AS good, count(*) FILTER (event_type <> 'error' AND event_id % 10 <> 0) AS timed, true AS numbered, round(sum(CASE WHEN event_type <> 'error' THEN round(value, 2) END), 2) AS total FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'error') > 0")
+def s9_recordings_in_ranges(spark, sf_dir):
+    """Recordings written as text files in the shared folder and read again in ranges of bytes, with their line numbers."""
+    path = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    _recordings(spark, sf_dir).repartition("subject").write.partitionBy("subject", "state").text(path)
+    lines = readers.recording_lines(spark, path, pattern="*.txt")
+    good = readers.parsed(lines).filter("value IS NOT NULL").withColumn("subject", F.regexp_replace("subject", "^subject=", ""))
+    return good.groupBy("subject").agg(F.count("value").alias("good"), F.count("ts").alias("timed"), (F.countDistinct("line_number") == F.count("*")).alias("numbered"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query(
     """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS subject, epoch_us(ts) AS us, event_type, event_id FROM events WHERE event_type <> 'error'),
 a AS (SELECT subject, count(*) AS n, (max(us) - min(us)) / 1e6 AS span FROM e WHERE event_id % 10 <> 0 GROUP BY subject)
@@ -283,9 +296,9 @@ def _safe_ratio():
     return [F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("i"), F.round(safe, 3).alias("ratio")]
 
 
-@query("SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, CASE WHEN abs(l_discount) < 1e-9 THEN 0 ELSE round(l_extendedprice / l_discount, 3) END AS ratio FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, CASE WHEN abs(l_discount) < 1e-9 THEN 0 ELSE round(l_extendedprice / l_discount, 3) END AS ratio FROM lineitem")
 def m8_safe_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(*_safe_ratio())
+    return table(spark, sf_dir, "lineitem").select(*_safe_ratio())
 
 
 @query("SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, CASE WHEN abs(l_discount) < 1e-9 THEN 0 ELSE round(l_extendedprice / l_discount, 3) END AS ratio FROM lineitem")

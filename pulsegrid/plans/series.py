@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import combine, gaps, intervals, resampling, windows
 from pulsegrid.plans.adapters import EVENTS, SQL_INTERVALS, SQL_REGIONS, SQL_TIMELINE, SQL_WINDOWS, UNIT, fixed_windows, regions, timeline
+from pulsegrid.scratch import shared_dir
+from pulsegrid.sources import archives, readers
 
 Q, SQL = {}, {}
 
@@ -224,3 +228,18 @@ def o8_prefix(spark, sf_dir):
 @query(f"WITH {SQL_TIMELINE} SELECT clip, count(*) AS n, round(max(t) / {UNIT}, 4) AS units FROM ev GROUP BY clip")
 def s5_clip_spans(spark, sf_dir):
     return timeline(spark, sf_dir).groupBy("clip").agg(F.count("*").alias("n"), F.round(F.max("t") / UNIT, 4).alias("units"))
+
+
+@query(f"WITH {SQL_TIMELINE} SELECT clip, count(*) AS frames FROM fr GROUP BY clip")
+def s3_frame_counts(spark, sf_dir):
+    return readers.frame_counts(timeline(spark, sf_dir))
+
+
+@query(f"WITH {SQL_REGIONS} SELECT clip, 3 * count(DISTINCT frame_idx) * 3 AS n, round(sum(coalesce(r, 0) + coalesce(g, 0) + coalesce(b, 0)), 4) AS total, 9 * count(DISTINCT frame_idx) - 3 * count(r) AS missing FROM rg GROUP BY clip")
+def k3_s8_signal_archives(spark, sf_dir):
+    """Every clip's signals written as an archive in the shared folder and read again."""
+    path = f"{shared_dir(spark)}/signals-{uuid.uuid4().hex}"
+    archives.write(regions(spark, sf_dir).drop("valid"), path, "signals")
+    rows = readers.npz(spark, path, ["signals"], "_signals.npz")
+    known = F.filter("values", lambda v: ~F.isnan(v))
+    return rows.select(F.col("name").alias("clip"), F.size("values").cast("long").alias("n"), F.round(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), 4).alias("total"), (F.size("values") - F.size(known)).cast("long").alias("missing"))

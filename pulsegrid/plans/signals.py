@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import nets
 from pulsegrid.operators import augment, cache, learning, scoring, waveforms
+from pulsegrid.plans import signal_sql
 from pulsegrid.plans.adapters import table
 from pulsegrid.scratch import shared_dir
 
@@ -52,12 +53,16 @@ def _total(c):
     return F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.abs(x)), 4)
 
 
-@query()
+_VECTORS = "v AS (SELECT vec_id AS key, CAST(unnest(range(64)) AS INT) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+_SUMS = "SELECT key AS vec_id, CAST(count(*) AS INT) AS n, round(sum(abs(x)), 4) AS sum_abs FROM y GROUP BY key"
+
+
+@query(f"WITH RECURSIVE {_VECTORS}, {signal_sql.detrended('v', 'y', 64)} {_SUMS}")
 def m1_detrended(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", waveforms.detrended("embedding").alias("y")).select("vec_id", F.size("y").alias("n"), _total("y").alias("sum_abs"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_VECTORS}, {signal_sql.bandpassed('v', 'y', 64)} {_SUMS}")
 def m2_bandpassed(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", waveforms.bandpassed("embedding").alias("y")).select("vec_id", F.size("y").alias("n"), _total("y").alias("sum_abs"))
 
@@ -83,7 +88,30 @@ def _colours(spark, sf_dir):
     return rows.select(F.concat_ws("_", "label", "block", "trio").alias("segment"), *[F.col("xs")[F.least(F.lit(i), F.size("xs") - 1)]["x"].alias(c) for i, c in enumerate("rgb")])
 
 
-@query()
+# the colour series, and what the three methods make of them
+_COLOURS = f"""
+nb AS (SELECT label, vec_id // {BLOCK} AS block, vec_id, embedding, row_number() OVER (PARTITION BY label, vec_id // {BLOCK} ORDER BY vec_id) - 1 AS place FROM embeddings),
+tr AS (SELECT label || '_' || block || '_' || place // 3 AS segment, list(embedding ORDER BY vec_id) AS xs FROM nb GROUP BY label, block, place // 3),
+co AS (SELECT segment, c, CAST(unnest(range(64)) AS INT) AS i, unnest(xs[least(c, len(xs))])::DOUBLE + 10 AS x FROM tr, (SELECT unnest([1, 2, 3]) AS c))"""
+_METHODS = f"""
+sc AS (SELECT segment, i, max(s) FILTER (c = 1) AS r, max(s) FILTER (c = 2) AS g, max(s) FILTER (c = 3) AS b, max(x) FILTER (c = 2) AS green FROM (SELECT *, x / (avg(x) OVER (PARTITION BY segment, c) + 1e-9) AS s FROM co) GROUP BY segment, i),
+pw AS (SELECT segment, a, i, c, x / (avg(x) OVER (PARTITION BY segment, a, c) + 1e-9) AS s FROM co, (SELECT unnest(range(17)) AS a) WHERE i BETWEEN a AND a + 47),
+ps AS (SELECT segment, a, i, max(s) FILTER (c = 2) - max(s) FILTER (c = 3) AS s1, max(s) FILTER (c = 2) + max(s) FILTER (c = 3) - 2 * max(s) FILTER (c = 1) AS s2 FROM pw GROUP BY segment, a, i),
+ph AS (SELECT segment, a, i, s1 + stddev_pop(s1) OVER w / (stddev_pop(s2) OVER w + 1e-9) * s2 AS h FROM ps WINDOW w AS (PARTITION BY segment, a)),
+raw AS (
+  SELECT segment || '|green' AS key, i, green AS x FROM sc UNION ALL SELECT segment || '|x', i, 3 * r - 2 * g FROM sc UNION ALL SELECT segment || '|y', i, 1.5 * r + g - 1.5 * b FROM sc
+  UNION ALL SELECT segment || '|pos', i, sum(h - m) FROM (SELECT *, avg(h) OVER (PARTITION BY segment, a) AS m FROM ph) GROUP BY segment, i),
+{signal_sql.bandpassed("raw", "bp", 64)},
+sp AS (SELECT split_part(key, '|', 1) AS segment, split_part(key, '|', 2) AS kind, i, x, stddev_pop(x) OVER (PARTITION BY key) AS sd FROM bp),
+wv AS (
+  SELECT segment || '|' || kind AS key, i, x FROM sp WHERE kind IN ('pos', 'green')
+  UNION ALL SELECT a.segment || '|chrom', a.i, a.x - a.sd / (b.sd + 1e-9) * b.x FROM sp a JOIN sp b ON a.segment = b.segment AND a.i = b.i AND a.kind = 'x' AND b.kind = 'y'),
+{signal_sql.heart_rates("wv", "hr", 64, 256)}"""
+
+
+@query(
+    f"""WITH RECURSIVE {_COLOURS}, {_METHODS} SELECT split_part(key, '|', 1) AS segment, {", ".join(f"round(max({k}) FILTER (split_part(key, '|', 2) = '{m}'), 4) AS {k.replace('hr.', '')}_{m}" for m in ("pos", "chrom", "green") for k in ("hr.hr", "conf"))} FROM hr GROUP BY 1"""
+)
 def m4_m7_method_rates(spark, sf_dir):
     """POS, CHROM and green on colour series."""
     out = _colours(spark, sf_dir).select("segment", waveforms.method_waveforms("r", "g", "b").alias("w"))
@@ -101,7 +129,27 @@ def _samples(spark, sf_dir):
     return out.withColumn("hr", 70 + F.col("x")).withColumn("hb", F.col("x"))
 
 
-@query()
+def _safe(a: str, b: str) -> str:
+    return f"CASE WHEN abs({b}) >= 1e-9 THEN ({a}) / ({b}) ELSE 0 END"
+
+
+_LEVELS = [(f"{c}_{k}", f"{k}{c}") for c in "RGB" for k in ("dc", "ac", "acdc")]
+_PAIRS = [(f"{k}_{a}_over_{b}", _safe(f"{k}{a}", f"{k}{b}")) for k, pairs in (("acdc", ("GR", "RB", "GB")), ("dc", ("RG", "RB", "GB"))) for a, b in pairs]
+_PIXELS = [("pixels_mean", "pm"), ("pixels_std", "pd"), ("pixels_median", "pq"), ("pixels_detection_fraction", "pf"), ("pixels_normalized_mean", _safe("pm", "px"))]
+
+
+@query(
+    f"""WITH RECURSIVE {_COLOURS},
+lo AS (SELECT segment || '|' || c AS key, CAST(i + 64 * rep AS INT) AS i, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM co, (SELECT unnest(range(10)) AS rep) WHERE i + 64 * rep < 600),
+{signal_sql.bandpassed("lo", "bp", 600)},
+st AS (SELECT key, avg(x) AS dc, CASE WHEN stddev_pop(x) >= 1e-9 THEN sd ELSE 0 END AS ac FROM lo JOIN (SELECT key, stddev_pop(x) AS sd FROM bp GROUP BY key) USING (key) GROUP BY key, sd),
+ra AS (SELECT split_part(key, '|', 1) AS segment, split_part(key, '|', 2) AS c, dc, ac, {_safe("ac", "dc")} AS acdc FROM st),
+wi AS (SELECT segment, {", ".join(f"max({k}) FILTER (c = '{i}') AS {k}{c}" for i, c in enumerate("RGB", 1) for k in ("dc", "ac", "acdc"))} FROM ra GROUP BY segment),
+pi AS (SELECT split_part(key, '|', 1) AS segment, avg(p) AS pm, stddev_pop(p) AS pd, median(p) AS pq, avg((p > 0)::INT) AS pf, max(p) AS px FROM (SELECT key, CAST(CAST(CAST(x AS FLOAT) * 10 AS FLOAT) AS DOUBLE) AS p FROM lo WHERE split_part(key, '|', 2) = '2') GROUP BY 1),
+al AS (SELECT * FROM wi JOIN pi USING (segment)),
+ft AS ({" UNION ALL ".join(f"SELECT segment, '{name}' AS feature, CAST({value} AS DOUBLE) AS value FROM al" for name, value in _LEVELS + _PAIRS + _PIXELS)})
+SELECT segment, region || '_' || feature AS feature, round(CAST(CAST(CASE WHEN region = 'rcheek' THEN 0 ELSE value END AS FLOAT) AS DOUBLE), 4) AS value FROM ft, (VALUES ('forehead'), ('lcheek'), ('rcheek')) AS k(region)"""
+)
 def m9_g15_g16_features(spark, sf_dir):
     """The 60 hemoglobin features, as named rows."""
     names = F.array(*[F.lit(n) for n in learning.feature_names()])

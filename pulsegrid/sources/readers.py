@@ -56,10 +56,11 @@ def pulse_lines(texts: DataFrame) -> DataFrame:
     Blank lines are skipped; a bad value is an error, a bad or missing time only makes ts NULL (with an error).
     """
     rows = texts.select("subject", "state", F.posexplode(F.split("content", "\r?\n")).alias("line_number", "line"))
-    return _parsed(rows.withColumn("line_number", (F.col("line_number") + 1).cast("long")))
+    return parsed(rows.withColumn("line_number", (F.col("line_number") + 1).cast("long")))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame) -> DataFrame:
+    """Numbered lines of recordings with value, ts and error; blank ones are skipped."""
     rows = lines.withColumn("line", F.trim("line")).filter("line <> ''")
     parts = F.split("line", r"\s+")
     rows = rows.withColumn("value", F.expr(r"try_cast(get(split(line, '\\s+'), 0) as double)"))
@@ -98,7 +99,7 @@ def recording_lines(spark: SparkSession, path: str, *, subjects: list[str] | Non
 
 def pulse(spark: SparkSession, path: str, *, subjects: list[str] | None = None, states: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Recordings *.PW below <subject>/<state>: samples (subject, state, seq, value, ts) and bad rows (line_number, line, error)."""
-    lines = _parsed(recording_lines(spark, path, subjects=subjects, states=states))
+    lines = parsed(recording_lines(spark, path, subjects=subjects, states=states))
     good = lines.filter("value IS NOT NULL").select("subject", "state", F.col("line_number").alias("seq"), "value", "ts")
     return good, lines.filter("error IS NOT NULL").select("subject", "state", "line_number", "line", "error")
 
