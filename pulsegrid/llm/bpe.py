@@ -386,14 +386,14 @@ class _Run:
             if m is None:  # an odd space of Python's
                 at += 1
                 continue
+            if m.start() >= hold:
+                self.rest = text[at:]
+                break
             if m.end() < len(text):
                 out.append(enc._pretoken(m[0]) if len(m[0]) <= 64 else pack("<%dI" % len(ids := enc._ids(enc._marks(m[0]))), *ids))
                 at = m.end()
                 continue
-            if m.start() >= hold:
-                self.rest = text[at:]
-                break
-            if NUMBER.match(m[0]):
+            if NUMBER.match(m[0]) or len(m[0]) > 1 and m[0][0] == "'" and m[0][1].isalpha():  # whole, whatever comes: a digit, or a short form
                 out.append(enc._pretoken(m[0]))
             else:
                 self.kind, self.open = "letters" if LETTERS.match(m[0]) else "others", Transducer(enc.merges)

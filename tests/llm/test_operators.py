@@ -649,6 +649,25 @@ def test_blocks_and_edges_change_no_id(monkeypatch, block):
         assert got == tk.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("block", [32, 33, 47, 64, 100, 128, 300])
+def test_short_forms_that_a_block_cuts(monkeypatch, block):
+    """Quotes with the letters after them fall on every place of a block's end."""
+    tk, enc, rng = Tokenizer.from_file(WORDS), bpe.Encoder(WORDS), np.random.default_rng(block)
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    for k in range(120):
+        parts = ["'ll", "'re", "'ve", "'s", "'t", "'", "''", "'l", "'r", "a", "1", "!", "l", "ab", "é"]
+        t = "".join(rng.choice(parts, 200)) if k % 2 else "".join(rng.choice(["a'll", "b're", "1've", "c'l"][k // 2 % 4 :: 4] + ["x"], 120, p=[0.9, 0.1]))
+        step = int(rng.integers(5, 90))
+        got = np.frombuffer(b"".join(enc.pieces(t[i : i + step] for i in range(0, len(t), step))), "<u4").tolist()
+        assert got == tk.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("part", ["a'll", "a're", "1've"])
+def test_long_stretches_of_short_forms(part):
+    t = part * 50_000 + "xx"
+    assert np.frombuffer(bpe.Encoder(WORDS).encode(t), "<u4").tolist() == Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids
+
+
 def test_text_is_decoded_byte_by_byte():
     enc = bpe.Encoder(WORDS)
     assert "".join(enc.decode_text(np.frombuffer(enc.encode("Héllo wörld 😀!"), "<u4").tolist())) == "héllo wörld 😀! "
