@@ -4,7 +4,8 @@ The lexicon is learned from labelled documents: words, and stems that begin word
 toxic documents hold far more often than clean ones. It is kept as a trie. A Levenshtein
 automaton of one edit (two for terms of nine letters or more) is intersected with the trie;
 the product is determinised lazily, so a word costs one table step per letter and most
-words die after a few. Every hit gets a context: hits between quotation marks within a
+words die after a few. A token is looked up by each of its runs of letters and, where digits or marks
+stand amid them, by all its letters in one. Every hit gets a context: hits between quotation marks within a
 window of words count as quoted, the others as used, and hits near each other add up to a
 window score. A logistic regression on a document's eight figures gives its score.
 
@@ -49,15 +50,20 @@ SINGLE = frozenset("'‘’‚‹›")
 FIGURES = 8
 
 
-def words_of(token: str) -> str:
-    """A token's letters in lower case: its longest run of letters, or nothing."""
-    found = LETTERS.findall(token.lower())
-    return max(found, key=len) if found else ""
+def runs_of(token: str) -> list[str]:
+    """A token's runs of letters in lower case."""
+    return LETTERS.findall(token.lower())
+
+
+def spellings(token: str) -> tuple[list[str], str]:
+    """The words to look up for a token: its runs of letters, and, where digits or marks stand amid them (st*pid, w0rd), the runs in one."""
+    runs = runs_of(token)
+    return [w for w in runs if len(w) > 2], "".join(runs) if len(runs) > 1 else ""
 
 
 def terms_of(text: str) -> set[str]:
     """Words and, marked with a trailing ``*``, their beginnings of four to six letters."""
-    words = {w for t in set(text.split()) if len(w := words_of(t)) > 2}
+    words = {w for t in set(text.split()) for w in runs_of(t) if len(w) > 2}
     return words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
 
 
@@ -197,10 +203,12 @@ class Scorer(dict):
         self.matcher = Matcher(weights)
 
     def __missing__(self, token: str) -> tuple[float, int, str, str] | None:
-        word = words_of(token)
-        weight, kind = self.matcher.match(word) if len(word) > 2 else (0.0, 0)
+        words, joined = spellings(token)
+        weight, kind = max(map(self.matcher.match, words), default=(0.0, 0))
+        if len(joined) > 2 and (other := self.matcher.match(joined)[0]) > weight:
+            weight, kind = other, 3
         opens, closes = ("", "") if token.isalnum() else (m[1] if (m := x.search(token)) else "" for x in (OPENS, CLOSES))
-        if opens and not word:
+        if opens and not LETTERS.search(token):
             opens, closes = opens * 2, ""
         found = (weight, kind, opens, closes) if kind or opens or closes else None
         if len(token) <= 64:
@@ -269,18 +277,17 @@ def _score_rows(docs: DataFrame, model_of, columns: list[str], scored_fields: st
     """Adds what ``model_of(texts)`` gives for the text column to every row."""
     added = [f.split()[0] for f in scored_fields.split(", ")]
     columns = [c for c in columns if c not in added]
-    names = [*columns, *added]
-    base = docs.select(*map(plain_column, columns))
-    text_at = columns.index("text")
+    plain, text_at = [f"c{i}" for i in range(len(columns))], columns.index("text")
+    base = docs.select(*map(plain_column, columns)).toDF(*plain)  # workers get columns by place, whatever their names
     schema = StructType([*base.schema.fields, *StructType.fromDDL(scored_fields).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of()
         for batch in batches:
             for part in slices(batch, text_at):
-                yield pa.RecordBatch.from_arrays([*part.columns, *own(part.column(text_at))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *own(part.column(text_at))], [*plain, *added])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema).toDF(*columns, *added)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000) -> Model:

@@ -213,6 +213,13 @@ def test_quotations_are_pairs_of_marks(text, quoted):
     assert (f[4] > 0) == quoted and (f[0] > 0) != quoted
 
 
+@pytest.mark.parametrize("token", ["st*pid", "stup1d", "st.u.p.i.d", "w0rthl3ss", "you/absolutely/idiot", "internationally—idiot", "(stupid)", "(id1ot)"])
+def test_every_run_and_spellings_over_marks_hit(token):
+    f = toxicity.Scorer({"idiot": 5.0, "stupid": 5.0, "worthless": 6.0}).figures(f"and {token} here")
+    assert f[7] > 0
+    assert not any(toxicity.Scorer({"idiot": 5.0, "stupid": 5.0}).figures("3.14 a-b st. 12:30 e.g. http://x.y/st well-known stop,pid"))
+
+
 def test_long_texts_take_linear_time():
     s = toxicity.Scorer({"idiot": 5.0})
     text = '"idiot ' * 10_000 + 'idiot" ' * 10_000 + LONG
@@ -247,12 +254,13 @@ def test_toxicity_figures_match_a_slow_version(spark):
 
     def best(token):
         if token not in known:
-            w = max(re.findall(r"[^\W\d_]+", token.lower()), key=len, default="")
-            found = []
-            if len(w) > 2:
-                found = [(v / (1 + d), d == 0) for t, v in full.items() if (d := near(w, t, most := 0 if len(t) < 5 else 1 if len(t) < 9 else 2)) <= most]
-                found += [(v, False) for t, v in weights.items() if t.endswith("*") and len(w) >= len(t) and w.startswith(t[:-1])]
-            known[token] = max(found, default=(0.0, False)) if not any(e for _, e in found) else max(x for x in found if x[1])
+            runs, each = re.findall(r"[^\W\d_]+", token.lower()), [(0.0, False)]
+            for w in {*runs, "".join(runs)}:
+                if len(w) > 2:
+                    found = [(v / (1 + d), d == 0) for t, v in full.items() if (d := near(w, t, most := 0 if len(t) < 5 else 1 if len(t) < 9 else 2)) <= most]
+                    found += [(v, False) for t, v in weights.items() if t.endswith("*") and len(w) >= len(t) and w.startswith(t[:-1])]
+                    each.append(max(found, default=(0.0, False)) if not any(e for _, e in found) else max(x for x in found if x[1]))
+            known[token] = max(each)
         return known[token]
 
     s, rng = toxicity.Scorer(weights), np.random.default_rng(0)
@@ -679,7 +687,7 @@ def test_all_ten_and_the_pipeline_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
-CLASHING = ["doc", "tag", "_drop", "_removed", "row_key", "spot", "score", "predicted", "name", "keys", "c0", "a b c", "lang", "source", "n_chars"]
+CLASHING = ["doc", "tag", "_drop", "_removed", "row_key", "spot", "score", "predicted", "name", "keys", "c0", "a.b c", "a`b", "lang", "source", "n_chars"]
 
 
 def clashing(spark):
