@@ -5,8 +5,11 @@ colour cache, and the predictor, cross-colour, subtract-green and palette transf
 the result is a pixel array (height, width, 4) of ARGB.
 
 A media column stores a payload as grey samples, 64 to a row: a still image, or an animation of
-frames of at most ``FRAME`` samples for a longer payload. Every frame has a prefix code of its own for the samples
-and the subtract-green transform. ``decode_grey`` decodes the frames of many rows side by side: each frame is a
+frames of at most ``FRAME`` samples for a longer payload. Every frame has a prefix code of its own and the subtract-green
+transform; repeats of ``MATCH`` samples and more become back-references where a frame has ``WORTH`` of them, and a
+frame of at most 16 levels is stored by palette, several samples to a pixel, where that is smaller. The other tools can't make
+grey text smaller and are only read: red and blue are constant after subtract-green, so that a colour cache replaces a
+symbol by a symbol, and cross-colour has nothing to turn. ``decode_grey`` decodes the frames of many rows side by side: each frame is a
 lane, and one numpy step reads a symbol in every lane (back-references included), so that a column's decoding costs no
 Python step per pixel. Frames that use more than this (other transforms, colour cache, code groups) go through ``decode``.
 
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.storage import materialise
 
 WIDTH, FRAME, LIMIT = 64, 4096, 10
+MATCH, WORTH = 16, 128  # samples of a back-reference, and all of a frame's, at least
 # Fixed values of the format: order of code length codes; palette sizes by packed bits.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
@@ -332,7 +336,7 @@ def limited_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
             a, c = heapq.heappop(heap), heapq.heappop(heap)
             heapq.heappush(heap, (a[0] + c[0], name, (a, c)))
             name += 1
-        lengths = np.zeros(256, np.int64)
+        lengths = np.zeros(len(counts), np.int64)
         stack, deepest = [(heap[0], 0)], 0
         while stack:
             (_, s, pair), depth = stack.pop()
@@ -360,42 +364,160 @@ _LENGTH_BITS = {s: int(_REVERSED[4][k]) for k, s in enumerate(_LENGTH_CODE)}
 _LENGTH_VALUE = np.array([_LENGTH_BITS[s] for s in range(14)], np.uint64)
 
 
+_LENGTH_FIELDS = [(15, 4), *((4 if k in _LENGTH_BITS else 0, 3) for k in LENGTH_ORDER)]
+#: Lone symbols for red and blue (0) and alpha (255), and for distance (0).
+_CHANNELS = [(1, 1), (0, 1), (0, 1), (0, 1)] * 2 + [(1, 1), (0, 1), (1, 1), (255, 8)]
+_NO_DISTANCE = [(1, 1), (0, 1), (0, 1), (0, 1)]
+GREEN = 280
+#: The smallest code of each distance.
+_NEAR_CODES = {max(1, x + y * WIDTH): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def _begin(width: int, height: int) -> list[tuple[int, int]]:
+    """A frame's fields up to its first transform, which is subtract-green."""
+    return [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2)]
+
+
 def _head(width: int, height: int) -> tuple[int, int]:
-    """A frame's bits before the samples' code lengths."""
-    fields = [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)]
-    fields += [(0, 1), (15, 4), *((4 if k in _LENGTH_BITS else 0, 3) for k in LENGTH_ORDER)]
-    return _bits_of([*fields, (1, 1), (3, 3), (256 - 2, 8)])
+    """A plain frame's bits before the samples' code lengths."""
+    return _bits_of([*_begin(width, height), (0, 1), (0, 1), (0, 1), (0, 1), *_LENGTH_FIELDS, (1, 1), (3, 3), (256 - 2, 8)])
 
 
-#: After them: lone symbols for red and blue (0), alpha (255) and distance (0).
-_TAIL = _bits_of([(1, 1), (0, 1), (0, 1), (0, 1)] * 2 + [(1, 1), (0, 1), (1, 1), (255, 8)] + [(1, 1), (0, 1), (0, 1), (0, 1)])
+_TAIL = _bits_of(_CHANNELS + _NO_DISTANCE)
 
 
-def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
-    """VP8L bitstreams of grey frames (flat samples, a multiple of WIDTH each)."""
-    n = len(frames)
-    sizes = np.array([len(f) for f in frames])
-    samples = np.concatenate(frames).astype(np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    counts = np.bincount(owner * 256 + samples, minlength=n * 256).reshape(n, 256)
-    lengths = np.stack([limited_lengths(c) for c in counts])
-    codes, first = np.zeros((n, 256), np.int64), np.zeros(n, np.int64)
+def _all_lengths(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """A prefix code by the lengths of its whole alphabet."""
+    return [(0, 1), *_LENGTH_FIELDS, (0, 1), *((v, 4) for v in _LENGTH_VALUE[lengths].tolist())]
+
+
+def _short_code(counts: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
+    """Fields of a prefix code, cut after its last symbol, and each symbol's bits."""
+    used = np.flatnonzero(counts)
+    if len(used) == 1:
+        return [(1, 1), (0, 1), (1, 1), (int(used[0]), 8)], {int(used[0]): (0, 0)}
+    lengths = limited_lengths(counts)
+    most = int(np.flatnonzero(lengths)[-1]) + 1
+    codes = canonical(lengths[None])[0]
+    return [(0, 1), *_LENGTH_FIELDS, (1, 1), (3, 3), (most - 2, 8), *((v, 4) for v in _LENGTH_VALUE[lengths[:most]].tolist())], {int(k): (int(codes[k]), int(lengths[k])) for k in np.flatnonzero(lengths)}
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Codes, first bit lowest, of rows of code lengths."""
+    codes, first = np.zeros(lengths.shape, np.int64), np.zeros(len(lengths), np.int64)
     for bits in range(1, LIMIT + 1):
         first <<= 1
         here = lengths == bits
-        rank = np.cumsum(here, 1) - 1
-        value = first[:, None] + rank
+        value = first[:, None] + np.cumsum(here, 1) - 1
         codes[here] = _REVERSED[bits][value[here]]
         first += here.sum(1)
-    heads = [_head(WIDTH, s // WIDTH) for s in sizes.tolist()]
-    head_bits, tail_bits = heads[0][1], _TAIL[1]
-    before = head_bits + 256 * 4 + tail_bits
-    own = lengths[owner, samples]
-    total = np.bincount(owner, own, minlength=n).astype(np.int64) + before
+    return codes
+
+
+def palette_frame(frame: np.ndarray) -> tuple[int, int]:
+    """The bits of a frame of at most 16 levels: subtract-green over a palette of (255, 0, level, 0)."""
+    levels, index = np.unique(frame, return_inverse=True)
+    n = len(levels)
+    bits = 3 if n <= 2 else 2 if n <= 4 else 1
+    packed = (index.reshape(-1, 1 << bits) << np.arange(1 << bits) * (8 >> bits)).sum(1)
+    steps = np.diff(levels.astype(np.int64), prepend=0)
+    fields = [*_begin(WIDTH, len(frame) // WIDTH), (1, 1), (PALETTE, 2), (n - 1, 8), (0, 1)]
+    code, own = _short_code(np.bincount(steps, minlength=256))
+    # alpha begins with 255 and doesn't change any more
+    alpha = [(1, 1), (1, 1), (1, 1), (0, 8), (255, 8)] if n > 1 else [(1, 1), (0, 1), (1, 1), (255, 8)]
+    fields += [*code, *_CHANNELS[:8], *alpha, *_NO_DISTANCE]
+    for k, step in enumerate(steps.tolist()):
+        fields += [own[step], *([(int(k == 0), 1)] if n > 1 else [])]
+    code, own = _short_code(np.bincount(packed, minlength=256))
+    fields += [(0, 1), (0, 1), (0, 1), *code, *_CHANNELS, *_NO_DISTANCE, *(own[v] for v in packed.tolist())]
+    return _bits_of(fields)
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Symbol, extra bits and their number of a length or distance code; the inverse of ``_value``."""
+    value -= 1
+    if value < 4:
+        return value, 0, 0
+    extra = value.bit_length() - 2
+    return 2 * extra + 2 + (value >> extra & 1), value & ((1 << extra) - 1), extra
+
+
+def repeats(frame: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of repeats of at least ``MATCH`` samples, none overlapping, from the left."""
+    n = len(frame)
+    if n <= MATCH:
+        return []
+    eight = np.ndarray(n - 7, "<u8", frame.tobytes(), strides=(1,))
+    key = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    short = (key >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(short, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if not same.any():
+        return []
+    places, before = order[1:][same], order[:-1][same]
+    by_place = np.argsort(places)
+    out, at = [], 0
+    for i, j in zip(places[by_place].tolist(), before[by_place].tolist()):
+        if i < at:
+            continue
+        differs = frame[i:] != frame[j : n - i + j]
+        length = int(differs.argmax()) if differs.any() else n - i
+        if length >= MATCH:
+            out.append((i, length, i - j))
+            at = i + length
+    return out if sum(r[1] for r in out) >= WORTH else []
+
+
+def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
+    """VP8L bitstreams of grey frames (flat samples, a multiple of WIDTH each)."""
+    n = len(frames)
+    symbols, extras, linked = [], [], np.zeros(n, bool)  # distances are symbols from GREEN on
+    base = 0
+    for k, f in enumerate(frames):
+        found = repeats(f)
+        own = f.astype(np.int64)
+        if found:
+            linked[k] = True
+            parts, at, size = [], 0, 0
+            for i, length, back in found:
+                long, far = _prefix(length), _prefix(_NEAR_CODES.get(back, back + 120))
+                size += i - at
+                parts += [own[at:i], np.array([256 + long[0], GREEN + far[0]])]
+                extras += [(base + size, *long[1:]), (base + size + 1, *far[1:])]
+                size += 2
+                at = i + length
+            own = np.concatenate([*parts, own[at:]])
+        symbols.append(own)
+        base += len(own)
+    sizes = np.array([len(x) for x in symbols])
+    symbol = np.concatenate(symbols)
+    owner = np.repeat(np.arange(n), sizes)
+    counts = np.bincount(owner * (GREEN + 40) + symbol, minlength=n * (GREEN + 40)).reshape(n, GREEN + 40)
+    lengths = np.zeros_like(counts)
+    for k in range(n):
+        lengths[k, :GREEN] = limited_lengths(counts[k, :GREEN])
+        if linked[k]:
+            lengths[k, GREEN:] = limited_lengths(counts[k, GREEN:])
+    codes = np.concatenate([canonical(lengths[:, :GREEN]), canonical(lengths[:, GREEN:])], 1)
+    heads = []
+    for k, f in enumerate(frames):
+        if linked[k]:
+            fields = [*_begin(WIDTH, len(f) // WIDTH), (0, 1), (0, 1), (0, 1)]
+            heads.append(_bits_of([*fields, *_all_lengths(lengths[k, :GREEN]), *_CHANNELS, *_all_lengths(lengths[k, GREEN:])]))
+        else:
+            heads.append(_head(WIDTH, len(f) // WIDTH))
+    head_bits = np.array([h[1] for h in heads])
+    before = head_bits + np.where(linked, 0, 256 * 4 + _TAIL[1])
+    value, bits = codes[owner, symbol], lengths[owner, symbol]
+    if extras:
+        where, extra, more = np.array(extras).T
+        value[where] |= extra << bits[where]
+        bits[where] += more
+    total = np.bincount(owner, bits, minlength=n).astype(np.int64) + before
     words = (total + 31) // 32 + 1
     base = np.concatenate([[0], np.cumsum(words)])[:-1] * 32
-    ends = np.cumsum(own)
-    starts = ends - own
+    ends = np.cumsum(bits)
+    starts = ends - bits
     place = starts - np.repeat(starts[np.cumsum(sizes) - sizes], sizes) + np.repeat(base + before, sizes)
 
     def put(place: np.ndarray, value: np.ndarray, into: np.ndarray) -> None:
@@ -405,16 +527,22 @@ def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
         into += np.bincount((place >> 5) + 1, high, minlength=len(into) + 1).astype(np.uint64)[: len(into)]
 
     out = np.zeros(int(words.sum()), np.uint64)
-    put(place, codes[owner, samples], out)
-    at = (base + head_bits)[:, None] + np.arange(256) * 4
-    put(at.ravel(), _LENGTH_VALUE[lengths.ravel()], out)
-    for shift in range(0, max(head_bits, tail_bits), 16):
-        if shift < head_bits:
-            put(base + shift, np.array([h[0] >> shift & 0xFFFF for h in heads]), out)
-        if shift < tail_bits:
-            put(base + head_bits + 1024 + shift, np.full(n, _TAIL[0] >> shift & 0xFFFF), out)
+    put(place, value, out)
+    plain = np.flatnonzero(~linked)
+    at = (base + head_bits)[plain, None] + np.arange(256) * 4
+    put(at.ravel(), _LENGTH_VALUE[lengths[plain, :256].ravel()], out)
+    for shift in range(0, _TAIL[1], 16):
+        put((base + head_bits)[plain] + 1024 + shift, np.full(len(plain), _TAIL[0] >> shift & 0xFFFF), out)
+    for shift in range(0, int(head_bits.max()), 16):
+        some = np.flatnonzero(head_bits > shift)
+        put(base[some] + shift, np.array([heads[k][0] >> shift & 0xFFFF for k in some]), out)
     raw = out.astype("<u4").tobytes()
-    return [raw[(i := int(o) // 8) : i + (int(t) + 7) // 8] for o, t in zip(base, total, strict=True)]
+    streams = [raw[(i := int(o) // 8) : i + (int(t) + 7) // 8] for o, t in zip(base, total, strict=True)]
+    for k in np.flatnonzero([len(np.unique(f)) <= 16 for f in frames]).tolist():
+        bits_of, size = palette_frame(frames[k])
+        if size < total[k]:
+            streams[k] = bits_of.to_bytes((size + 7) // 8, "little")
+    return streams
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
