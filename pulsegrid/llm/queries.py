@@ -51,8 +51,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
-    read = F.when(F.col("response.record_type") == "response", F.col("response.payload_bytes")).otherwise(F.col("metadata.payload_bytes"))
-    return captures.select("metadata.page_id", read.alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), "response.record_type", "refers_to")
+    return captures.select("metadata.page_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), "response.record_type", "refers_to")
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

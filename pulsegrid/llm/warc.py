@@ -11,7 +11,9 @@ nested row per capture.
 Defined cases: a null html is an empty payload; a null url is an empty target; payloads of
 under ``min_revisit`` bytes are always responses; among equal payloads the smallest page_id
 is the response (rows that repeat that id too); rows with a null page_id never are when
-another has an id; every input row gives one capture, repeated rows included.
+another has an id; every input row gives one capture, repeated rows included; an empty table gives no rows;
+other columns, whatever their names, are not read. A long payload is held whole by the task that
+writes or parses it, and a file of the archive by the one that parses it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import materialise, scratch_path
+from pulsegrid.llm.storage import materialise, remove, scratch_path
 
 CRLF = "\r\n"
 #: A hot payload's rows are dealt over so many salts when its response is looked up.
@@ -37,10 +39,11 @@ def with_revisits(pages: DataFrame, *, min_revisit: int = 100) -> DataFrame:
     """Adds payload, digest, n_bytes, and for repeated payloads ``first_id``, the response's page_id."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    shared = base.filter(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL")
-    shared = shared.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return salted.join(shared, ["digest", "salt"], "left").drop("salt")
+    base = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    shared = base.filter(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"), F.collect_set("salt").alias("salts"))
+    # a response is repeated only for the salts that its rows have
+    shared = shared.filter("n > 1 AND first_id IS NOT NULL").select("digest", "first_id", F.explode("salts").alias("salt"))
+    return base.join(shared, ["digest", "salt"], "left").drop("salt")
 
 
 def write_archives(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00:00Z", min_revisit: int = 100, captures_per_file: int = 4096) -> None:
@@ -127,25 +130,33 @@ def read_archives(spark, path: str, *, with_payload: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: request, response (or revisit) and metadata joined through concurrent-to.
 
-    A revisit's ``refers_to`` is the page of the response that it names.
+    A revisit's ``refers_to`` is the page of the response that it names; ``read_bytes`` and ``read_digest`` are of the payload as
+    read, a revisit's of that response's.
     """
-    main = records.filter("record_type IN ('response', 'revisit')").select("record_id", "tag", F.struct("record_type", "record_id", "refers_to_record", "target_uri", "digest", "payload_bytes", "payload").alias("response"))
+    main = records.filter("record_type IN ('response', 'revisit')").select("record_id", "tag", F.struct("record_type", "record_id", "refers_to_record", "target_uri", "digest", "payload_bytes", "payload_digest", "payload").alias("response"))
     request = records.filter("record_type = 'request'").select(F.col("concurrent_to").alias("record_id"), "tag", F.struct(F.col("record_id").alias("request_id"), "target_uri").alias("request"))
     meta = records.filter("record_type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), "tag", F.struct(F.col("record_id").alias("metadata_id"), "page_id", "payload_bytes").alias("metadata"))
     captures = main.join(request, ["record_id", "tag"], "left").join(meta, ["record_id", "tag"], "left")
+    first = captures.filter("response.record_type = 'response'").select("*", F.lit(None).cast("long").alias("refers_to"), F.col("response.payload_bytes").alias("read_bytes"), F.col("response.payload_digest").alias("read_digest"))
+    salted = F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int")
+    again = captures.filter("response.record_type = 'revisit'").select("*", F.col("response.refers_to_record").alias("refers_to_record"), salted.alias("salt"))
+    # what revisits name, at most SALTS rows a response: only these responses are looked up and repeated
+    wanted = records.filter("record_type = 'revisit'").select("refers_to_record", salted.alias("salt")).distinct()
+    responses = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), "tag", "payload_bytes", "payload_digest").join(wanted.select("refers_to_record").distinct(), "refers_to_record", "left_semi")
+    pages = records.filter("record_type = 'metadata'").select(F.col("concurrent_to").alias("refers_to_record"), "tag", "page_id")
     # a response's name is made of its page and payload: one row per name, also where rows repeat
-    named = captures.filter("response.record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min("metadata.page_id").alias("refers_to"))
-    named = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    first = captures.filter("response.record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
-    again = captures.filter("response.record_type = 'revisit'").withColumn("refers_to_record", F.col("response.refers_to_record")).withColumn("salt", F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int"))
-    again = again.join(named, ["refers_to_record", "salt"], "left").drop("refers_to_record", "salt")
+    named = responses.join(pages, ["refers_to_record", "tag"], "left").groupBy("refers_to_record").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("read_bytes"), F.min("payload_digest").alias("read_digest"))
+    again = again.join(wanted.join(named, "refers_to_record"), ["refers_to_record", "salt"], "left").drop("refers_to_record", "salt")
     return first.unionByName(again.select(*first.columns))
 
 
 def round_trip(pages: DataFrame, *, path: str | None = None, with_payload: bool = True) -> DataFrame:
     """Writes archives in the shared folder (or ``path``), reads them back, and returns the assembled captures."""
     spark = pages.sparkSession
-    path = path or scratch_path(spark, "warc")
-    write_archives(pages, path)
+    own = path or scratch_path(spark, "warc")
+    write_archives(pages, own)
     # the joins read the records several times: parse the archives once
-    return assemble(materialise(read_archives(spark, path, with_payload=with_payload), "records"))
+    records = materialise(read_archives(spark, own, with_payload=with_payload), "records")
+    if path is None:  # scratch archives, read whole by now
+        remove(spark, own)
+    return assemble(records)
