@@ -538,7 +538,9 @@ def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
         put(base[some] + shift, np.array([heads[k][0] >> shift & 0xFFFF for k in some]), out)
     raw = out.astype("<u4").tobytes()
     streams = [raw[(i := int(o) // 8) : i + (int(t) + 7) // 8] for o, t in zip(base, total, strict=True)]
-    for k in np.flatnonzero([len(np.unique(f)) <= 16 for f in frames]).tolist():
+    for k in np.flatnonzero(np.count_nonzero(counts[:, :256], axis=1) <= 16).tolist():
+        if len(np.unique(frames[k])) > 16:
+            continue
         bits_of, size = palette_frame(frames[k])
         if size < total[k]:
             streams[k] = bits_of.to_bytes((size + 7) // 8, "little")
