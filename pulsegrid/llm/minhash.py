@@ -8,9 +8,9 @@ in hexadecimal. Two unrelated bins agree by chance in 1 of 2^bits cases; ``liken
 corrects for that: (agreeing share - 2^-bits) / (1 - 2^-bits), at least 0.
 
 Defined cases: a null text is the empty text, whose fingerprint has all bins empty and is
-written as zeros, with likeness 1 to another empty text and 0 to any other; rows are
+written as "-", with likeness 1 to another empty text and 0 to any other; rows are
 ordered by doc_id (null first), ties by a fixed order of the texts; repeated rows follow each other; the last row's
-next row is the first; other columns are not read.
+next row is the first; texts of any length are hashed whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

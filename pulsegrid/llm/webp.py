@@ -14,7 +14,7 @@ lane, and one numpy step reads a symbol in every lane (back-references included)
 Python step per pixel. Frames that use more than this (other transforms, colour cache, code groups) go through ``decode``.
 
 Defined cases: a null text is the empty text, whose payload is 64 zero bytes; texts of any length are
-stored whole; equal texts have equal media and features; repeated rows give repeated rows; other columns are not read.
+stored whole; equal texts have equal media and features; null ids pass; an empty table gives no rows; repeated rows give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from pulsegrid.llm import webp
+from pulsegrid.llm import minhash, webp
 
 
 def padded(raw: bytes) -> bytes:
@@ -62,3 +62,8 @@ def test_repeats_are_true_and_do_not_overlap():
             assert at >= end and length >= webp.MATCH and 0 < back <= at
             assert (frame[at : at + length] == frame[at - back : at - back + length]).all()
             end = at + length
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, media int, `a.b` int")
+    assert webp.round_trip(none).collect() == [] and minhash.fingerprints(none).collect() == []
