@@ -1,6 +1,9 @@
 """The corpus pipeline: toxic documents go, one of each group of near copies stays, repeated passages go, the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of documents.
+
+Defined cases, in every stage: a null text is the empty text and stays as it is; null ids pass; texts of any length are
+read whole; an empty table gives no rows; columns beyond those of documents are left behind.
 """
 
 from __future__ import annotations
@@ -16,19 +19,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones among them, doesn't reject."""
+    """Documents that the toxicity model, trained on the labelled ones among them, doesn't reject.
+
+    Empty texts are scored like others; repeated rows get the same score and stay or go together.
+    """
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(docs, toxicity.train(docs, labels)).filter("predicted = 0").select(*COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that word shingles link."""
+    """One document of each group that word shingles link.
+
+    Of equal documents one stays, ties by the operator's fixed order; texts without words are linked with nothing and all stay.
+    """
     ship(spark)
     return jaccard_join.one_of_each(docs).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier place has."""
+    """Texts without passages that an earlier place has.
+
+    A document whose whole text is repeated stays with the empty text.
+    """
     ship(spark)
     return span_dedup.remove_repeats(docs).select(*COLUMNS)
 
