@@ -15,7 +15,8 @@ the measured share. Only counts, checksums and term frequencies travel
 to the shards, never the ids: checksums of cut pieces follow from running ones, as CRCs are linear.
 
 Defined cases: a null text is the empty text (its only id is the end id); repeated rows are packed
-as rows of their own; a null doc_id is packed too; an empty table gives an empty result; other columns are
+as rows of their own; a null doc_id is packed too; texts of any length are encoded whole; ties of length and of score
+go by the order within the shard; an empty table gives an empty result; other columns are
 not read.
 """
 
