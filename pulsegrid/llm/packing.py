@@ -5,10 +5,10 @@ their own; what remains of each is packed. Document frequencies, number and mean
 over the whole table. The remainders are dealt by content into shards of ``shard_rows`` to twice as many
 documents: each has keys of ``PARTS`` terms, drawn with its BM25 weights as odds by hashes that all documents share
 (so two documents draw alike the more alike they are), and a shard is a run of neighbours in the order of one key;
-where many documents have one key, its later terms and then a hash divide them. Each shard holds a BM25 inverted
+where many documents have one key, its later terms and then a hash divide them (of repeated rows: of their places). Each shard holds a BM25 inverted
 index over its documents' token ids. The longest unused remainder seeds a sequence; the index returns its best-scoring
-unused neighbours for its ``QUERY_TERMS`` heaviest terms, which fill the window greedily. A neighbour that doesn't fit is cut at a multiple of ``GRID`` ids and its
-rest stays in the index; the last room goes to the longest remainder that fits. There is a round for each entry of ``LEAST``:
+unused neighbours for all its terms, which fill the window greedily. A neighbour that doesn't fit is cut at a multiple of ``GRID`` ids and its rest stays
+in the index; the last room goes to the longest remainder that fits. There is a round for each entry of ``LEAST``:
 a sequence is made where neighbours with that share of the seed's own score fill it, and what stays unused is dealt
 again under another key; the last round packs everything. Neighbours are found by keys, so not all are: the README has
 the measured share. Only counts, checksums and term frequencies travel
@@ -23,7 +23,7 @@ not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from itertools import chain
@@ -42,8 +42,8 @@ from pulsegrid.llm.shingles import mix
 from pulsegrid.llm.storage import drop_files, materialise, slices
 
 WINDOW, END_ID, GRID, SHARD_ROWS = 4096, 2, 32, 1024
-#: A seed asks for its so many heaviest terms.
-QUERY_TERMS = 24
+#: Terms in more than this share of a shard's documents are scored by a matrix product (of the most frequent so many), all others by their lists; so many seeds at once.
+DENSE_SHARE, DENSE_TERMS, SEEDS = 1 / 32, 2048, 32
 K1, B = 1.2, 0.75
 LEAST, PARTS = (0.7, 0.5, 0.0), 3
 _KEYS = [f"key{k}" for k in range(len(LEAST) * PARTS)]
@@ -177,7 +177,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     ids = np.sort(np.frombuffer(packed, "<u4").astype(np.uint16), kind="stable")  # a radix sort
                     heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                     terms.append(ids[heads].tobytes())
-                    counts.append(np.minimum(np.diff(np.append(heads, len(ids))), 65535).astype("<u2").tobytes())
+                    counts.append(np.diff(np.append(heads, len(ids))).astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (windows, running, terms, counts))], ["doc_id", "doc_tokens", "windows", "running", "terms", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -252,31 +252,43 @@ def keys_of(corpus: Corpus, terms: list[np.ndarray], counts: list[np.ndarray], l
 
 
 class Index:
-    """BM25 over one shard; what is known of all documents comes from ``corpus`` (by default the shard is all there is)."""
+    """BM25 over one shard; what is known of all documents comes from ``corpus`` (by default the shard is all there is).
+
+    Weights are multiples of 2^-20, so sums are exact in any order and equal texts have equal scores. Long lists are columns
+    of a matrix, whose products serve several seeds; the others are added as lists. Every term of a seed counts.
+    """
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, corpus: Corpus | None = None):
         n = len(terms)
         term, doc, tf = _flat(terms, counts)
         corpus = corpus or Corpus(n, np.bincount(term, minlength=1 << 16), float(lengths.mean()) if n else 0.0)
-        weight = corpus.weights(term, tf, lengths[doc])
+        weight = np.rint(np.ldexp(corpus.weights(term, tf, lengths[doc]), 20))
         keep = weight > 0
-        term, doc, weight = term[keep], doc[keep], weight[keep]
-        self.n, self.term, self.own = n, term, weight
-        self.heads = np.searchsorted(doc, np.arange(n + 1))
+        term, doc, weight = term[keep], doc[keep], np.ldexp(weight[keep], -20)
+        sizes = np.bincount(term, minlength=1 << 16)
+        often = np.flatnonzero(sizes > n * DENSE_SHARE)
+        often = often[np.argsort(-sizes[often], kind="stable")[:DENSE_TERMS]]
+        column = np.full(1 << 16, -1, np.int32)
+        column[often] = np.arange(len(often))
+        dense = column[term] >= 0
+        self.n, self.matrix, self.products = n, np.zeros((n, len(often))), {}
+        self.matrix[doc[dense], column[term[dense]]] = weight[dense]
+        term, doc, weight = term[~dense], doc[~dense], weight[~dense]
+        self.term, self.heads = term, np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(term.astype(np.uint16), kind="stable")  # a radix sort
         self.doc, self.weight = doc[order], weight[order]
         self.bounds = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
 
-    def scores(self, seed: int) -> np.ndarray:
-        """Each document's score for the seed's heaviest terms."""
-        mine = slice(self.heads[seed], self.heads[seed + 1])
-        query = self.term[mine]
-        if len(query) > QUERY_TERMS:
-            query = query[np.argpartition(self.own[mine], -QUERY_TERMS)[-QUERY_TERMS:]]
+    def scores(self, seed: int, later: Sequence[int] = ()) -> np.ndarray:
+        """Each document's score for the seed's terms; ``later``: seeds that will likely be asked for next."""
+        if seed not in self.products:
+            asked = list(dict.fromkeys([seed, *later]))
+            self.products = dict(zip(asked, (self.matrix[asked] > 0).astype(float) @ self.matrix.T, strict=True))
+        query = self.term[self.heads[seed] : self.heads[seed + 1]]
         if not len(query):
-            return np.zeros(self.n)
+            return self.products[seed]
         runs = [slice(a, b) for a, b in zip(self.bounds[query].tolist(), self.bounds[query + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), minlength=self.n)
+        return self.products[seed] + np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), minlength=self.n)
 
 
 def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[np.ndarray], terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None, done: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int, int, int, int, int]]:
@@ -303,9 +315,13 @@ def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[
         left[row] -= ids
 
     order = np.argsort(-left, kind="stable").tolist()
-    for seed in order:
+    for turn, seed in enumerate(order):
         while left[seed] > 0:
-            scores = index.scores(seed) if left[seed] < WINDOW - GRID else np.zeros(index.n)
+            if left[seed] < WINDOW - GRID:
+                later = [r for r in order[turn + 1 : turn + 8 * SEEDS] if 0 < left[r]][: SEEDS - 1] if seed not in index.products else ()
+                scores = index.scores(seed, later)
+            else:
+                scores = np.zeros(index.n)
             ranked = np.flatnonzero((scores > 0) & (scores >= least * scores[seed]) & (left > 0))
             ranked = ranked[ranked != seed]
             if least and left[seed] + left[ranked].sum() <= WINDOW - GRID:
@@ -343,16 +359,16 @@ def _with_keys(rows: DataFrame, corpus) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys = keys_of(corpus.value, _binary(part.column("terms"), "<u2"), _binary(part.column("counts"), "<u2"), part.column("doc_tokens").to_numpy().astype(np.float64))
+                keys = keys_of(corpus.value, _binary(part.column("terms"), "<u2"), _binary(part.column("counts"), "<u4"), part.column("doc_tokens").to_numpy().astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, keys)], names)
 
     return rows.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], *[f"{k} int" for k in _KEYS]]))
 
 
 def _dealt(rows: DataFrame, turn: int, partitions: int) -> DataFrame:
-    """Rows in the order of the key of a round, by ranges; equal keys are divided by a hash."""
+    """Rows of a written table in the order of the key of a round, by ranges; equal keys are divided by a hash, repeated rows by their places in the table."""
     order = [*_KEYS[turn * PARTS : (turn + 1) * PARTS], "_salt"]
-    ranged = rows.withColumn("_salt", F.xxhash64("doc_id", "running")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    ranged = rows.withColumn("_salt", F.xxhash64("doc_id", "running", "_metadata.row_index")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     return ranged.drop("_salt").withColumn("_part", F.spark_partition_id().cast("long"))
 
 
@@ -387,7 +403,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, shard_rows: int = SHARD_ROWS)
             _forget()
             for table in _shards(batches, shard_rows):
                 tokens, done = table.column("doc_tokens").to_numpy(), table.column("done").to_numpy().copy()
-                windows, running, terms, counts = (_binary(table.column(n), k) for n, k in (("windows", "<u4"), ("running", "<u4"), ("terms", "<u2"), ("counts", "<u2")))
+                windows, running, terms, counts = (_binary(table.column(n), k) for n, k in (("windows", "<u4"), ("running", "<u4"), ("terms", "<u2"), ("counts", "<u4")))
                 pieces = pack_shard(tokens, [] if turn else windows, running, terms, counts, corpus.value, done, LEAST[turn])
                 base = (turn << 56) + (table.column("_part")[0].as_py() << 32) + first
                 first += max((p[4] for p in pieces), default=-1) + 1

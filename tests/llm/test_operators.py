@@ -498,6 +498,78 @@ def test_index_scores_are_bm25():
         assert got[d] == pytest.approx(want, rel=1e-5)
 
 
+def _made_index(rng, n_docs, vocabulary, copies):
+    """Documents of terms with Zipf-like odds, some of them copies."""
+    odds = 1 / np.arange(1, vocabulary + 1)
+    terms = [np.unique(rng.choice(vocabulary, rng.integers(0, 90), p=odds / odds.sum())).astype(np.uint16) for _ in range(n_docs)]
+    counts = [rng.integers(1, 9, len(t)).astype(np.uint32) for t in terms]
+    for i in range(copies):
+        at = int(rng.integers(n_docs))
+        terms[i], counts[i] = terms[at], counts[at]
+    return terms, counts, np.array([float(c.sum()) for c in counts])
+
+
+@pytest.mark.parametrize("dense_terms", [0, 3, 2048])
+def test_scores_count_every_term_whether_by_lists_or_by_products(monkeypatch, dense_terms):
+    """Every pair of documents, all terms asked; copies have exactly equal scores."""
+    monkeypatch.setattr(packing, "DENSE_TERMS", dense_terms)
+    rng = np.random.default_rng(7)
+    for n_docs, vocabulary, copies in [(1, 5, 0), (40, 30, 10), (150, 400, 30)]:
+        terms, counts, lengths = _made_index(rng, n_docs, vocabulary, copies)
+        index, corpus = packing.Index(terms, counts, lengths), packing.Corpus(n_docs, np.bincount(np.concatenate(terms), minlength=1 << 16), float(lengths.mean()))
+        idf = [max(0.0, np.log((n_docs - d + 0.5) / (d + 0.5))) for d in corpus.df]
+        weights = [{int(t): idf[t] * int(c) * 2.2 / (int(c) + 1.2 * (0.25 + 0.75 * size / corpus.mean_length)) for t, c in zip(own, counted, strict=True)} for own, counted, size in zip(terms, counts, lengths, strict=True)]
+        for seed in range(n_docs):
+            got = index.scores(seed, [x for x in (seed + 1, seed + 3) if x < n_docs])
+            want = [sum(w.get(int(t), 0.0) for t in terms[seed]) for w in weights]
+            np.testing.assert_allclose(got, want, atol=1e-4)
+            for a in range(copies):
+                assert all(got[a] == got[b] for b in range(n_docs) if terms[b] is terms[a] and counts[b] is counts[a])
+
+
+def _slow_pieces(tokens, scores):
+    """Which documents share a sequence, by the rule alone: the longest seeds, its best unused neighbours fill, the rest goes by length."""
+    left, groups = [t % packing.WINDOW for t in tokens], []
+    for seed in sorted(range(len(tokens)), key=lambda d: -left[d]):
+        while left[seed] > 0:
+            room, group = packing.WINDOW - left[seed], {seed: left[seed]}
+            ranked = sorted((d for d in range(len(tokens)) if d != seed and left[d] > 0 and scores[seed][d] > 0), key=lambda d: -scores[seed][d]) if room > packing.GRID else []
+            left[seed] = 0
+            while room:
+                whole = ranked.pop(0) if ranked and room >= packing.GRID else None
+                if whole is None:
+                    longest = max(range(len(left)), key=lambda d: left[d])
+                    fitting = max(range(len(left)), key=lambda d: left[d] if left[d] <= room else 0)
+                    whole = longest if room >= packing.GRID and left[longest] > room else fitting
+                    if not 0 < left[whole] or (left[whole] > room and room < packing.GRID):
+                        break
+                ids = left[whole] if left[whole] <= room else room // packing.GRID * packing.GRID
+                group[whole] = group.get(whole, 0) + ids
+                left[whole], room = left[whole] - ids, room - ids
+            groups.append(group)
+    return groups
+
+
+def test_packing_of_a_shard_equals_a_slow_version():
+    rng = np.random.default_rng(3)
+    terms, counts, _ = _made_index(rng, 120, 500, 20)
+    tokens = rng.integers(1, 3000, 120)
+    running = [np.zeros(-(-int(t % packing.WINDOW) // packing.GRID), "<u4") for t in tokens]
+    index = packing.Index(terms, counts, tokens.astype(float))
+    want = _slow_pieces(tokens.tolist(), [index.scores(s) for s in range(120)])
+    got = {}
+    for row, _, length, _, sequence, _ in packing.pack_shard(tokens, [np.zeros(0, "<u4")] * 120, running, terms, counts):
+        own = got.setdefault(sequence, {})
+        own[row] = own.get(row, 0) + length
+    assert [got[k] for k in sorted(got)] == want
+
+
+def test_packing_repeated_rows_of_one_id(spark):
+    text = "one row again and again"
+    rows = packing.pack(spark.createDataFrame([(1, text)] * 300, "doc_id long, text string"), WORDS, shard_rows=16).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and sum(r.length for r in rows) == 300 * rows[0].doc_tokens
+
+
 def test_like_documents_are_packed_together_in_small_shards(spark):
     rng = np.random.default_rng(0)
     vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(1200)]
