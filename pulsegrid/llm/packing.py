@@ -42,8 +42,8 @@ from pulsegrid.llm.shingles import mix
 from pulsegrid.llm.storage import drop_files, materialise, slices
 
 WINDOW, END_ID, GRID, SHARD_ROWS = 4096, 2, 32, 1024
-#: Terms in more than this share of a shard's documents are scored by a matrix product (of the most frequent so many), all others by their lists; so many seeds at once.
-DENSE_SHARE, DENSE_TERMS, SEEDS = 1 / 32, 2048, 32
+#: Terms in more than this share of a shard's documents are scored by a matrix product (of the most frequent so many), all others by their lists; seeds and postings read at once.
+DENSE_SHARE, DENSE_TERMS, SEEDS, POSTINGS = 1 / 16, 2048, 32, 1 << 19
 K1, B = 1.2, 0.75
 LEAST, PARTS = (0.7, 0.5, 0.0), 3
 _KEYS = [f"key{k}" for k in range(len(LEAST) * PARTS)]
@@ -255,7 +255,7 @@ class Index:
     """BM25 over one shard; what is known of all documents comes from ``corpus`` (by default the shard is all there is).
 
     Weights are multiples of 2^-20, so sums are exact in any order and equal texts have equal scores. Long lists are columns
-    of a matrix, whose products serve several seeds; the others are added as lists. Every term of a seed counts.
+    of a matrix, the others are added as lists; several seeds are scored at once. Every term of a seed counts.
     """
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, corpus: Corpus | None = None):
@@ -271,24 +271,30 @@ class Index:
         column = np.full(1 << 16, -1, np.int32)
         column[often] = np.arange(len(often))
         dense = column[term] >= 0
-        self.n, self.matrix, self.products = n, np.zeros((n, len(often))), {}
+        self.n, self.matrix, self.held = n, np.zeros((n, len(often))), {}
         self.matrix[doc[dense], column[term[dense]]] = weight[dense]
         term, doc, weight = term[~dense], doc[~dense], weight[~dense]
         self.term, self.heads = term, np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(term.astype(np.uint16), kind="stable")  # a radix sort
         self.doc, self.weight = doc[order], weight[order]
-        self.bounds = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
+        sizes = np.bincount(term, minlength=1 << 16)
+        self.bounds = np.r_[0, np.cumsum(sizes)]
+        self.postings = np.diff(np.r_[0, np.cumsum(sizes[term])][self.heads])  # on the lists of each document's terms
 
     def scores(self, seed: int, later: Sequence[int] = ()) -> np.ndarray:
         """Each document's score for the seed's terms; ``later``: seeds that will likely be asked for next."""
-        if seed not in self.products:
-            asked = list(dict.fromkeys([seed, *later]))
-            self.products = dict(zip(asked, (self.matrix[asked] > 0).astype(float) @ self.matrix.T, strict=True))
-        query = self.term[self.heads[seed] : self.heads[seed + 1]]
-        if not len(query):
-            return self.products[seed]
-        runs = [slice(a, b) for a, b in zip(self.bounds[query].tolist(), self.bounds[query + 1].tolist(), strict=True)]
-        return self.products[seed] + np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), minlength=self.n)
+        if seed not in self.held:
+            asked = np.array(list(dict.fromkeys([seed, *later])))
+            asked = asked[: max(1, int(np.searchsorted(np.cumsum(self.postings[asked]), POSTINGS)))]
+            sizes = self.heads[asked + 1] - self.heads[asked]
+            query = np.concatenate([self.term[self.heads[d] : self.heads[d + 1]] for d in asked.tolist()])
+            runs = self.bounds[query + 1] - self.bounds[query]
+            at = np.repeat(self.bounds[query] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+            cell = np.repeat(np.repeat(np.arange(len(asked)) * self.n, sizes), runs) + self.doc[at]
+            both = np.bincount(cell, self.weight[at], minlength=len(asked) * self.n).reshape(-1, self.n)
+            both += (self.matrix[asked] > 0).astype(float) @ self.matrix.T
+            self.held = dict(zip(asked.tolist(), both, strict=True))
+        return self.held[seed]
 
 
 def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[np.ndarray], terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None, done: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int, int, int, int, int]]:
@@ -318,7 +324,7 @@ def pack_shard(doc_tokens: np.ndarray, windows: list[np.ndarray], running: list[
     for turn, seed in enumerate(order):
         while left[seed] > 0:
             if left[seed] < WINDOW - GRID:
-                later = [r for r in order[turn + 1 : turn + 8 * SEEDS] if 0 < left[r]][: SEEDS - 1] if seed not in index.products else ()
+                later = [r for r in order[turn + 1 : turn + 8 * SEEDS] if 0 < left[r]][: SEEDS - 1] if seed not in index.held else ()
                 scores = index.scores(seed, later)
             else:
                 scores = np.zeros(index.n)
