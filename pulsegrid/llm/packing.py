@@ -292,7 +292,7 @@ class Index:
             at = np.repeat(self.bounds[query] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
             cell = np.repeat(np.repeat(np.arange(len(asked)) * self.n, sizes), runs) + self.doc[at]
             both = np.bincount(cell, self.weight[at], minlength=len(asked) * self.n).reshape(-1, self.n)
-            both += (self.matrix[asked] > 0).astype(float) @ self.matrix.T
+            both = both + (self.matrix[asked] > 0).astype(float) @ self.matrix.T
             self.held = dict(zip(asked.tolist(), both, strict=True))
         return self.held[seed]
 
