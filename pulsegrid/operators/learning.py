@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT, Config
 from pulsegrid.functions import dsp, nets
+from pulsegrid.scratch import drop, written
+
+#: Batches that a partition of training rows holds on average, at least.
+LOCAL = 4
 
 
 def split_sizes(n: int, val: float = 0.1, test: float = 0.1) -> tuple[int, int, int]:
@@ -45,9 +49,13 @@ def split_subjects(df: DataFrame, subject: str, *, seed: int = 42, val: float =
 
 def split_by_hash(df: DataFrame, subject: str, *, seed: int = 42, val: float = 0.1, test: float = 0.1) -> DataFrame:
     """(subject, part) by a hash of seed and id: no driver, stable when subjects come and go, shares in expectation."""
+    return df.select(subject).distinct().withColumn("part", part_by_hash(subject, seed=seed, val=val, test=test))
+
+
+def part_by_hash(subject: str, *, seed: int = 42, val: float = 0.1, test: float = 0.1) -> Column:
+    """The part of a row's subject, as ``split_by_hash`` has it; rows need no join."""
     share = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(subject).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    ids = df.select(subject).distinct()
-    return ids.withColumn("part", F.when(share < test, "test").when(share < test + val, "val").otherwise("train"))
+    return F.when(share < test, "test").when(share < test + val, "val").otherwise("train")
 
 
 def sample_arrays(regions: pd.Series, config: Config = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +140,11 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return Model(told["kind"], bytes(row.weights), told["options"], told["feature_mean"], told["feature_std"])
 
 
-def _inputs(kind: str, regions: pd.Series, model: Model, config: Config) -> tuple[np.ndarray | None, np.ndarray | None]:
-    colours, counts = sample_arrays(regions, config)
+def _inputs(kind: str, regions: pd.Series | None, model: Model, config: Config, features: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Signals and normalised features as a network takes them; features that are there aren't computed from the regions."""
+    colours, counts = (None, None) if kind == "hb" and features is not None else sample_arrays(regions, config)
     x = None if kind == "hb" else nets.network_input(colours, counts)
-    f = None if kind == "hr" else hb_features(colours, counts, config).astype(float)
+    f = None if kind == "hr" else (hb_features(colours, counts, config) if features is None else features).astype(float)
     if f is not None and model.mean:
         f = (f - np.array(model.mean)) / np.array(model.std)
     return x, f
@@ -149,26 +158,51 @@ def predict(samples: DataFrame, model: Model, config: Config = DEFAULT) -> DataF
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         net = m.net(config)
-
-        def score(s: pd.Series) -> pd.DataFrame:
-            x, f = _inputs(m.kind, s, m, config)
-            out = pd.DataFrame({"hr_pred": [None] * len(s), "hr_pred_conf": [None] * len(s), "hb_pred": [None] * len(s)}, dtype=float)
-            if m.kind == "hb":
-                out["hb_pred"] = net.predict(f)
-            else:
-                bpm, _, p, hb = net.forward(x, features=f)
-                out["hr_pred"], out["hr_pred_conf"] = bpm, nets.confidence(p, net.bpm, bpm)
-                if hb is not None:
-                    out["hb_pred"] = hb
-            return out
-
         for s in batches:
             # few rows at a time: a layer of width 96 holds every row's values
-            yield pd.concat([score(s.iloc[at : at + 32]) for at in range(0, max(len(s), 1), 32)], ignore_index=True)
+            yield pd.concat([_scored(net, m, *_inputs(m.kind, s.iloc[at : at + 32], m, config)) for at in range(0, max(len(s), 1), 32)], ignore_index=True)
 
     return samples.withColumn("_p", run("regions")).select(*samples.columns, "_p.*")
 
 
+def _scored(net: nets.Stack, model: Model, x: np.ndarray | None, f: np.ndarray | None) -> pd.DataFrame:
+    """hr_pred, hr_pred_conf and hb_pred of some rows' inputs."""
+    out = pd.DataFrame({c: [None] * len(f if x is None else x) for c in ("hr_pred", "hr_pred_conf", "hb_pred")}, dtype=float)
+    if model.kind == "hb":
+        out["hb_pred"] = net.predict(f)
+    else:
+        bpm, _, p, hb = net.forward(x, features=f)
+        out["hr_pred"], out["hr_pred_conf"] = bpm, nets.confidence(p, net.bpm, bpm)
+        if hb is not None:
+            out["hb_pred"] = hb
+    return out
+
+
+def _scored_rows(held: DataFrame, model: Model, truth: str, config: Config) -> DataFrame:
+    """(truth, guess) of rows as ``_held`` wrote them."""
+    shared, guess = held.sparkSession.sparkContext.broadcast(model), "hr_pred" if model.kind == "hr" else "hb_pred"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        net = m.net(config)
+        for rows in batches:
+            for at in range(0, len(rows), 32):
+                own = rows.iloc[at : at + 32]
+                yield pd.DataFrame({"truth": own[truth].to_numpy(float), "guess": _scored(net, m, *_given(m, own, config))[guess].to_numpy(float)})
+
+    return held.mapInPandas(run, "truth double, guess double")
+
+
+def _held(rows: DataFrame, kind: str, need: list[str], config: Config) -> DataFrame:
+    """What all rounds read of some rows, written once: labels, features (where the network has them) and regions (where it takes signals)."""
+    features = [] if kind == "hr" else [features_column(config=config).alias("features")]
+    return written(rows.select(*[] if kind == "hb" else ["regions"], *features, *[F.col(c).cast("double").alias(c) for c in need]), "training-rows")
+
+
+def _given(model: Model, rows: pd.DataFrame, config: Config) -> tuple[np.ndarray | None, np.ndarray | None]:
+    return _inputs(model.kind, rows.get("regions"), model, config, np.stack(rows["features"]) if "features" in rows else None)
+
+
 def _epoch(net: nets.Stack, adam: nets.Adam, kind: str, x, f, hr, hb, batch: int, rng, hb_weight: float, cap_k: float | None) -> float:
     """One pass over some rows of a partition."""
     total, n = 0.0, len(f if kind == "hb" else x)
@@ -198,17 +232,35 @@ def train(
     The rate halves after five rounds without a better validation value; ``patience`` rounds without one end it. Returns the
     best model and the history. Partitions with fewer than two rows take no part. ``start`` is a model to go on with (its
     normalisation is kept); ``keep`` a folder where the last and the best model so far are written after each round.
+
+    Rows and their features are computed once and written to the scratch folder; rounds read them from there. Partitions hold
+    ``LOCAL`` batches on average at least, so that few rows make one partition.
     """
     need = {"hr": ["hr"], "hb": ["hb"], "both": ["hr", "hb"]}[kind]
     if start is not None and start.kind != kind:
         raise ValueError(f"a model of kind {start.kind} can't go on as {kind}")
     model = start or Model(kind, b"", dict(options or {}))
+    spark = train_rows.sparkSession
+    train_held, val_held = _held(train_rows, kind, need, config), _held(val_rows, kind, need, config)
+    try:
+        return _rounds(spark, train_held, val_held, model, rounds, patience, rate, batch, hb_weight, cap_k, seed, keep, config)
+    finally:
+        drop(train_held)
+        drop(val_held)
+
+
+def _rounds(
+    spark: SparkSession, train_rows: DataFrame, val_rows: DataFrame, model: Model, rounds: int, patience: int, rate: float, batch: int, hb_weight: float, cap_k: float | None, seed: int,
+    keep: str | None, config: Config,
+) -> tuple[Model, list[dict]]:
+    """The rounds of ``train`` over rows that ``_held`` wrote."""
+    kind = model.kind
     if kind != "hr" and not model.mean:
-        norm = train_rows.select(F.posexplode(features_column(config=config)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
+        norm = train_rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
         model.mean, model.std = [r.m for r in norm], [1.0 if r.s < 1e-8 else r.s for r in norm]
+    train_rows = train_rows.coalesce(max(1, train_rows.count() // (LOCAL * batch)))
     model = Model(kind, nets.save(model.net(config)), model.options, model.mean, model.std)
     history, best, best_model, stale = [], None, model, 0
-    spark = train_rows.sparkSession
     for epoch in range(1, rounds + 1):
         shared, now = spark.sparkContext.broadcast(model), rate
 
@@ -219,13 +271,13 @@ def train(
             loss, n = 0.0, 0
             for rows in batches:
                 if len(rows) > 1:
-                    x, f = _inputs(kind, rows.regions, m, config)
+                    x, f = _given(m, rows, config)
                     own = _epoch(net, adam, kind, x, f, *(rows[c].to_numpy(float) if c in rows else None for c in ("hr", "hb")), batch, rng, hb_weight, cap_k)
                     loss, n = loss + own * len(rows), n + len(rows)
             if n:
                 yield pd.DataFrame({"weights": [nets.save(net)], "loss": [loss / n], "n": [n]})
 
-        back = train_rows.select("regions", *need).mapInPandas(local, "weights binary, loss double, n long").collect()
+        back = train_rows.mapInPandas(local, "weights binary, loss double, n long").collect()
         shared.unpersist()
         if not back:
             raise ValueError("no partition has two training rows")
@@ -236,9 +288,8 @@ def train(
                 for k in getattr(leaf, kind_of):
                     getattr(leaf, kind_of)[k] = sum(getattr(list(p.leaves())[i], kind_of)[k] * r.n for p, r in zip(parts, back, strict=True)) / total
         model = Model(kind, nets.save(net), model.options, model.mean, model.std)
-        pred = predict(val_rows, model, config)
-        truth, guess = ("hr", "hr_pred") if kind == "hr" else ("hb", "hb_pred")
-        m = pred.agg(F.avg(F.abs(F.col(guess) - F.col(truth))).alias("mae"), F.sum(F.pow(F.col(guess) - F.col(truth), 2)).alias("res"), F.var_pop(truth).alias("var"), F.count(truth).alias("n")).first()
+        pred, e = _scored_rows(val_rows, model, "hr" if kind == "hr" else "hb", config), F.col("guess") - F.col("truth")
+        m = pred.agg(F.avg(F.abs(e)).alias("mae"), F.sum(F.pow(e, 2)).alias("res"), F.var_pop("truth").alias("var"), F.count("truth").alias("n")).first()
         r2 = 1 - m.res / (m.var * m.n) if m.n and m.var and m.var * m.n > 1e-12 else None
         score = m.mae if kind == "hr" or r2 is None else -r2
         history.append({"epoch": epoch, "train_loss": sum(r.loss * r.n for r in back) / total, "val_mae": m.mae, "val_r2": r2, "lr": rate})

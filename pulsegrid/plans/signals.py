@@ -237,8 +237,6 @@ def k11_cached_features(spark, sf_dir):
 @query()
 def n8_training_history(spark, sf_dir):
     """Data-parallel training of the hemoglobin network, with the operator's own rounds and patience."""
-    rows = _samples(spark, sf_dir).select("segment", "regions", "hb")
-    split = learning.split_by_hash(rows, "segment")
-    part = rows.join(split, "segment")
+    part = _samples(spark, sf_dir).select("regions", "hb", learning.part_by_hash("segment").alias("part"))
     _, history = learning.train(part.filter("part = 'train'").drop("part"), part.filter("part <> 'train'").drop("part"), "hb")
     return spark.createDataFrame([(h["epoch"], round(h["train_loss"], 6), None if h["val_mae"] is None else round(h["val_mae"], 6), h["lr"]) for h in history], "epoch int, train_loss double, val_mae double, lr double")

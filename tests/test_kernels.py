@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT
 from pulsegrid.functions import dsp, nets, regions, smoothing
@@ -172,3 +173,21 @@ def test_split_sizes():
     with pytest.raises(ValueError):
         learning.split_sizes(2)
     assert len(learning.feature_names()) == 60
+
+
+def test_training_reads_its_rows_once(spark):
+    """However many rounds there are, what makes the rows runs once for each row, and few rows are one partition's."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("float")
+    def seen(k):
+        read.add(1)
+        return 100.0 + k
+
+    region = lambda n: F.struct(F.lit(n).alias("name"), F.lit(True).alias("valid"), *[F.array_repeat((F.col("x") + i).cast("float"), 600).alias(c) for i, c in enumerate("rgb")], F.array_repeat(F.lit(90.0).cast("float"), 600).alias("px"))
+    rows = lambda n: spark.range(0, n, numPartitions=4).withColumn("x", seen("id")).select(F.array(*map(region, DEFAULT.regions)).alias("regions"), F.col("id").cast("double").alias("hb"))
+    options = {"seed": 3, "drop": 0.0}
+    _, history = learning.train(rows(12), rows(5), "hb", options=options, rounds=3)
+    assert read.value == 17 and [h["epoch"] for h in history] == [1, 2, 3]
+    _, one = learning.train(rows(12).coalesce(1), rows(5), "hb", options=options, rounds=3)
+    assert all(np.isfinite(h["train_loss"]) and np.isclose(h["train_loss"], o["train_loss"], rtol=0.2) for h, o in zip(history, one, strict=True))
