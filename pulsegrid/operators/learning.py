@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from pulsegrid.scratch import drop, written
 
 #: Batches that a partition of training rows holds on average, at least.
 LOCAL = 4
+#: Rows that networks take at a time, as a layer of width 96 holds every row's values, and that features take (a call of the filters costs 0.4 s whatever its rows).
+FEW, SLICE = 32, 1024
 
 
 def split_sizes(n: int, val: float = 0.1, test: float = 0.1) -> tuple[int, int, int]:
@@ -100,13 +103,25 @@ def hb_features(colours: np.ndarray, counts: np.ndarray, config: Config = DEFAUL
 def features_column(regions: str = "regions", config: Config = DEFAULT) -> Column:
     """Hemoglobin features of packed samples as ARRAY<FLOAT>."""
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(hb_features(*sample_arrays(s, config), config)))
+    @F.arrow_udf("array<float>")
+    def run(s: pa.Array) -> pa.Array:
+        return features_of(s, config)
 
     return run(regions)
 
 
+def features_of(column: pa.Array, config: Config = DEFAULT) -> pa.Array:
+    """Features of a batch of packed samples."""
+    return pa.array([f for few in few_rows(column, SLICE) for f in hb_features(*sample_arrays(few, config), config)], pa.list_(pa.float32()))
+
+
+def few_rows(column: pa.Array, n: int) -> Iterator[pd.Series]:
+    """A batch of packed samples, ``n`` rows at a time: whole batches (10,000 rows of some 30 KB) are never Python objects or float64 arrays at once."""
+    for at in range(0, len(column), n):
+        # taken, as Arrow converts all that lies below a slice
+        yield column.take(pa.array(np.arange(at, min(at + n, len(column))))).to_pandas()
+
+
 @dataclass
 class Model:
     """What scoring needs; saved as weights (.npz bytes) and a JSON description."""
@@ -154,13 +169,14 @@ def predict(samples: DataFrame, model: Model, config: Config = DEFAULT) -> DataF
     """Adds hr_pred, hr_pred_conf and hb_pred (NULL where the model has none); a task loads the model once."""
     shared = samples.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("hr_pred double, hr_pred_conf double, hb_pred double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("hr_pred double, hr_pred_conf double, hb_pred double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         net = m.net(config)
+        kinds = pa.schema([(c, pa.float64()) for c in ("hr_pred", "hr_pred_conf", "hb_pred")])
         for s in batches:
-            # few rows at a time: a layer of width 96 holds every row's values
-            yield pd.concat([_scored(net, m, *_inputs(m.kind, s.iloc[at : at + 32], m, config)) for at in range(0, max(len(s), 1), 32)], ignore_index=True)
+            out = [pa.RecordBatch.from_pandas(_scored(net, m, *_inputs(m.kind, few, m, config)), kinds, preserve_index=False).to_struct_array() for few in few_rows(s, FEW)]
+            yield pa.concat_arrays(out) if out else pa.array([], pa.struct(list(kinds)))
 
     return samples.withColumn("_p", run("regions")).select(*samples.columns, "_p.*")
 
@@ -186,8 +202,8 @@ def _scored_rows(held: DataFrame, model: Model, truth: str, config: Config) -> D
         m = shared.value
         net = m.net(config)
         for rows in batches:
-            for at in range(0, len(rows), 32):
-                own = rows.iloc[at : at + 32]
+            for at in range(0, len(rows), FEW):
+                own = rows.iloc[at : at + FEW]
                 yield pd.DataFrame({"truth": own[truth].to_numpy(float), "guess": _scored(net, m, *_given(m, own, config))[guess].to_numpy(float)})
 
     return held.mapInPandas(run, "truth double, guess double")

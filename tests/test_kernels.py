@@ -1,6 +1,8 @@
 """Signal kernels, smoothing, regions and networks against closed forms and finite differences."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,16 @@ def test_training_reads_its_rows_once(spark):
     assert read.value == 17 and [h["epoch"] for h in history] == [1, 2, 3]
     _, one = learning.train(rows(12).coalesce(1), rows(5), "hb", options=options, rounds=3)
     assert all(np.isfinite(h["train_loss"]) and np.isclose(h["train_loss"], o["train_loss"], rtol=0.2) for h, o in zip(history, one, strict=True))
+
+
+def test_features_of_a_batch_hold_few_rows(monkeypatch):
+    """A batch of any length is taken some rows at a time, with the values of the whole batch at once."""
+    region = lambda n, k: {"name": n, "valid": n != "rcheek", **{c: None if n == "rcheek" else [k + i + j % 7 for j in range(600)] for i, c in enumerate("rgb")}, "px": [90.0 + k] * 600}
+    made = pd.Series([[region(n, float(k)) for n in DEFAULT.regions] for k in range(70)])
+    taken, arrays = [], learning.sample_arrays
+    monkeypatch.setattr(learning, "SLICE", 32)
+    monkeypatch.setattr(learning, "sample_arrays", lambda s, config=DEFAULT: taken.append(len(s)) or arrays(s, config))
+    got = learning.features_of(pa.array(made))
+    assert taken == [32, 32, 6]
+    assert np.array_equal(np.stack(got.to_pandas()), learning.hb_features(*arrays(made)))
+    assert len(learning.features_of(pa.array(made)[:0])) == 0
