@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT, Config
 from pulsegrid.operators import selection
+from pulsegrid.scratch import written
 
 EPS = 1e-12
 
@@ -33,12 +34,12 @@ def methods_long(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 def regression(df: DataFrame, by: list[str], pred: str = "pred", truth: str = "truth", least: int = 1) -> DataFrame:
     """n, MAE, RMSE, bias, r, R2, and the MAE of always saying the mean truth, with guards instead of divisions by zero.
 
-    The naive MAE needs the group's mean beside each row: a window over the group, or for one group overall the mean itself.
+    The naive MAE needs the group's mean beside each row: few groups' means are sent to all tasks, many are joined. NULL is a group like others.
     """
     rows = df.filter(both(pred, truth)).withColumn("_p", F.col(pred).cast("double")).withColumn("_y", F.col(truth).cast("double"))
-    # a small table of means (one row per group) joined back splits under skew; a window would not
+    # means (one row per group) are written and, where they are few, sent to the rows: a shuffle by group would give a task a whole group
     means = rows.groupBy(*by).agg(F.avg("_y").alias("_m"), F.avg("_p").alias("_q"))
-    rows = rows.join(means, by) if by else rows.crossJoin(F.broadcast(means))  # one row
+    rows = selection.beside(rows, written(means, "group-means"), by) if by else rows.crossJoin(F.broadcast(means))  # one row
     e, dy, dp = F.col("_p") - F.col("_y"), F.col("_y") - F.col("_m"), F.col("_p") - F.col("_q")
     sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),

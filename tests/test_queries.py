@@ -157,3 +157,22 @@ def test_streaming_windows_plan(spark, tmp_path):
     q = live.sliding_validity(stream).writeStream.format("memory").queryName("live").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("live").agg(F.max("n")).first()[0] == 20
+
+
+def test_regression_sends_means_to_rows(spark):
+    """Rows of a group aren't shuffled to one task to meet their mean; NULL is a group as in SQL."""
+    rows = [(None if i % 3 == 2 else i % 3, float(i % 11), float(i % 7)) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, pred double, truth double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = metrics.regression(df, ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert set(got) == {0, 1, None}
+    for g, r in got.items():
+        p, y = np.array([x[1:] for x in rows if x[0] == g]).T
+        assert r.n == 30 and np.isclose(r.naive_mae, np.abs(y - y.mean()).mean()) and np.isclose(r.r, np.corrcoef(p, y)[0, 1])
