@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.labels import base_name, last_per_key
@@ -16,6 +16,8 @@ from pulsegrid.session import ship
 
 # Video file extensions, a later one wins over an earlier for one clip.
 VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv")
+# Stands for a NULL subject or state in a bundle; no encoded text holds a backslash.
+NO_KEY = "\\N"
 
 
 def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS) -> DataFrame:
@@ -88,13 +90,31 @@ def recording_lines(spark: SparkSession, path: str, *, subjects: list[str] | Non
         if wanted is not None and not wanted:
             return spark.createDataFrame([], "subject string, state string, file string, line_number long, line string")
     raw = spark.read.option("lineSep", "\n").text(f"{path.rstrip('/')}/{_within(subjects)}/{_within(states)}/{pattern}")
-    at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")}
-    rows = raw.select(*[c.alias(n) for n, c in at.items()], F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
-    ranges = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.join(ranges.select("file", "block", (before - F.col("first") + 1).alias("shift")), ["file", "block"])
+    out = _numbered(raw, F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     part = lambda i: F.url_decode(F.replace(F.element_at(F.split("file", "/"), i), F.lit("+"), F.lit("%2B")))
-    return out.select(part(-3).alias("subject"), part(-2).alias("state"), "file", (F.col("at") + F.col("shift")).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return out.select(part(-3).alias("subject"), part(-2).alias("state"), "file", "line_number", F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def _numbered(raw: DataFrame, line: Column, **keys: Column) -> DataFrame:
+    """Rows of text files with file, line and line_number: from 1 in a file, or in a file's lines with the same keys, which follow one another."""
+    at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), **keys}
+    rows = raw.select(*[c.alias(n) for n, c in at.items()], F.monotonically_increasing_id().alias("at"), line.alias("line"))
+    ranges = rows.groupBy(*at).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file", *keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.join(ranges.select(*at, (before - F.col("first") + 1).alias("shift")), [*at])
+    return out.select("file", *keys, (F.col("at") + F.col("shift")).alias("line_number"), "line")
+
+
+def bundle_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of recordings in the bundles of ``sinks.bundles``: subject, state, file, line_number (from 1 in a recording), line.
+
+    Files are read in ranges of bytes as those of ``recording_lines``; what is listed and opened grows with the bytes, not with the recordings.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    key = lambda i: F.split_part("value", F.lit("\t"), F.lit(i))
+    out = _numbered(raw, F.regexp_extract("value", r"(?s)^[^\t]*\t[^\t]*\t(.*?)\r?\z", 1), subject=key(1), state=key(2))
+    plain = lambda c: F.when(F.col(c) != NO_KEY, F.url_decode(c)).alias(c)
+    return out.select(plain("subject"), plain("state"), "file", "line_number", "line")
 
 
 def pulse(spark: SparkSession, path: str, *, subjects: list[str] | None = None, states: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.schema import MANIFEST, RESULT
+from pulsegrid.sources.readers import NO_KEY
 
 
 def table(df: DataFrame, path: str, *, by: str = "clip", overwrite: bool = False) -> DataFrame:
@@ -41,6 +42,17 @@ def results(df: DataFrame, path: str) -> None:
     _csv(df, path, RESULT, ["segment"])
 
 
+def bundles(df: DataFrame, path: str, order: list[str]) -> None:
+    """Lines (subject, state, line) of recordings as text files of many recordings: each line is led by subject and state, encoded as in a URL.
+
+    A recording's lines follow one another in one file, in ``order``; ``readers.bundle_lines`` reads them. A task writes one file, so
+    small recordings don't cost a file and a folder each. A line break inside a line is an error.
+    """
+    line = F.when(F.contains("line", F.lit("\n")), F.raise_error(F.lit("a line of a recording holds a line break"))).otherwise(F.col("line"))
+    keys = [F.coalesce(F.url_encode(c), F.lit(NO_KEY)) for c in ("subject", "state")]
+    df.repartition("subject", "state").sortWithinPartitions("subject", "state", *order).select(F.concat_ws("\t", *keys, line)).write.text(path)
+
+
 def lines(spark: SparkSession, rows: list[str], path: str) -> None:
     """A small report as text through Spark's own writer."""
     spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)

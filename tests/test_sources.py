@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT
-from pulsegrid.sources import archives, readers
+from pulsegrid.plans import reports
+from pulsegrid.sources import archives, readers, sinks
 
 
 def names(path):
@@ -119,6 +120,36 @@ def test_only_wanted_folders_are_listed(spark, tmp_path):
     assert readers.recording_lines(spark, path, subjects=[]).collect() == []
 
 
+def test_bundles_hold_many_recordings_and_are_read_in_ranges(spark, tmp_path):
+    long = [("s 0/a+%", "x", i, f"{i}.5  é\x85") for i in range(20_000)]
+    held = long + [(None, "x", 1, "b"), (None, "x", 0, "a"), ("", "x", 0, ""), ("", None, 0, "z\ty "), ("\\N", "a\tb", 0, "c")] + [(f"u{i}", "x", 0, f"{i}\r") for i in range(50)]
+    path = f"file://{tmp_path}/b"
+    sinks.bundles(spark.createDataFrame(held, "subject string, state string, at int, line string").orderBy(F.rand(3)), path, ["at"])
+    assert len(list((tmp_path / "b").glob("*.txt"))) <= 4
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() >= 10
+        got = [(r.subject, r.state, r.line_number - 1, r.line) for r in readers.bundle_lines(spark, path).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got, key=str) == sorted(((*r[:3], r[3].rstrip("\r")) for r in held), key=str)
+    with pytest.raises(Exception, match="holds a line break"):
+        sinks.bundles(spark.createDataFrame([("a", "x", 0, "1\n2")], "subject string, state string, at int, line string"), f"{path}2", ["at"])
+
+
+def test_recordings_of_many_users_dont_take_a_file_each(spark, tmp_path, monkeypatch):
+    """Users without an id are a recording, too."""
+    shared = tmp_path / "shared"
+    rows = spark.range(3_000).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", "nullif(id % 300, 7) AS user_id", "IF(id % 50 = 0, 'error', 'view') AS event_type", "id / 4 AS value", "'{}' AS props")
+    rows.write.parquet(f"file://{tmp_path}/events.parquet")
+    monkeypatch.setattr(reports, "shared_dir", lambda _: f"file://{shared}")
+    got = reports.s9_recordings_in_ranges(spark, f"file://{tmp_path}").collect()
+    assert len(list(shared.rglob("*.txt"))) <= 4
+    none = [r for r in got if r.subject is None]
+    assert len(got) == 294 and all(r.numbered for r in got) and [(r.good, r.timed, r.total) for r in none] == [(10, 10, sum((7 + 300 * k) / 4 for k in range(10)))]
+
+
 def test_frame_counts(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", None)], "clip string, frame_idx int")
     assert {r.clip: r.frames for r in readers.frame_counts(df).collect()} == {"a": 2, "b": 0}
