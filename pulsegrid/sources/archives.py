@@ -30,6 +30,10 @@ from pulsegrid.sources.readers import named_by_suffix
 # Suffixes of the stages' files, points of a face.
 SUFFIXES = {"masks": "_seg.npz", "landmarks": "_landmarks.npz", "signals": "_signals.npz", "samples": "_sample.npz"}
 POINTS = 478
+# Frames of signals that a task sorts and writes, clips being whole: about 1 KB each in its memory.
+FRAMES = 50_000
+# Bytes of a batch that are Python objects at a time.
+SLICE = 1 << 18
 
 
 class _Archive:
@@ -113,6 +117,12 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``SLICE`` bytes, one row at least."""
+    step = max(1, SLICE * batch.num_rows // max(1, batch.nbytes))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
 @dataclass
 class _Staged(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -127,7 +137,7 @@ class _ClipWriter(DataSourceArrowWriter):
         system, root = _file_system(self.path)
         folder, files = f"{root}/{self.staging}/{uuid.uuid4().hex}", []
         system.create_dir(folder, recursive=True)
-        rows = (r for batch in iterator for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        rows = (r for batch in iterator for part in _slices(batch) for r in part.to_pylist())
         row = next(rows, None)
         while row is not None:
             clip, after = row["clip"], []
@@ -198,16 +208,23 @@ def write(df: DataFrame, path: str, kind: str, *, clips: DataFrame | None = None
     """
     spark, ending = ship(df.sparkSession), suffix or SUFFIXES[kind]
     spark.dataSource.register(ClipArchives)
+    tasks = []
+    if kind == "signals":  # tasks by the number of frames: Spark's own number would let a task's frames grow with the table
+        tasks = [-(-df.count() // (FRAMES * max(1, len(config.regions)))) or 1]
+        df = df.repartition(*tasks, "clip")
     rows = _prepared(df, kind, config)
     if clips is not None:
         rows = clips.select("clip").distinct().join(rows, "clip", "left")
         if kind == "signals":
             rows = rows.withColumn("regions", F.lit(len(config.regions)))
-    rows = rows.join(rows.groupBy("clip").agg(F.count("frame_idx").cast("int").alias("n")), "clip")
+    if kind in ("masks", "landmarks"):  # a header with the number of frames comes first
+        rows = rows.join(rows.groupBy("clip").agg(F.count("frame_idx").cast("int").alias("n")), "clip")
+    else:
+        rows = rows.filter("clip IS NOT NULL").withColumn("n", F.col("frame_idx").isNotNull().cast("int"))
     if not overwrite:
         try:
             rows = rows.join(named_by_suffix(spark, path, ending).select(F.col("name").alias("clip")), "clip", "left_anti")
         except Exception as e:  # no folder yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    rows.repartition("clip").sortWithinPartitions("clip", "frame_idx").write.format("clip_archive").option("kind", kind).option("suffix", ending).mode("append").save(path)
+    rows.repartition(*tasks, "clip").sortWithinPartitions("clip", "frame_idx").write.format("clip_archive").option("kind", kind).option("suffix", ending).mode("append").save(path)

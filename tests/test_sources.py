@@ -120,6 +120,25 @@ def test_only_wanted_folders_are_listed(spark, tmp_path):
     assert readers.recording_lines(spark, path, subjects=[]).collect() == []
 
 
+def test_signals_are_dealt_to_tasks_by_their_frames(spark, tmp_path, monkeypatch):
+    """A task's frames, and with them its memory, don't grow with the table; a clip stays whole and in order, one without a name has no archive."""
+    monkeypatch.setattr(archives, "FRAMES", 10)
+    rows = spark.range(40 * 5 * 3).selectExpr("CAST(id % 40 AS STRING) AS clip", "CAST(id DIV 40 % 5 AS INT) AS frame_idx", "id DIV 200 AS k", "id DIV 40 % 5 / 2D AS t")
+    rows = rows.select(F.when(F.col("clip") != "39", F.col("clip")).alias("clip"), "frame_idx", "t", F.element_at(F.array(*map(F.lit, DEFAULT.regions)), (F.col("k") + 1).cast("int")).alias("region"), *[(F.col("t") + F.col("k")).alias(c) for c in "rgb"], F.lit(7).alias("pixel_count"))
+    sc = spark.sparkContext
+    sc.setJobGroup("signals", "")
+    try:
+        archives.write(rows, f"file://{tmp_path}/s", "signals")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("signals")]
+    assert max(sc.statusTracker().getStageInfo(i).numTasks for j in jobs for i in j.stageIds) == 20
+    assert names(tmp_path / "s") == sorted(f"{i}_signals.npz" for i in range(39))
+    for i in range(39):
+        held = np.load(tmp_path / "s" / f"{i}_signals.npz")
+        assert held["timestamps"].tolist() == [0, 0.5, 1, 1.5, 2] and np.array_equal(held["signals"], np.add.outer(held["timestamps"], np.arange(3))[:, :, None].repeat(3, 2))
+
+
 def test_bundles_hold_many_recordings_and_are_read_in_ranges(spark, tmp_path):
     long = [("s 0/a+%", "x", i, f"{i}.5  é\x85") for i in range(20_000)]
     held = long + [(None, "x", 1, "b"), (None, "x", 0, "a"), ("", "x", 0, ""), ("", None, 0, "z\ty "), ("\\N", "a\tb", 0, "c")] + [(f"u{i}", "x", 0, f"{i}\r") for i in range(50)]
